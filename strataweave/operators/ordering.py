@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.operators.adjacency import node_ids, simple_edges
 from strataweave.operators.cycles import condense, with_scc
 from strataweave.operators.spread import spread, waves
 from strataweave.scratch import Scratch
-from strataweave.skew import hot_keys, skew_join
+from strataweave.skew import hot_keys, number_rows, skew_join
 
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -70,21 +70,11 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, wave, position); wave and position are null on or after a cycle.
 
-    Positions are counted inside each wave and shifted by the sizes of the earlier waves. A wave
-    can be most of the graph, so ids are numbered in range slices and not by one window.
+    Positions follow (wave, id). A wave can be most of the graph, so ids are numbered in range
+    slices and not by one window.
     """
-    emitted, residual = peel(nodes, edges)
-    scratch = Scratch(edges.sparkSession, "order")
-    sliced = scratch.save(
-        emitted.repartitionByRange(64, "wave", "id").withColumn("_slice", F.spark_partition_id())
-    )
-    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("_slice").orderBy("wave", "id")
-    ordered = sliced.join(F.broadcast(shift), "_slice").select(
-        "id", "wave", (F.row_number().over(inside) - 1 + F.col("_shift")).cast("long").alias("position")
-    )
+    emitted, _ = peel(nodes, edges)
+    ordered = number_rows(emitted, ["wave", "id"])
     return node_ids(nodes, edges).join(ordered, "id", "left")
 
 
