@@ -55,9 +55,9 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def node_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Fan-in/out, coupling, instability, degree centrality and hub score of every node."""
     d = degrees(nodes, edges)
-    n = d.agg(F.count("*").alias("_n"))  # one row
+    n = d.agg(F.count("*")).scalar()
     total = F.col("fan_in") + F.col("fan_out")
-    return d.join(F.broadcast(n)).select(
+    return d.withColumn("_n", n).select(
         "id",
         "fan_in",
         "fan_out",
@@ -79,13 +79,10 @@ def value_at_percentile(df: DataFrame, score: str, percentile: float) -> DataFra
     the rows themselves.
     """
     hist = df.groupBy(score).agg(F.count("*").alias("_rows"))
-    total = hist.agg(F.sum("_rows").alias("_n"))
-    # integer arithmetic keeps int(n * p / 100) exact
-    index = F.least(
-        F.floor(F.col("_n") * F.lit(float(percentile)) / F.lit(100.0)), F.col("_n") - 1
-    )
-    bucketed = _running_total(hist, score, "_rows").join(F.broadcast(total))
-    return bucketed.where(F.col("_upto") > index).agg(F.min(score).alias("threshold"))
+    n = hist.agg(F.sum("_rows")).scalar()
+    index = F.least(F.floor(n * F.lit(float(percentile)) / F.lit(100.0)), n - 1)
+    upto = _running_total(hist, score, "_rows")
+    return upto.where(F.col("_upto") > index).agg(F.min(score).alias("threshold"))
 
 
 def _running_total(hist: DataFrame, key: str, rows: str) -> DataFrame:
@@ -115,5 +112,4 @@ def _running_total(hist: DataFrame, key: str, rows: str) -> DataFrame:
 
 def at_or_above_percentile(df: DataFrame, score: str, percentile: float = 90) -> DataFrame:
     """Rows whose score reaches the percentile cut."""
-    cut = value_at_percentile(df, score, percentile)
-    return df.join(F.broadcast(cut)).where(F.col(score) >= F.col("threshold")).drop("threshold")
+    return df.where(F.col(score) >= value_at_percentile(df, score, percentile).scalar())

@@ -98,12 +98,12 @@ def _dependencies(origin, links, hot_src, hot_dst, scratch) -> DataFrame:
 def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, score): (r-1)/sum(d) * (r-1)/(n-1) over the r nodes reached downstream."""
     ids = node_ids(nodes, edges)
-    n = ids.agg(F.count("*").alias("n"))
+    n = ids.agg(F.count("*")).scalar()
     starts = edges.select(F.col("src").alias("id")).distinct()
     reach = traverse(edges, starts, "down").groupBy(F.col("start").alias("id")).agg(
         F.count("*").alias("r"), F.sum("depth").alias("far")
     )
-    return ids.join(reach, "id", "left").join(F.broadcast(n)).select(
+    return ids.join(reach, "id", "left").withColumn("n", n).select(
         "id",
         F.when(
             (F.col("far") > 0) & (F.col("n") > 1),
@@ -132,11 +132,8 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, iterations: int = 20) -> Dat
         sent = skew_join(score, outward, "id", hot_right=hot).select(F.col("dst").alias("id"), "score")
         raw = score.unionByName(sent).groupBy("id").agg(F.sum("score").alias("score"))
         raw = scratch.save(raw)
-        norm = raw.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("z"))
-        score = scratch.save(
-            raw.join(F.broadcast(norm)).select("id", (F.col("score") / F.col("z")).alias("score")),
-            replaces=score,
-        )
+        norm = raw.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).scalar()
+        score = scratch.save(raw.select("id", (F.col("score") / norm).alias("score")), replaces=score)
         scratch.drop(raw)
     return score
 

@@ -137,10 +137,10 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
         F.count_if(F.col("cs") != F.col("cd")).alias("external"),
         F.count("*").alias("ends"),
     )
-    m = links.agg((F.count("*") / 2).alias("m"))
+    m = links.agg(F.count("*") / 2).scalar()
     sizes = labels.groupBy("community").agg(F.count("*").alias("size"))
     zero = F.lit(0).cast("long")
-    per = sizes.join(per, "community", "left").join(F.broadcast(m))
+    per = sizes.join(per, "community", "left").withColumn("m", m)
     internal, external = F.coalesce("internal", zero), F.coalesce("external", zero)
     share = F.coalesce("ends", zero) / (2 * F.col("m"))
     return per.select(

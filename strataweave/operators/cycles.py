@@ -11,54 +11,51 @@ from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, skew_join
 
 
-def _trim(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Keep the edges among nodes that a cycle reaches and that reach a cycle."""
-    rest = scratch.save(edges)
-    for here, there in (("src", "dst"), ("dst", "src")):
-        if rest.isEmpty():
-            return rest
-        along = rest.select(F.col(here).alias("src"), F.col(there).alias("dst"))
-        stuck = waves(along.select(F.col("src").alias("id")).limit(0), along)
-        stuck = stuck.where("wave IS NULL").select(F.col("id").alias(here))
-        # every edge out of a stuck node (in this direction) ends in a stuck node
-        rest = scratch.save(rest.join(stuck, here, "left_semi").select("src", "dst"), replaces=rest)
-    return rest
-
-
-def _same_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges whose ends carry the same label."""
-    at_src = labels.select(F.col("id").alias("src"), F.col("label").alias("ls"))
-    at_dst = labels.select(F.col("id").alias("dst"), F.col("label").alias("ld"))
-    out = skew_join(edges, at_src, "src", hot_left=hot_keys(edges, "src"))
-    out = skew_join(out, at_dst, "dst", hot_left=hot_keys(edges, "dst"))
-    return out.where("ls = ld").select("src", "dst", F.col("ls").alias("label"))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """The graph beside its reverse: ids become (way, id), so one pass follows both directions."""
+    at = lambda way, c: F.struct(F.lit(way).alias("way"), F.col(c).alias("id"))
+    forward = edges.select(at(0, "src").alias("src"), at(0, "dst").alias("dst"))
+    return forward.unionByName(edges.select(at(1, "dst").alias("src"), at(1, "src").alias("dst")))
+
+
+def _between(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges among nodes that a cycle reaches and that reach a cycle."""
+    if edges.isEmpty():
+        return edges
+    doubled = _both_ways(edges)
+    open_ends = waves(doubled.select(F.col("src").alias("id")).limit(0), doubled).where("wave IS NULL")
+    stuck = open_ends.groupBy("id.id").agg(F.count("*").alias("n")).where("n = 2").select("id")
+    stuck = scratch.save(stuck)
+    rest = edges.join(stuck.withColumnRenamed("id", "src"), "src", "left_semi")
+    rest = rest.join(stuck.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return scratch.save(rest.select("src", "dst"))
 
 
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, scc_id, scc_size) with scc_id the smallest member.
 
-    Everything that cannot be on a cycle is trimmed first. On the rest, the smallest id is
-    spread forward; inside the region of one label, the nodes that reach back to the label's
-    owner form its component. Finished components leave and the remainder repeats.
+    Everything that does not lie between cycles is dropped first. On the rest, the smallest id
+    that reaches a node and the smallest id it reaches are spread in one pass. Where both are
+    equal, that id owns the node's component. Nodes of one component always share both labels,
+    so the remainder repeats on the edges whose ends agree on them.
     """
     scratch = Scratch(edges.sparkSession, "scc")
-    rest = _trim(simple_edges(edges).where("src <> dst"), scratch)
+    rest = _between(scratch.save(simple_edges(edges).where("src <> dst")), scratch)
     found: list[DataFrame] = []
     while not rest.isEmpty():
-        ends = rest.select(F.col("src").alias("id")).distinct()  # trimmed: every end is a source
-        colour = spread(ends.withColumn("value", F.col("id")), rest, "min")
-        colour = colour.withColumnRenamed("value", "label")
-        inside = scratch.save(_same_label(rest, colour))
-        owners = colour.where("id = label").select("id", F.col("id").alias("value"))
-        backward = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        members = scratch.save(spread(owners, backward, "min"))
-        found.append(members)
-        gone = members.select(F.col("id").alias("src"))
-        left = inside.join(gone, "src", "left_anti").join(
-            gone.withColumnRenamed("src", "dst"), "dst", "left_anti"
+        doubled = _both_ways(rest)
+        seeds = doubled.select(F.col("src").alias("id")).distinct().withColumn("value", F.col("id.id"))
+        labels = spread(seeds, doubled, "min").groupBy("id.id").agg(
+            F.max(F.when(F.col("id.way") == 0, F.col("value"))).alias("above"),
+            F.max(F.when(F.col("id.way") == 1, F.col("value"))).alias("below"),
         )
-        # edges between labels cannot close a cycle, so only same-label edges are carried on
-        rest = _trim(left.select("src", "dst"), scratch)
+        labels = scratch.save(labels)
+        found.append(labels.where("above = below").select("id", F.col("above").alias("value")))
+        left = labels.where("above <> below").select("id", F.struct("above", "below").alias("label"))
+        ends = skew_join(rest, left.withColumnRenamed("id", "src"), "src", hot_left=hot_keys(rest, "src"))
+        other = left.select(F.col("id").alias("dst"), F.col("label").alias("label_dst"))
+        ends = skew_join(ends, other, "dst", hot_left=hot_keys(rest, "dst")).where("label = label_dst")
+        rest = _between(scratch.save(ends.select("src", "dst")), scratch)
     ids = node_ids(nodes, edges)
     if not found:
         return ids.select("id", F.col("id").alias("scc_id"), F.lit(1).cast("long").alias("scc_size"))
@@ -66,12 +63,14 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for more in found[1:]:
         members = members.unionByName(more)
     sizes = members.groupBy("value").agg(F.count("*").alias("scc_size"))
-    # sizes is joined by component: a giant component is one row there, repeated by salting
+    # a giant component is one row of sizes, met by many members
     members = skew_join(members, sizes, "value", hot_left=hot_keys(members, "value"))
-    return ids.join(members, "id", "left").select(
-        "id",
-        F.coalesce("value", "id").alias("scc_id"),
-        F.coalesce("scc_size", F.lit(1)).cast("long").alias("scc_size"),
+    return scratch.save(
+        ids.join(members, "id", "left").select(
+            "id",
+            F.coalesce("value", "id").alias("scc_id"),
+            F.coalesce("scc_size", F.lit(1)).cast("long").alias("scc_size"),
+        )
     )
 
 
@@ -168,7 +167,7 @@ def enumerate_cycles(
             send=lambda v: v + 1,
             keys=["start"],
             max_rounds=max(max_length - 2, 0),
-            admit=lambda m: m.where("id > start"),
+            admit=lambda m: m.where("dst > start"),
         )
     ).select("start", F.col("id").alias("last"), F.col("value").alias("back"))
 

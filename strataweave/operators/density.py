@@ -285,8 +285,7 @@ def optimal_eps(points: DataFrame, target: int | None = None, min_samples: int =
 def ungrouped_points(nodes: DataFrame, min_samples: int = 2) -> DataFrame:
     """(id, x, y) of the nodes without a group; nothing when fewer than ``min_samples``."""
     free = nodes.where("group_key IS NULL").select("id", "x", "y")
-    enough = free.agg((F.count("*") >= min_samples).alias("_ok"))
-    return free.join(F.broadcast(enough)).where("_ok").drop("_ok")
+    return free.where(free.agg(F.count("*") >= min_samples).scalar())
 
 
 def grid_layout(clusters: DataFrame, min_samples: int = 2) -> DataFrame:
@@ -313,8 +312,8 @@ def grid_layout(clusters: DataFrame, min_samples: int = 2) -> DataFrame:
     )
     order = _numbered(sizes.select(F.col("cluster").alias("label"), F.col("cluster").alias("first")))
     slots = order.select(F.col("label").alias("cluster"), F.col("cluster").alias("i")).join(sizes, "cluster")
-    count = sizes.agg(F.ceil(F.sqrt(F.count("*"))).alias("cols"))
-    slots = slots.join(F.broadcast(count)).select(
+    columns = sizes.agg(F.ceil(F.sqrt(F.count("*")))).scalar()
+    slots = slots.withColumn("cols", columns).select(
         "cluster",
         "n",
         F.ceil(F.sqrt("n")).alias("inner"),

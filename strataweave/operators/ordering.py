@@ -90,9 +90,9 @@ def topological_layers(nodes: DataFrame, edges: DataFrame, components: DataFrame
     owners = components.select(F.col("scc_id").alias("id")).distinct()
     placed, _ = peel(owners, dag)
     layer_of = placed.select(F.col("id").alias("scc_id"), F.col("wave").alias("layer"))
-    return skew_join(
-        components, layer_of, "scc_id", hot_left=hot_keys(components, "scc_id")
-    ).select("id", "layer")
+    scratch = Scratch(edges.sparkSession, "layers")
+    layered = skew_join(components, layer_of, "scc_id", hot_left=hot_keys(components, "scc_id"))
+    return scratch.save(layered.select("id", "layer"))
 
 
 def transitive_edges(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def transitive_edges(nodes: DataFrame, edges: DataFrame, components: DataFrame)
         "max",
         send=lambda v: F.lit(1),
         keys=["origin", "deep"],
-        admit=lambda m: m.join(layer, "id").where("wave <= deep").select(m.columns),
+        admit=lambda m: m.join(layer.withColumnRenamed("id", "dst"), "dst").where("me OR wave <= deep").select(m.columns),
     )
     redundant = doubtful.join(
         reached.where("value = 1").select(F.col("origin").alias("src"), F.col("id").alias("dst")).distinct(),

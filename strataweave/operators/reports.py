@@ -46,15 +46,12 @@ def summary(nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
     linked = nodes.join(ends.distinct().withColumn("_l", F.lit(True)), "id", "left").agg(
         F.count("*").alias("total_components"), F.count_if("_l").alias("with_dependencies")
     )
-    counted = edges.agg(F.count("*").alias("total_dependencies"))
-    grouped = groups.agg(F.count("*").alias("node_groups"))
-    # three one-row aggregates side by side
-    return linked.join(F.broadcast(counted)).join(F.broadcast(grouped)).select(
+    return linked.select(
         "total_components",
         "with_dependencies",
         (F.col("total_components") - F.col("with_dependencies")).alias("orphans"),
-        "total_dependencies",
-        "node_groups",
+        edges.agg(F.count("*")).scalar().alias("total_dependencies"),
+        groups.agg(F.count("*")).scalar().alias("node_groups"),
     )
 
 
@@ -86,9 +83,9 @@ def domain_counts(nodes: DataFrame) -> DataFrame:
 def domain_report(nodes: DataFrame, top: int = TOP_DOMAINS) -> DataFrame:
     """(domain, components, total, unique_domains) of the largest domains."""
     counts = domain_counts(nodes)
-    totals = counts.agg(F.sum("components").alias("total"), F.count("*").alias("unique_domains"))
+    totals = counts.agg(F.struct(F.sum("components").alias("total"), F.count("*").alias("unique_domains"))).scalar()
     best = counts.orderBy(F.desc("components"), "domain").limit(top)
-    return best.join(F.broadcast(totals))
+    return best.withColumn("_t", totals).select("domain", "components", "_t.total", "_t.unique_domains")
 
 
 def naming_report(nodes: DataFrame, top: int = TOP_PATTERNS) -> DataFrame:

@@ -243,11 +243,16 @@ def run_trend(runs: DataFrame, metrics: list[str], key: str = "scope") -> DataFr
 def momentum(metrics: DataFrame, cycles: DataFrame, violations: DataFrame, statements: DataFrame) -> DataFrame:
     """One row: avg_coupling, cyclic_components, largest_cycle, violations, formal and satisfied shares."""
     a = metrics.agg(F.avg("coupling_score").alias("avg_coupling"))
-    b = cycles.agg(F.count("*").alias("cyclic_components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_cycle"))
-    c = violations.agg(F.count("*").alias("violations"))
     d = statements.agg(
         F.avg(F.when(F.col("status") == "formal", 1.0).otherwise(0.0)).alias("formal_ratio"),
         F.avg(F.when(F.col("is_satisfied"), 1.0).otherwise(0.0)).alias("satisfied_ratio"),
     )
-    # four one-row aggregates side by side
-    return a.join(F.broadcast(b)).join(F.broadcast(c)).join(F.broadcast(d))
+    d = d.select(F.struct("*").alias("d")).scalar()
+    return a.withColumn("_d", d).select(
+        "avg_coupling",
+        cycles.agg(F.count("*")).scalar().alias("cyclic_components"),
+        cycles.agg(F.coalesce(F.max("size"), F.lit(0))).scalar().alias("largest_cycle"),
+        violations.agg(F.count("*")).scalar().alias("violations"),
+        "_d.formal_ratio",
+        "_d.satisfied_ratio",
+    )

@@ -11,7 +11,7 @@ from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, skew_join
 
 _KEEP = {"min": F.min, "max": F.max}
-HOPS = 6  # hops per written table
+HOPS = 8  # hops per written table
 
 
 def _with_self(edges: DataFrame, ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
@@ -47,7 +47,7 @@ def spread(
     inside one job the edge exchange is shared by all ``hops`` and the state is already
     partitioned by id for the next join. The state is written once per ``hops``, which bounds
     lineage. ``keys`` separate independent propagations (e.g. one per start node). ``admit``
-    may filter messages. ``max_rounds`` bounds the hops exactly.
+    may filter messages ``(keys, dst, value)``. ``max_rounds`` bounds the hops exactly.
     """
     scratch = Scratch(seeds.sparkSession, "spread")
     ident = [*keys, "id"]
@@ -62,15 +62,15 @@ def spread(
         step = state
         for _ in range(todo):
             sent = skew_join(step, outward, "id", hot_left=hot_state, hot_right=hot_edges)
-            sent = sent.where(F.col("me") | F.col("moved")).select(
-                *keys,
-                F.col("dst").alias("id"),
-                F.when(F.col("me"), F.col("value")).otherwise(send(F.col("value"))).cast(kind).alias("value"),
-                F.when(F.col("me"), F.col("value")).alias("old"),
-            )
+            sent = sent.where(F.col("me") | F.col("moved"))
+            kept = F.when(F.col("me"), F.col("value"))
+            value = kept.otherwise(send(F.col("value")).cast(kind))
             if admit is not None:
-                sent = admit(sent)
-            step = sent.groupBy(*ident).agg(merge("value").alias("value"), F.max("old").alias("old"))
+                sent = admit(sent.select(*keys, F.col("dst"), "me", value.alias("value")))
+                value = F.col("value")
+            step = sent.groupBy(*keys, F.col("dst").alias("id")).agg(
+                merge(value).alias("value"), F.max(kept).alias("old")
+            )
             step = step.select(
                 *ident, "value", (~F.col("value").eqNullSafe(F.col("old"))).alias("moved")
             )
@@ -97,14 +97,12 @@ def waves(ids: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     while True:
         step = state
         for _ in range(hops):
-            sent = skew_join(step, outward, "id", hot_right=hot).select(
-                F.col("dst").alias("id"),
-                F.when(F.col("me"), F.lit(-1)).otherwise(F.col("wave")).cast("long").alias("after"),
-                F.when(F.col("me"), F.col("wave")).alias("own"),
-                (~F.col("me") & F.col("wave").isNull()).alias("waits"),
-            )
-            step = sent.groupBy("id").agg(
-                F.max("after").alias("after"), F.max("own").alias("own"), F.max("waits").alias("waits")
+            sent = skew_join(step, outward, "id", hot_right=hot)
+            after = F.when(F.col("me"), F.lit(-1).cast("long")).otherwise(F.col("wave"))
+            step = sent.groupBy(F.col("dst").alias("id")).agg(
+                F.max(after).alias("after"),
+                F.max(F.when(F.col("me"), F.col("wave"))).alias("own"),
+                F.max(~F.col("me") & F.col("wave").isNull()).alias("waits"),
             )
             step = step.select(
                 "id",

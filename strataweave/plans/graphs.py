@@ -70,7 +70,7 @@ listed AS (
 
 
 def _release_sql(name: str, order: str) -> str:
-    return f"""{_LISTED},
+    return f"""
 {name}_release AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY {order}) AS r FROM listed) WHERE r = 1),
 {name}_scoped AS (
@@ -80,6 +80,9 @@ def _release_sql(name: str, order: str) -> str:
 {name} AS (SELECT DISTINCT src, dst FROM {name}_scoped)"""
 
 
-PEAK_SQL = _release_sql("peak", "x DESC, o, n")
-LATEST_SQL = _release_sql("latest", "o DESC, n")
+_PEAK = _release_sql("peak", "x DESC, o, n")
+_LATEST = _release_sql("latest", "o DESC, n")
+PEAK_SQL = f"{_LISTED},{_PEAK}"
+LATEST_SQL = f"{_LISTED},{_LATEST}"
+BOTH_SQL = f"{_LISTED},{_PEAK},{_LATEST}"
 ORDERED_SQL = LATEST_SQL + ",\nordered AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM latest)"

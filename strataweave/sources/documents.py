@@ -92,25 +92,31 @@ def sbom_components(packages: DataFrame) -> DataFrame:
     """
     fields = ["version", "maven_group_id", "artifact_id", "name", "group_key", "internal"]
     first = F.min_by(F.struct(*fields), F.struct("doc", "pos"))
-    key = F.coalesce(
-        F.nullif(F.concat_ws(":", "maven_group_id", "artifact_id"), F.lit("")), F.col("name")
-    )
-    return (
-        packages.groupBy("purl_key")
-        .agg(first.alias("f"))
-        .select("purl_key", "f.*")
-        .withColumn("key", F.when(F.col("maven_group_id").isNotNull(), key).otherwise(F.col("name")))
+    return packages.groupBy("purl_key").agg(first.alias("f")).select(
+        "purl_key", "f.*", package_key(F.col("purl_key")).alias("key")
     )
 
 
-def sbom_edges(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """(src, dst, scope, weight) between known packages, versions stripped, once per pair."""
-    pairs = (
+def package_key(purl: Column) -> Column:
+    """Component key of a version-less package URL: ``group:artifact``, else its name."""
+    parts = purl_parts(purl)
+    both = F.concat_ws(":", parts["namespace"], parts["artifact"])
+    return F.when(parts["namespace"].isNotNull(), both).otherwise(F.coalesce(parts["artifact"], purl))
+
+
+def package_pairs(docs: DataFrame) -> DataFrame:
+    """(src, dst): distinct version-less package pairs that the documents list as dependencies."""
+    return (
         docs.select(F.explode("dependencies").alias("d"))
         .select(F.col("d.ref").alias("ref"), F.explode("d.dependsOn").alias("on"))
         .select(purl_base(F.col("ref")).alias("src"), purl_base(F.col("on")).alias("dst"))
         .distinct()
     )
+
+
+def sbom_edges(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """(src, dst, scope, weight) between known packages, versions stripped, once per pair."""
+    pairs = package_pairs(docs)
     known = components.select("purl_key")
     out = skew_join(pairs, known.withColumnRenamed("purl_key", "src"), "src", "left_semi", hot_left=hot_keys(pairs, "src"))
     out = skew_join(out, known.withColumnRenamed("purl_key", "dst"), "dst", "left_semi", hot_left=hot_keys(pairs, "dst"))

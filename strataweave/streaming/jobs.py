@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strataweave.operators.linking import upsert_components
 from strataweave.operators.reports import activity_bucket
-from strataweave.sources.documents import parse_sboms, sbom_components, sbom_edges, sbom_packages
+from strataweave.sources.documents import package_key, package_pairs, parse_sboms, sbom_components, sbom_packages
 from strataweave.sources.tables import append, rewrite
 
 
@@ -27,8 +27,9 @@ def ingest_sboms(stream: DataFrame, target: str, checkpoint: str, internal_prefi
     """Upsert each batch of documents into ``component``, ``dependency`` and ``reject`` tables.
 
     Edges and rejects are appended with their batch number; the component table is rewritten
-    through a staging path, since a component may change. Replaying a batch gives the same
-    tables: edges are made distinct on read.
+    through a staging path, since a component may change. :func:`stored_edges` reads the edges
+    back, once each and only between known components, so a replayed batch changes nothing and
+    an edge may arrive before its target.
     """
 
     def batch(docs: DataFrame, number: int) -> None:
@@ -40,10 +41,9 @@ def ingest_sboms(stream: DataFrame, target: str, checkpoint: str, internal_prefi
         path = f"{target}/component"
         old = _existing(spark, path, fresh)
         rewrite(upsert_components(old, fresh).drop("action"), path)
-        names = found.select("purl_key", "key")
-        e = sbom_edges(good, found)
-        e = e.join(names.toDF("src", "s"), "src").join(names.toDF("dst", "d"), "dst")
-        append(e.select(F.col("s").alias("src"), F.col("d").alias("dst"), "scope", "weight", F.lit(number).alias("batch")), f"{target}/dependency")
+        pairs = package_pairs(good).select(package_key(F.col("src")).alias("src"), package_key(F.col("dst")).alias("dst"))
+        rows = pairs.select("src", "dst", F.lit("compile").alias("scope"), F.lit(1).alias("weight"))
+        append(rows.withColumn("batch", F.lit(number)), f"{target}/dependency")
         append(bad.withColumn("batch", F.lit(number)), f"{target}/reject")
         docs.unpersist()
 
@@ -52,6 +52,15 @@ def ingest_sboms(stream: DataFrame, target: str, checkpoint: str, internal_prefi
     )
 
 
+def stored_edges(spark: SparkSession, target: str) -> DataFrame:
+    """(src, dst, scope, weight) collected so far between known components."""
+    known = spark.read.parquet(f"{target}/component").select("key")
+    e = spark.read.parquet(f"{target}/dependency").select("src", "dst", "scope", "weight").distinct()
+    return e.join(known.withColumnRenamed("key", "src"), "src", "left_semi").join(
+        known.withColumnRenamed("key", "dst"), "dst", "left_semi"
+    )
+
+
 def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
