@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.tags import has_any
@@ -10,7 +10,7 @@ from strataweave.functions.text import basename, matches, matches_any
 from strataweave.operators.adjacency import simple_edges
 from strataweave.operators.clusters import main_cluster
 from strataweave.operators.ordering import expand
-from strataweave.skew import hot_keys, skew_join
+from strataweave.skew import hot_keys, number_rows, skew_join
 
 # fixed values: the status names a component can have
 STATUSES = ["active", "stale", "dormant", "not_analyzed", "orphan"]
@@ -237,11 +237,12 @@ def newest(table: DataFrame, column: str, key: str, limit: int) -> DataFrame:
 def unique_keys(rows: DataFrame, base: str, order: str) -> DataFrame:
     """Give repeated keys the suffix -2, -3, .. in ``order``.
 
-    Numbering is a window per base key; a base with millions of rows is still one sorted run,
-    which suits layer and group names, not row ids.
+    A key's place among its equals is its global position minus the first position of its
+    base, so a base shared by very many rows is not one window.
     """
-    w = Window.partitionBy(base).orderBy(order)
-    n = F.row_number().over(w)
-    return rows.withColumn(
-        "unique_key", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n))
-    )
+    placed = number_rows(rows, [base, order], "_n")
+    first = placed.groupBy(base).agg(F.min("_n").alias("_first"))
+    placed = skew_join(placed, first, base, hot_left=hot_keys(placed, base))
+    n = F.col("_n") - F.col("_first") + 1
+    unique = F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string")))
+    return placed.withColumn("unique_key", unique).select(*rows.columns, "unique_key")

@@ -83,14 +83,12 @@ def _(spark, folder):
     )
 
 
-_FACETS = """status IN ('active', 'stale') AND internal AND (group_key IN ('promo.brand-2', 'small.brand-9') OR group_key IS NULL
-  OR starts_with(group_key, 'economy.')) AND NOT false"""
 _GROUPS = ["economy.brand-1", "economy.brand-2", "promo.brand-2", "small.brand-9"]
 _APPLIED = f"""
-    chosen AS (SELECT c.id, c.key FROM component c JOIN wcc USING (id) WHERE internal AND status IN ('active', 'stale', 'dormant')
+    chosen AS (SELECT c.id, c.key FROM item c JOIN wcc USING (id) WHERE internal AND status IN ('active', 'stale', 'dormant')
       AND (group_key IN ({", ".join(f"'{g}'" for g in _GROUPS)}) OR group_key IS NULL)
       AND (list_has_any(tags, ['tiny', 'big']) OR len(tags) = 0) AND regexp_matches(lower(name), '^.*-.*$')
-      AND component = (SELECT component FROM main) AND c.id IN (SELECT dst FROM peak))"""
+      AND wcc.component = (SELECT component FROM main) AND c.id IN (SELECT dst FROM peak))"""
 _CONFIG = {
     "statuses": ["active", "stale", "dormant"], "groups": _GROUPS, "tags": ["tiny", "big"], "name_pattern": "*-*",
     "include_main_cluster": True, "include_disconnected": False, "include_unused": False,
@@ -103,12 +101,14 @@ def _applied(spark, folder):
     return scope.apply_filter(components(spark, folder), e, labels, _CONFIG), e
 
 
-_WCC_C = _wcc("peak").replace("main AS (SELECT component FROM info", "main AS (SELECT component FROM info")
+# the cluster CTEs name a column like the component table, so that table is called item here
+_ITEM_SQL = COMPONENT_SQL.replace("component AS (", "item AS (", 1).replace("FROM component)", "FROM item)")
+_FILTERED = f"WITH RECURSIVE {NODE}, {PEAK_SQL}, {_wcc('peak')}, {_ITEM_SQL}, {_APPLIED}"
 
 
 @query(
     "f09_apply_filter",
-    f"WITH RECURSIVE {NODE}, {PEAK_SQL}, {_WCC_C}, {COMPONENT_SQL.replace('component AS (', 'item AS (', 1).replace('FROM component)', 'FROM item)')}, {_APPLIED.replace('FROM component c', 'FROM item c').replace('AND component =', 'AND wcc.component =')} SELECT id, key FROM chosen",
+    f"{_FILTERED} SELECT id, key FROM chosen",
 )
 def apply_filter(spark, folder):
     return _applied(spark, folder)[0].select("id", "key")
@@ -116,7 +116,7 @@ def apply_filter(spark, folder):
 
 @query(
     "f10_filtered_count",
-    f"WITH RECURSIVE {NODE}, {PEAK_SQL}, {_WCC_C}, {COMPONENT_SQL.replace('component AS (', 'item AS (', 1).replace('FROM component)', 'FROM item)')}, {_APPLIED.replace('FROM component c', 'FROM item c').replace('AND component =', 'AND wcc.component =')} SELECT count(DISTINCT id) AS components FROM chosen",
+    f"{_FILTERED} SELECT count(DISTINCT id) AS components FROM chosen",
 )
 def _(spark, folder):
     return _applied(spark, folder)[0].agg(F.countDistinct("id").alias("components"))

@@ -86,13 +86,27 @@ def activity_status(windows: DataFrame, entity: str, as_of: str) -> DataFrame:
 
 
 def run_activity(stream: DataFrame, entity: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append finished activity windows to a parquet table."""
+    """Write every batch's changed windows with the batch number.
+
+    Windows are updated until the watermark passes them; :func:`newest_windows` keeps the last
+    state of each, so late and open windows both count and a replayed batch is harmless.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(target)
+
     return (
         activity_windows(stream, entity)
-        .writeStream.format("parquet")
-        .option("path", target)
+        .writeStream.foreachBatch(batch)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def newest_windows(spark: SparkSession, target: str, entity: str) -> DataFrame:
+    """(entity, window_start, events, last_seen): the last written state of every window."""
+    rows = spark.read.parquet(target)
+    last = F.max_by(F.struct("events", "last_seen"), "batch")
+    return rows.groupBy(entity, "window_start").agg(last.alias("w")).select(entity, "window_start", "w.*")
