@@ -11,21 +11,20 @@ from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, skew_join
 
 _KEEP = {"min": F.min, "max": F.max}
-HOPS = 8  # hops per written table
+HOPS = 8  # hops per written table; the first tables hold fewer, for graphs that settle early
 
 
 def _with_self(edges: DataFrame, ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """Edges keyed by source, plus one self row per node that carries its state along."""
-    me = (
-        edges.select(F.col("src").alias("id"))
-        .unionByName(edges.select(F.col("dst").alias("id")))
-        .unionByName(ids.select("id"))
-        .distinct()
-        .select("id", F.col("id").alias("dst"), F.lit(True).alias("me"))
-    )
-    out = scratch.save(
-        edges.select(F.col("src").alias("id"), "dst", F.lit(False).alias("me")).unionByName(me)
+    """Edges keyed by source, plus one self row per node that carries its state along.
+
+    Edges are read once: every edge gives its own row and the self rows of both ends.
+    """
+    row = lambda a, b, me: F.struct(F.col(a).alias("id"), F.col(b).alias("dst"), F.lit(me).alias("me"))
+    linked = edges.select(
+        F.inline(F.array(row("src", "dst", False), row("src", "src", True), row("dst", "dst", True)))
     )
+    own = ids.select("id", F.col("id").alias("dst"), F.lit(True).alias("me"))
+    out = scratch.save(linked.unionByName(own).distinct())
     return out, hot_keys(out, "id")
 
 
@@ -54,10 +53,14 @@ def spread(
     kind = seeds.schema["value"].dataType
     outward, hot_edges = _with_self(edges, seeds, scratch)
     merge = _KEEP[keep]
-    state = scratch.save(seeds.select(*ident, "value", F.lit(True).alias("moved")))
-    done = 0
+    state = seeds.select(*ident, "value", F.lit(True).alias("moved"))
+    if keys:
+        state = scratch.save(state)  # counted for hot ids before it is used
+    done, todo = 0, 1
     while max_rounds is None or done < max_rounds:
-        todo = hops if max_rounds is None else min(hops, max_rounds - done)
+        todo = min(2 * todo, hops)
+        if max_rounds is not None:
+            todo = min(todo, max_rounds - done)
         hot_state = hot_keys(state, "id") if keys else None
         step = state
         for _ in range(todo):
@@ -88,15 +91,16 @@ def waves(ids: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     Whenever half of the open nodes are settled, edges into settled nodes leave the table.
     """
     scratch = Scratch(edges.sparkSession, "waves")
-    links = scratch.save(edges.select("src", "dst"))
-    outward, hot = _with_self(links, ids, scratch)
+    outward, hot = _with_self(edges.select("src", "dst"), ids, scratch)
     everyone = outward.where("me").select("id")
-    state = scratch.save(everyone.select("id", F.lit(None).cast("long").alias("wave")))
+    state = everyone.select("id", F.lit(None).cast("long").alias("wave"))
     settled: list[DataFrame] = []
     open_nodes = carried = None
+    todo = 1
     while True:
         step = state
-        for _ in range(hops):
+        todo = min(2 * todo, hops)
+        for _ in range(todo):
             sent = skew_join(step, outward, "id", hot_right=hot)
             after = F.when(F.col("me"), F.lit(-1).cast("long")).otherwise(F.col("wave"))
             step = sent.groupBy(F.col("dst").alias("id")).agg(
@@ -113,7 +117,9 @@ def waves(ids: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
         if left == 0 or left == open_nodes:
             break
         open_nodes = left
-        if carried is None or left <= carried / 2:
+        if carried is None:
+            carried = everyone.count()
+        if left <= carried / 2:
             carried = left
             # settled nodes without an open successor are final and need not be carried on
             unsettled = state.where("wave IS NULL").select(F.col("id").alias("dst"))

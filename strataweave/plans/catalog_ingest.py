@@ -9,7 +9,7 @@ from strataweave.operators import adjacency as adj
 from strataweave.operators import layers, linking
 from strataweave.plans.catalog_graph import NODE, _deg
 from strataweave.plans.catalog_scope import _ASSIGN, _VIOLATION, C, _assigned
-from strataweave.plans.graphs import PEAK_SQL, part_nodes, peak_edges, table
+from strataweave.plans.graphs import PEAK_SQL, part_nodes, peak_edges, table, whole
 from strataweave.plans.inputs import COMPONENT_SQL, components, saved
 from strataweave.plans.registry import query
 from strataweave.scratch import Scratch
@@ -23,7 +23,7 @@ PREFIX = "pkg:maven/org.shop"
 
 def _sboms(spark, folder):
     """(doc, text): a JSON document per order line; lines returned ('R') are cut off and unreadable."""
-    line = table(spark, folder, "lineitem")
+    line = whole(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
     part = F.concat(F.lit("pkg:maven/org.shop.brand"), (F.col("l_suppkey")).cast("string"), F.lit("/part-"), F.col("l_partkey").cast("string"))
     supplier = F.concat(F.lit("pkg:maven/com.supply/supplier-"), F.col("l_suppkey").cast("string"))
     v = F.concat(F.lit("@"), F.col("l_linenumber").cast("string"), F.lit(".0"))

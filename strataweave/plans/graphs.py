@@ -17,6 +17,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def whole(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table in at least as many partitions as there are task slots.
+
+    A table of one file is one task however long the work per row is; a table of many files is
+    left as it is.
+    """
+    rows = table(spark, folder, name).select(*columns)
+    slots = spark.sparkContext.defaultParallelism
+    return rows.repartition(slots) if len(rows.inputFiles()) < slots else rows
+
+
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").groupBy(
         F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")

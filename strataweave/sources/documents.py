@@ -40,13 +40,20 @@ def documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
     return reader.text(path).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
 
 
+def _once(docs: DataFrame, parsed: Column, name: str) -> DataFrame:
+    """(doc, name) with the parse in a generator, so that later filters on its result do not
+    repeat it: a filter is pushed below a projection together with a copy of the expression.
+    """
+    return docs.select("doc", F.explode(F.array(parsed)).alias(name))
+
+
 # ---- SBOM ---------------------------------------------------------------------------------
 
 
 def parse_sboms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects) of ``(doc, text)``; a document that is not JSON is a reject."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = docs.select("doc", F.from_json("text", SBOM_SCHEMA, options).alias("b"))
+    parsed = _once(docs, F.from_json("text", SBOM_SCHEMA, options), "b")
     good = parsed.where("b IS NOT NULL AND b._corrupt IS NULL").select("doc", "b.components", "b.dependencies")
     bad = parsed.where("b IS NULL OR b._corrupt IS NOT NULL").select("doc", F.lit("unreadable document").alias("error"))
     return good, bad
@@ -148,7 +155,7 @@ def parse_poms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     coordinate, or that is not XML, is a reject.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": "project"}
-    p = docs.select("doc", F.from_xml("text", POM_SCHEMA, options).alias("p"))
+    p = _once(docs, F.from_xml("text", POM_SCHEMA, options), "p")
     group = F.coalesce(blank_to_null(F.col("p.groupId")), blank_to_null(F.col("p.parent.groupId")))
     artifact = blank_to_null(F.col("p.artifactId"))
     rows = p.select(
