@@ -8,7 +8,7 @@ from strataweave.operators import adjacency as adj
 from strataweave.operators import communities, cycles, proposals, sentences, snapshots, spans
 from strataweave.plans.catalog_graph import _SCC, NODE, _deg, _propagation, _reach
 from strataweave.plans.catalog_scope import C
-from strataweave.plans.graphs import LATEST_SQL, PEAK_SQL, latest_edges, part_nodes, peak_edges, table
+from strataweave.plans.graphs import LATEST_SQL, PEAK_SQL, latest_edges, part_nodes, peak_edges, table, whole
 from strataweave.plans.inputs import COMPONENT_SQL, MEMBERSHIP_SQL, components, layout, saved
 from strataweave.plans.registry import query
 from strataweave.scratch import Scratch
@@ -69,7 +69,7 @@ MEANING = {
 
 def _texts(spark, folder):
     """(id, text): the sentence of every distinct order line."""
-    line = table(spark, folder, "lineitem")
+    line = whole(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     sentence = None
     for (number, flag), text in SENTENCES.items():
         test = (F.col("l_linenumber") == number) & (F.col("l_returnflag") == flag)
