@@ -1,13 +1,13 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Features are the words of a text (A-Z lower-cased, punctuation at the ends cut off) and their first four and
-five bytes; a feature counts once per text, so a long text does not dilute what it contains. The grades
+Features are the words of a text (runs of letters, A-Z lower-cased) and their first four and five bytes; a feature counts once per text, so a long text does not dilute what it contains. The grades
 0 .. K share one weight per feature across K ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k). The
 score is the expected severity, the sum of these probabilities.
 
 Training reads at most ``rows`` labelled rows of each outcome (a documented bound; the rows with the
-smallest id hash) and keeps the ``features`` features that tell the outcomes apart best. Grades above 1
-split the toxic rows at the median share of telling words. Scoring reads every whole text.
+smallest id hash). The ``features`` features that mark toxic rows best (log odds against their standard error)
+are candidates; an L1 penalty picks from them. No feature speaks for a text, so nothing can hide what else it
+contains. A first fit of toxic or not splits the toxic rows at the median of its score into grades 1 and 2. Scoring reads every whole text.
 
 Nulls: a null or empty text has no features and gets the base rate; a null label is no label; without
 labelled rows of both outcomes the severity is 0. Rows that repeat an id are scored on their own.
@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.textops import SPACE, Words, lists, map_batches, pieces, signed
+from strataweave.llm.textops import Words, lists, map_batches, pieces, signed
 from strataweave.scratch import Scratch
 
 ROWS = 4000
 FEATURES = 4096
+PENALTY = 1.0
 PREFIXES = (4, 5)
-PUNCTUATION = b".,;:!?\"'()[]"
-_CUT = SPACE.copy()
-_CUT[list(PUNCTUATION)] = True
 
 
 @dataclass
@@ -43,21 +41,10 @@ class Model:
     thresholds: np.ndarray
 
 
-def _word_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(feature hashes, text number of each, words) of some texts."""
-    words = Words(texts, lower=True)
-    starts, ends = words.starts.copy(), words.ends.copy()
+def _word_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature hashes, text number of each) of some texts."""
+    words = Words(texts, lower=True, letters=True)
     text = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-    while True:  # cut punctuation at both ends, one character a round
-        open_ = starts < ends
-        head = open_ & _CUT[words.data[np.minimum(starts, len(words.data) - 1)]] if len(starts) else open_
-        tail = open_ & _CUT[words.data[ends - 1]] if len(starts) else open_
-        if not head.any() and not tail.any():
-            break
-        starts = starts + head
-        ends = np.maximum(ends - tail, starts)
-    keep = starts < ends
-    words.starts, words.ends, text = starts[keep], ends[keep], text[keep]
     found, owner = [words.hashes()], [text]
     for n in PREFIXES:
         long = words.ends - words.starts > n
@@ -65,14 +52,14 @@ def _word_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
         cut.data, cut.starts, cut.ends = words.data, words.starts[long], words.starts[long] + n
         found.append(cut.hashes() + np.uint64(n))
         owner.append(text[long])
-    return np.concatenate(found), np.concatenate(owner), len(words.starts)
+    return np.concatenate(found), np.concatenate(owner)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, bad, text) to (row, bad, words, features of all words)."""
     for batch in batches:
         for first, last, texts in pieces(batch.column(2)):
-            keys, owner, _ = _word_features(texts)
+            keys, owner = _word_features(texts)
             order = np.argsort(owner, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=last - first))])
             yield pa.RecordBatch.from_arrays(
@@ -82,31 +69,42 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _gradient_fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by full-batch Adagrad on the cumulative-link likelihood."""
-    w, t = np.zeros(n), np.linspace(-1.0, 1.0, k) if k > 1 else np.zeros(1)
-    seen_w, seen_t = np.full(n, 1e-8), np.full(k, 1e-8)
+def _sparse_fit(
+    rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n: int, k: int, rounds: int = 600
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (not negative) and thresholds of the cumulative-link model under an L1 penalty.
+
+    Coordinate descent: each round moves the weight that gains most, by a Newton step, and the thresholds. A
+    feature only enters if it speaks for PENALTY rows more than the features that are already in.
+    """
     m = len(grades)
-    share = np.bincount(grades, minlength=k + 1) / m
-    balance = (1 / np.maximum(share, 1e-9))[grades] / (k + 1)
-    for _ in range(300):
-        z = np.bincount(rows, weights=w[columns], minlength=m)
+    here = np.arange(m)
+    w = np.zeros(n)
+    above = np.array([(grades >= j).mean() for j in range(1, k + 1)])
+    t = -np.log(np.clip(above, 1e-3, 1 - 1e-3) / (1 - np.clip(above, 1e-3, 1 - 1e-3)))
+    order = np.argsort(columns, kind="stable")
+    bounds = np.searchsorted(columns[order], np.arange(n + 1))
+    z = np.zeros(m)
+    for _ in range(rounds):
         upper = 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -30, 30)))  # P(grade >= 1 .. k)
         up = np.concatenate([np.ones((m, 1)), upper, np.zeros((m, 1))], axis=1)
-        here = np.arange(m)
-        p = np.maximum(up[here, grades] - up[here, grades + 1], 1e-12)
-        slope = up * (1 - up)
-        step_low, step_high = slope[here, grades] / p, slope[here, grades + 1] / p
-        dz = -(step_low - step_high) * balance / m
-        dt = np.zeros(k + 2)
-        np.add.at(dt, grades, step_low * balance / m)
-        np.add.at(dt, grades + 1, -step_high * balance / m)
-        dt = dt[1:-1]
-        dw = np.bincount(columns, weights=dz[rows], minlength=n) + 1e-5 * w
-        seen_w += dw * dw
-        seen_t += dt * dt
-        w -= 0.3 * dw / np.sqrt(seen_w)
-        t = np.maximum.accumulate(t - 0.3 * dt / np.sqrt(seen_t))
+        a, b = up[here, grades], up[here, grades + 1]
+        p = np.maximum(a - b, 1e-9)
+        slope, curve = a + b - 1, a * (1 - a) + b * (1 - b)  # of -log P(grade) by w.x
+        g = np.bincount(columns, weights=slope[rows], minlength=n)
+        h = np.bincount(columns, weights=curve[rows], minlength=n) + 0.5
+        step = np.clip(np.maximum(0.0, w - (g + PENALTY) / h) - w, -1.0, 1.0)
+        best = int(np.argmax(step * step * h))
+        gt = np.zeros(k + 2)
+        np.add.at(gt, grades, a * (1 - a) / p)
+        np.add.at(gt, grades + 1, -b * (1 - b) / p)
+        ht = (upper * (1 - upper)).sum(axis=0) + 1.0
+        dt = np.clip(-0.5 * gt[1:-1] / ht, -0.5, 0.5)
+        if abs(step[best]) < 1e-3 and np.abs(dt).max() < 1e-3:
+            break
+        w[best] += step[best]
+        z[rows[order[bounds[best] : bounds[best + 1]]]] += step[best]
+        t = np.maximum.accumulate(t + dt + 1e-6 * np.arange(k))
     return w, t
 
 
@@ -135,34 +133,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FE
     good = F.col("n") - F.col("with_bad")
     odds = F.log((F.col("with_bad") + 0.5) / (n[1] + 1)) - F.log((good + 0.5) / (n[0] + 1))
     score = F.abs(odds) / F.sqrt(1 / (F.col("with_bad") + 0.5) + 1 / (good + 0.5))
-    best = by.where("n >= 3").select("key", odds.alias("odds"), score.alias("score")).where("score > 3")
+    best = by.where("n >= 3").select("key", odds.alias("odds"), score.alias("score")).where("odds > 0 AND score > 1.5")
     best = best.orderBy(F.desc("score"), "key").limit(features).toPandas()  # at most ``features`` rows
     if best.empty:
         return empty
     best = best.sort_values("key", key=lambda c: c.astype("int64").to_numpy().view(np.uint64))
     keys = best["key"].to_numpy(np.int64).view(np.uint64)
-    telling = np.sort(signed(keys[best["odds"].to_numpy() > 1.0]))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, share = [], []
-            for value in batch.column(2):
-                all_ = np.array(value.as_py() or [], dtype=np.int64).view(np.uint64)
-                out.append(_lookup(keys, np.unique(all_)))
-                share.append(float(np.isin(signed(all_), telling).sum()) / max(1, len(all_)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([o.tolist() for o in out], pa.list_(pa.int32())), pa.array(share)],
-                ["bad", "columns", "share"],
-            )
+            found = [np.array(v.as_py() or [], dtype=np.int64).view(np.uint64) for v in batch.column(2)]
+            columns = pa.array([_lookup(keys, np.unique(f)).tolist() for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), columns], ["bad", "columns"])
 
-    small = map_batches(table, reduce, "bad int, columns array<int>, share double").toPandas()  # <= 2 * rows rows
-    bad = small["bad"].to_numpy()
-    middle = np.median(small["share"].to_numpy()[bad == 1])
-    grades = np.where(bad == 1, 1 + (small["share"].to_numpy() > middle), 0).astype(int)
+    small = map_batches(table, reduce, "bad int, columns array<int>").toPandas()  # at most 2 * rows rows
+    bad = small["bad"].to_numpy().astype(int)
     lengths = small["columns"].map(len).to_numpy()
     rows_of = np.repeat(np.arange(len(small)), lengths)
     columns = np.concatenate([np.asarray(c, dtype=np.int64) for c in small["columns"]] or [np.zeros(0, np.int64)])
-    weights, cuts = _gradient_fit(rows_of, columns, grades, len(keys), int(grades.max()))
+    weights, _ = _sparse_fit(rows_of, columns, bad, len(keys), 1)
+    marks = np.bincount(rows_of, weights=weights[columns], minlength=len(bad))
+    grades = np.where(bad == 1, 1 + (marks > np.median(marks[bad == 1])), 0)
+    weights, cuts = _sparse_fit(rows_of, columns, grades, len(keys), int(grades.max()))
     return Model(keys, weights, cuts)
 
 
@@ -176,7 +168,7 @@ def severity(texts: list[bytes], model: Model) -> np.ndarray:
     """P(grade >= k) for each text and k."""
     score = np.zeros(len(texts))
     if len(model.keys):
-        found, owner, _ = _word_features(texts)
+        found, owner = _word_features(texts)
         at = np.minimum(np.searchsorted(model.keys, found), len(model.keys) - 1)
         hit = model.keys[at] == found
         pairs = np.unique(owner[hit] * len(model.keys) + at[hit])  # a feature counts once per text
