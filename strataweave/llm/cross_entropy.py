@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strataweave.llm.textops import Words, map_batches, pieces, signed
 
-SIZE = 1024
+SIZE = 1024  # less than 2 ** 15
 PULL = 50.0  # weight of the unigrams in a bigram estimate, in counts
 HOLD = 1_000_000
 
@@ -79,18 +79,39 @@ def tokens(texts: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return before, ids, found.bounds
 
 
-def pair_counts(docs: DataFrame, words: np.ndarray, size: int) -> np.ndarray:
-    """(2, size, size) counts of word pairs in the targets and in all of ``docs(text, target)``."""
+def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(doc_id, ids): the texts as two-byte token numbers, a third of their bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, part in pieces(batch.column(1)):
+                _, ids, bounds = tokens(part, shared.value)
+                small = ids.astype(np.int16)
+                rows = [small[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(rows, pa.binary())], ["doc_id", "ids"]
+                )
+
+    return map_batches(docs, run, "doc_id long, ids binary")
+
+
+def pair_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """(2, size, size) counts of token pairs in the targets and in all of ``docs(ids, target)``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size * size), np.int64)
         for batch in batches:
             marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for first, last, part in pieces(batch.column(0)):
-                before, ids, bounds = tokens(part, shared.value)
+                ids = np.frombuffer(b"".join(part), np.int16).astype(np.int64)
+                lengths = np.array([len(t) // 2 for t in part])
+                before = np.zeros_like(ids)
+                before[1:] = ids[:-1]
+                starts = np.cumsum(lengths) - lengths
+                before[starts[lengths > 0]] = 0
                 slots = before * size + ids
-                mine = np.repeat(marks[first:last], np.diff(bounds))
+                mine = np.repeat(marks[first:last], lengths)
                 total[0] += np.bincount(slots[mine], minlength=size * size)
                 total[1] += np.bincount(slots, minlength=size * size)
         at = np.flatnonzero(total[1])
@@ -130,8 +151,10 @@ def score(docs: DataFrame, targets: DataFrame, size: int = SIZE) -> DataFrame:
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     words = vocabulary(table, size)
     marks = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    marked = table.join(marks.withColumn("mark", F.lit(True)), "doc_id", "left")
-    counts = pair_counts(marked.select("text", F.coalesce("mark", F.lit(False)).alias("target")), words, size)
+    # the marks grow with the labels, so they are joined by a shuffle at every size; token numbers move, not texts
+    marks = marks.withColumn("mark", F.lit(True)).hint("merge")
+    marked = encoded(table, words).join(marks, "doc_id", "left")
+    counts = pair_counts(marked.select("ids", F.coalesce("mark", F.lit(False)).alias("target")), size)
     shared = docs.sparkSession.sparkContext.broadcast((words, losses(counts)))  # size squared floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
