@@ -17,6 +17,8 @@ together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,31 +43,35 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
 
 
-def template(found: Column) -> Column:
-    """The template tokens of an array of words."""
+def tokenized(table: DataFrame, key: str) -> DataFrame:
+    """(key, words, low): the words of ``table(key, text)`` as they are and in lower case, one to one."""
+    return table.select(key, words(F.col("text")).alias("words"), words(F.lower("text")).alias("low"))
+
+
+def template(token: Callable[[Column], Column] = lambda t: t) -> Column:
+    """The template tokens of columns ``words`` and ``low``, each passed through ``token``."""
+    raw, low = F.col("words"), F.col("low")
 
-    def token(word: Column, at: Column) -> Column:
-        code = F.ascii(word)
-        digit = code.between(48, 57)
-        before = F.get(found, at - 1)
-        upper = F.substring(word, 1, 1)
-        opens = (at == 0) | F.substring(before, -1, 1).isin(".", "!", "?", ":")
-        name = (code.between(65, 90) | (code > 127) & (upper != F.lower(upper))) & ~opens
-        plain = F.btrim(F.lower(word), F.lit(PUNCTUATION))
+    def canonical(plain: Column, at: Column) -> Column:
+        first = F.ascii(plain)
+        signed = first.isin(36, 43, 45, 163, 8364) & plain.rlike(r"^[^\p{L}\d]*\d")  # $ + - pound and euro signs
+        capital = F.ascii(F.get(raw, at)) != F.ascii(F.get(low, at))
+        inside = (at > 0) & ~F.substring(F.get(raw, at - 1), -1, 1).isin(".", "!", "?", ":")
         return (
-            F.when(digit | word.rlike(r"^[$€£(\-+.]+\d"), F.lit("<num>"))
-            .when(name, F.lit("<name>"))
+            F.when(first.between(48, 57) | signed, F.lit("<num>"))
+            .when(capital & inside, F.lit("<name>"))
             .when(plain.isin(UNITS), F.lit("<unit>"))
             .otherwise(plain)
         )
 
-    return F.transform(found, token)
+    plain = F.transform(low, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    return F.transform(plain, lambda p, at: token(canonical(p, at)))
 
 
 def _windows(table: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, at, window) for ``table(key, words)``: hashes of the runs of ``n`` template tokens, or of all tokens."""
-    hashed = F.transform(template(F.col("words")), lambda t: F.xxhash64(t))
-    rows = table.select(key, hashed.alias("h")).where(F.size("h") > 0)
+    """(key, at, window) for ``table(key, words, low)``: hashes of the runs of ``n`` template tokens, or of all tokens."""
+    rows = table.select(key, template(F.xxhash64).alias("h"))
+    # no words give no rows here; a filter on their number would be pushed below and split the text per word
     full = rows.select(
         key,
         F.posexplode(F.arrays_zip(*[F.slice("h", i + 1, F.greatest(F.size("h") - (n - 1), F.lit(1))).alias(f"c{i}") for i in range(n)])),
@@ -77,25 +83,25 @@ def _windows(table: DataFrame, key: str, n: int) -> DataFrame:
 
 def _slots(table: DataFrame, key: str) -> DataFrame:
     """(key, at, value) of the words that became placeholders."""
-    both = F.arrays_zip(F.col("words").alias("word"), template(F.col("words")).alias("token"))
+    both = F.arrays_zip(F.col("low").alias("word"), template().alias("token"))
     return (
         table.select(key, F.posexplode(both).alias("at", "w"))
         .where(F.col("w.token").isin("<num>", "<name>", "<unit>"))
-        .select(key, "at", F.btrim(F.lower("w.word"), F.lit(PUNCTUATION)).alias("value"))
+        .select(key, "at", F.btrim("w.word", F.lit(PUNCTUATION)).alias("value"))
     )
 
 
 def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, found, windows) for every item of ``items(item_id, text)`` that leaks into a document."""
     scratch = Scratch(docs.sparkSession, "llm-leaks")
-    asked = scratch.save(items.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("words")))
+    asked = scratch.save(tokenized(items.where("item_id IS NOT NULL"), "item_id"))
     known = scratch.save(_windows(asked, "item_id", n))
     total = scratch.save(known.groupBy("item_id").agg(F.countDistinct("window").alias("windows")))
     places = known.select("item_id", F.col("at").alias("item_at"), "window")
     few = known.count() <= BROADCAST_WINDOWS
     distinct = known.select("window").distinct()
 
-    mine = _windows(docs.select("doc_id", words(F.col("text")).alias("words")), "doc_id", n)
+    mine = _windows(tokenized(docs, "doc_id"), "doc_id", n)
     # first the windows that occur at all, then their places in the items: a common window is not multiplied early
     hits = mine.join(F.broadcast(distinct) if few else distinct, "window", "left_semi")
     hits = scratch.save(hits)
@@ -116,7 +122,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHA
     item_slots = _slots(asked, "item_id").select("item_id", F.col("at").alias("slot"), F.col("value").alias("asked"))
     ids = candidates.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted")
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    doc_slots = scratch.save(_slots(texts.select("doc_id", words(F.col("text")).alias("words")), "doc_id"))
+    doc_slots = scratch.save(_slots(tokenized(texts, "doc_id"), "doc_id"))
     covered = aligned.select(
         "doc_id", "item_id", "shift", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + n - 1)).alias("slot")
     ).distinct()
