@@ -31,6 +31,7 @@ ROWS = 300
 CUT = 3000
 TABLE_BITS = 18
 CHUNK = 128
+MOST_LANGUAGES = 1000
 STRETCH = 12  # mean words of a training stretch
 SEQUENCE = 64  # words of a training sequence
 HOLD_WORDS = 600_000
@@ -173,8 +174,16 @@ def sample(docs: DataFrame, rows: int = ROWS, cut: int = CUT) -> DataFrame:
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    counts = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return usable.select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    # a hash threshold leaves a few times the wanted rows of each language, so the window stays small
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, (4.0 * rows + 100) / r["count"]))])
     ids = (
         usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+        .where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
         .withColumn("n", F.row_number().over(first))
         .where(F.col("n") <= rows)
         .select("doc_id", "h")

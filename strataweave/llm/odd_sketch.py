@@ -9,11 +9,12 @@ if 100 * intersection >= percent * union.
    two bitmaps is the bitmap of the samples that differ and its population count estimates the similarity.
 2. Equal sequences form classes; only one representative (the smallest id) goes on.
 3. Representatives that share a band key form a bucket. Buckets with the same members are handled once.
-4. Members of a bucket are compared in blocks of bounded size, each pair of blocks in its own group. Within a
-   group a pair is skipped once both texts are in one component, the odd sketches sieve the rest, and the full
-   sets decide. Only links that join two components leave the group, so a bucket of n texts emits less than n
-   links for each pair of blocks, not n * n.
-5. Components of the links give the classes of near-duplicates.
+4. Members of a bucket are compared in blocks of bounded size, dealt anew for every bucket. Within a block a pair
+   is skipped once both texts are in one component, the odd sketches sieve the rest, and the full sets decide.
+   Only links that join two components leave a block, so a bucket of n texts emits less than n links, not n * n.
+5. In a bucket of several blocks, members outside the component that most members belong to by now are compared
+   with the members of all blocks. After that every pair of a bucket has been compared or is in one component.
+6. Components of the links give the classes of near-duplicates.
 
 A pair at similarity 0.8 shares no band with probability 5e-8; the sieve keeps pairs whose estimate is five
 standard errors below 0.8. Nothing is capped.
@@ -140,14 +141,16 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     return map_batches(docs, run, "id long, shingles array<long>")
 
 
-def joining_links(side: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def joining_links(
+    side: np.ndarray, root: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent: int
+) -> list[tuple[int, int]]:
     """Pairs of positions whose sets are similar enough and that join two components, in order.
 
-    ``side`` 0 and 1: only pairs across; all 0: all pairs.
+    ``side`` 0 and 1: only pairs across; all 0: all pairs. ``root`` are the components so far.
     """
     m = len(sets)
     cross = bool(side.any())
-    root = np.arange(m)
+    root = np.unique(root, return_inverse=True)[1]
     size = np.array([len(s) for s in sets])
     limit = most_bits(percent)
     found = []
@@ -198,12 +201,7 @@ def links(described: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
     placed = scratch.save(
         member.join(bucket, "bucket")
         .withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "bucket", "id", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"),
-        )
+        .select("bucket", "blocks", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int").alias("own"), "id")
     )
     wanted = scratch.save(placed.select("id").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
@@ -212,7 +210,7 @@ def links(described: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
     sets = scratch.save(sets.dropDuplicates(["id"]).join(known.select("id", "sketch"), "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["bucket", "p", "q"]):
+        for group in groups(batches, ["bucket", "own"]):
             ids = group.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             shingles = group.column("shingles").combine_chunks()
@@ -221,14 +219,33 @@ def links(described: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
             found = [flat[bounds[i] : bounds[i + 1]] for i in order]
             raw = group.column("sketch").to_pylist()
             sketch = np.frombuffer(b"".join(raw[i] for i in order), np.uint64).reshape(len(ids), -1)
-            pairs = joining_links(group.column("side").to_numpy()[order], sketch, found, percent)
+            side, root = (group.column(c).to_numpy()[order] for c in ("side", "root"))
+            pairs = joining_links(side, root, sketch, found, percent)
             if pairs:
                 a, b = zip(*pairs)
                 yield pa.RecordBatch.from_pydict({"a": ids[order][list(a)], "b": ids[order][list(b)]})
 
-    dealt = placed.join(sets, "id").select("bucket", "p", "q", "side", "id", "sketch", "shingles")
-    dealt = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return scratch.save(map_batches(dealt, run, "a long, b long").distinct())
+    def compare(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(sets, "id").select("bucket", "own", "side", "root", "id", "sketch", "shingles")
+        dealt = dealt.repartition("bucket", "own").sortWithinPartitions("bucket", "own")
+        return scratch.save(map_batches(dealt, run, "a long, b long").distinct())
+
+    none = F.lit(0).alias("side")
+    found = compare(placed.select("bucket", "own", none, F.col("id").alias("root"), "id"))
+    several = placed.where("blocks > 1")
+    if several.isEmpty():
+        return found
+    known = components(found, scratch)
+    several = scratch.save(
+        several.join(known, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+    )
+    most = F.max(F.struct("count", "root"))["root"]
+    main = scratch.save(several.groupBy("bucket", "root").count().groupBy("bucket").agg(most.alias("main")))
+    outside = scratch.save(several.join(main, "bucket").where("root <> main").drop("main"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own")
+    rows = several.join(outside.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "own", none, "root", "id")
+    rows = rows.unionByName(outside.select("bucket", everywhere, F.lit(1).alias("side"), "root", "id"))
+    return scratch.save(found.unionByName(compare(rows)))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
