@@ -8,10 +8,10 @@ other occurrence are removed. Edges are never listed one by one where they need
    path, a row of (minimizer, coordinates, 128-bit hash of the whole path). Equal edges have equal
    minimizers, so a minimizer that occurs once proves that none of its edges is repeated: one count and one
    semi-join over about an eighth as many rows as there are words leave the repeated minimizers.
-2. If all paths of a minimizer are equal, none of its nodes branches and the path stays one compacted row. Its
-   source is the smallest coordinate, found by an aggregate and joined back.
-3. Paths of branching minimizers (the borders of copied passages) are split into edges, which are counted and
-   joined in the same way.
+2. Equal paths of a minimizer stay compacted: their source is the smallest coordinate, found by an aggregate and
+   joined back, and every other occurrence is a repeat as a whole.
+3. Where a minimizer has several paths the graph branches (the borders of copied passages). One occurrence of
+   each path is split into edges, which are counted and joined in the same way.
 4. Per text, the joined rows are chained to spans of (words, source id, source start) as long as the source
    coordinates advance in step. Source and copy are compared by the 128-bit hash of their words.
 
@@ -25,6 +25,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,10 @@ def chain(copies: np.ndarray) -> np.ndarray:
     return np.stack([first[heads], np.maximum.reduceat(last, heads), source[heads], at[heads]], axis=1)
 
 
+def _table(copies: pa.StructArray) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in copies.flatten()], axis=1)
+
+
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(id, copies) for ``docs(id, text)`` with binary texts and ids that are not null.
 
@@ -159,27 +164,31 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     repeated = scratch.save(repeated)
     rows = scratch.save(paths(docs, k, m).join(repeated, "mini", "left_semi"))
     scratch.drop(repeated)
-    source = F.min(F.struct("id", "first")).alias("source")
-    buckets = scratch.save(
-        rows.groupBy("mini").agg(
-            source,
-            ((F.min("low") == F.max("low")) & (F.min("high") == F.max("high"))).alias("plain"),
+    # equal paths of a bucket are one node sequence: its first occurrence is the source of the others
+    whole = scratch.save(
+        rows.groupBy("mini", "low", "high").agg(
+            F.min(F.struct("id", "first", "last")).alias("source"), F.count("*").alias("n")
         )
     )
-    placed = scratch.save(rows.join(buckets, "mini"), replaces=rows)
+    sources = whole.where("n > 1").select("mini", "low", "high", "source")
     later = ~((F.col("id") == F.col("source.id")) & (F.col("first") == F.col("source.first")))
     columns = ["id", "first", "last", F.col("source.id").alias("from"), F.col("source.first").alias("at")]
-    whole = placed.where(F.col("plain") & later).select(*columns)
+    copies = rows.join(sources, ["mini", "low", "high"]).where(later).select(*columns)
 
-    branching = placed.where(~F.col("plain")).groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("paths"))
-    edges = scratch.save(split_paths(docs.join(branching, "id").select("id", "text", "paths"), k))
+    # buckets with several paths branch: one occurrence of each path is split into its edges
+    branching = scratch.save(whole.groupBy("mini").count().where("count > 1").select("mini"))
+    listed = whole.join(branching, "mini", "left_semi").select("source.*").groupBy("id").agg(
+        F.collect_set(F.struct("first", "last")).alias("paths")
+    )
+    edges = scratch.save(split_paths(docs.join(listed, "id").select("id", "text", "paths"), k))
     first_edges = scratch.save(
-        edges.groupBy("low", "high").agg(source, F.count("*").alias("n")).where("n > 1").drop("n")
+        edges.groupBy("low", "high").agg(F.min(F.struct("id", "first")).alias("source"), F.count("*").alias("n"))
+        .where("n > 1").drop("n")
     )
     single = (
         edges.join(first_edges, ["low", "high"]).where(later).withColumn("last", F.col("first")).select(*columns)
     )
-    copies = whole.unionByName(single)
+    copies = copies.unionByName(single)
     # a text's own paths only: no more than its words
     return scratch.save(
         copies.groupBy("id").agg(F.collect_set(F.struct("first", "last", "from", "at")).alias("copies"))
@@ -206,21 +215,17 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
                 counts, removed, kept, spans = [], [], [], []
                 for i, text in enumerate(texts):
                     words = text.split()
-                    copies = listed[first + i].as_py() or []
-                    rows = chain(np.array([[c["first"], c["last"], c["from"], c["at"]] for c in copies], np.int64))
-                    gone = np.zeros(len(words), bool)
-                    for a, b, _, _ in rows.reshape(-1, 4):
-                        gone[a : b + k] = True
+                    copies = listed[first + i]
+                    rows = chain(_table(copies.values) if copies.is_valid else np.zeros((0, 4), np.int64))
+                    stay = np.ones(len(words), bool)
+                    for a, b, _, _ in rows.tolist():
+                        stay[a : b + k] = False
                     counts.append(len(words))
-                    removed.append(int(gone.sum()))
-                    if len(rows):
-                        text = b" ".join([w for w, out in zip(words, gone.tolist()) if not out])
-                    else:
-                        text = b" ".join(words)
-                    kept.append(text)
+                    removed.append(len(words) - int(stay.sum()))
+                    kept.append(b" ".join(compress(words, stay.tolist()) if len(rows) else words))
                     spans.append([
                         {"first": a, "last": b + k, "source_id": None if s == NO_ID else s, "at": x}
-                        for a, b, s, x in rows.reshape(-1, 4).tolist()
+                        for a, b, s, x in rows.tolist()
                     ])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(counts, pa.int64()),
