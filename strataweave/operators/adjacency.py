@@ -96,7 +96,7 @@ def _running_total(hist: DataFrame, key: str, rows: str) -> DataFrame:
     from strataweave.scratch import Scratch
 
     sliced = Scratch(hist.sparkSession, "running").save(
-        hist.repartitionByRange(32, key).withColumn("_slice", F.spark_partition_id())
+        hist.repartitionByRange(key).withColumn("_slice", F.spark_partition_id())
     )
     inside = Window.partitionBy("_slice").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

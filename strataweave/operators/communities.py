@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.operators.adjacency import degrees, node_ids, undirected
+from strataweave.operators.clusters import main_cluster
 from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, skew_join
 
@@ -45,6 +46,13 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, iterations: int = 10)
     return state.select("id", "community")
 
 
+def main_cluster_communities(nodes: DataFrame, edges: DataFrame, components: DataFrame, more_than: int = 10) -> DataFrame:
+    """(id, community) as the grouping report has them: the largest cluster only, if it has enough nodes."""
+    main = Scratch(edges.sparkSession, "main").save(main_cluster(components))
+    main = main.where(main.agg(F.count("*") > more_than).scalar())
+    return label_propagation(main, edges)
+
+
 def louvain(
     nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sweeps: int = 20
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataweave.operators.adjacency import node_ids, simple_edges
 from strataweave.operators.spread import spread, waves
 from strataweave.scratch import Scratch
-from strataweave.skew import hot_keys, skew_join
+from strataweave.skew import hot_keys, number_rows, skew_join
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def cycle_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def scc_ranking(edges: DataFrame, components: DataFrame, min_size: int = 2) -> DataFrame:
-    """(scc_id, size, internal_edges, external_edges) of the cyclic components."""
+    """(rank, scc_id, size, internal_edges, external_edges) of the cyclic components, largest first."""
     joined = with_scc(edges, components)
     touched = joined.select(
         F.col("src_scc").alias("scc_id"),
@@ -117,12 +117,21 @@ def scc_ranking(edges: DataFrame, components: DataFrame, min_size: int = 2) -> D
         F.count_if("inner").alias("internal_edges"), F.count_if(~F.col("inner")).alias("external_edges")
     )
     sizes = components.groupBy("scc_id").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
-    return sizes.join(counts, "scc_id", "left").select(
+    found = sizes.join(counts, "scc_id", "left").select(
         "scc_id",
         "size",
         F.coalesce("internal_edges", F.lit(0)).alias("internal_edges"),
         F.coalesce("external_edges", F.lit(0)).alias("external_edges"),
     )
+    ranked = number_rows(found, [F.desc("size"), F.col("scc_id")], "rank")
+    return ranked.withColumn("rank", F.col("rank") + 1)
+
+
+def largest_sccs(components: DataFrame, top: int = 5) -> DataFrame:
+    """(scc_id, size, id): the members of the ``top`` largest cyclic components."""
+    sizes = components.where("scc_size > 1").select("scc_id", F.col("scc_size").alias("size")).distinct()
+    largest = sizes.orderBy(F.desc("size"), "scc_id").limit(top)
+    return components.join(F.broadcast(largest), "scc_id").select("scc_id", "size", "id")  # top rows
 
 
 def scc_summary(components: DataFrame) -> DataFrame:

@@ -299,7 +299,7 @@ def grid_layout(clusters: DataFrame, min_samples: int = 2) -> DataFrame:
     sizes = scratch.save(rows.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples))
     sliced = scratch.save(
         rows.join(sizes.select("cluster"), "cluster", "left_semi")
-        .repartitionByRange(32, "cluster", "id")
+        .repartitionByRange("cluster", "id")
         .withColumn("_s", F.spark_partition_id())
     )
     before = Window.partitionBy("cluster").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)

@@ -69,7 +69,11 @@ def match_existing(rows: DataFrame, existing: DataFrame) -> DataFrame:
     known = existing.where("group_id IS NOT NULL AND artifact_id IS NOT NULL")
     by_coordinate = known.groupBy("group_id", "artifact_id").agg(F.min("key").alias("_c"))
     by_name = existing.groupBy("name").agg(F.min("key").alias("_n"))
-    out = rows.join(by_coordinate, ["group_id", "artifact_id"], "left")
+    whole = F.col("group_id").isNotNull() & F.col("artifact_id").isNotNull()
+    kind = by_coordinate.schema["_c"].dataType
+    out = rows.where(whole).join(by_coordinate, ["group_id", "artifact_id"], "left").unionByName(
+        rows.where(~whole).withColumn("_c", F.lit(None).cast(kind))
+    )
     out = skew_join(out, by_name, "name", "left", hot_left=hot_keys(rows, "name"))
     return out.withColumn("matched_key", F.coalesce("_c", "_n")).withColumn(
         "matched_by", F.when(F.col("_c").isNotNull(), "coordinate").when(F.col("_n").isNotNull(), "name")
@@ -132,13 +136,6 @@ def external_targets(dependencies: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def known_targets(edges: DataFrame, nodes: DataFrame, key: str = "key") -> DataFrame:
-    """Edges whose target is a listed component."""
-    return skew_join(
-        edges, nodes.select(F.col(key).alias("dst")), "dst", "left_semi", hot_left=hot_keys(edges, "dst")
-    )
-
-
 def latest(rows: DataFrame, key: str, when: str) -> DataFrame:
     """The newest row of every key."""
     others = [c for c in rows.columns if c != key]
@@ -163,10 +160,12 @@ def link_projects(poms: DataFrame, projects: DataFrame) -> DataFrame:
     """
     by_path = longest_prefix(poms.select("file").distinct(), projects).withColumnRenamed("project", "_p")
     by_scm = projects.select(F.col("path").alias("_scm"), F.col("project").alias("_s"))
+    placed = poms.withColumn("_scm", scm_path(F.col("scm"))).join(by_path, "file", "left")
+    linked = placed.where("_scm IS NOT NULL").join(by_scm, "_scm", "left")
+    # poms without a link would all meet under one null key
+    bare = placed.where("_scm IS NULL").withColumn("_s", F.lit(None).cast(by_scm.schema["_s"].dataType))
     picked = (
-        poms.withColumn("_scm", scm_path(F.col("scm")))
-        .join(by_path, "file", "left")
-        .join(by_scm, "_scm", "left")
+        linked.unionByName(bare)
         .select(
             F.coalesce("_p", "_s").alias("project"),
             "key",

@@ -82,6 +82,11 @@ def residual_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return peel(nodes, edges)[1]
 
 
+def is_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: whether a topological order places every node."""
+    return residual_edges(nodes, edges).agg((F.count("*") == 0).alias("is_dag"))
+
+
 def topological_layers(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
     """(id, layer): longest path from the roots, with all members of a cycle on one layer."""
     dag = condense(edges, components).select(

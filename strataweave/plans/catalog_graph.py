@@ -45,11 +45,30 @@ def _scc(g: str) -> str:
     return _reach(g) + "," + _SCC
 
 
+def _big_scc(g: str) -> str:
+    """The component of the busiest node by two plain searches, closures on the rest only."""
+    return f"""
+seed AS MATERIALIZED (SELECT src AS id FROM {g} GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1),
+fw AS (SELECT id FROM seed UNION SELECT dst FROM fw JOIN {g} ON src = fw.id),
+bw AS (SELECT id FROM seed UNION SELECT src FROM bw JOIN {g} ON dst = bw.id),
+giant AS MATERIALIZED (SELECT id FROM fw WHERE id IN (SELECT id FROM bw)),
+rest AS MATERIALIZED (SELECT src, dst FROM {g} WHERE src NOT IN (SELECT id FROM giant) AND dst NOT IN (SELECT id FROM giant)),
+reach AS (SELECT src, dst FROM rest UNION SELECT r.src, e.dst FROM reach r JOIN rest e ON r.dst = e.src),
+low AS (SELECT a.src AS id, min(a.dst) AS m FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
+scc AS MATERIALIZED (
+  SELECT id, scc_id, count(*) OVER (PARTITION BY scc_id) AS scc_size
+  FROM (SELECT id, CASE WHEN id IN (SELECT id FROM giant) THEN (SELECT min(id) FROM giant) ELSE coalesce(least(id, m), id) END AS scc_id
+        FROM node LEFT JOIN low USING (id)))"""
+
+
 def _wcc(g: str) -> str:
     return f"""
-und AS (SELECT src AS a, dst AS b FROM {g} UNION SELECT dst, src FROM {g}),
-lab AS (SELECT id AS n, id AS l FROM node UNION SELECT u.b, c.l FROM lab c JOIN und u ON u.a = c.n WHERE c.l < u.b),
-wcc AS (SELECT n AS id, min(l) AS component FROM lab GROUP BY 1),
+und AS MATERIALIZED (SELECT src AS a, dst AS b FROM {g} UNION SELECT dst, src FROM {g}),
+start AS MATERIALIZED (SELECT a AS id FROM und GROUP BY 1 ORDER BY count(*) DESC, a LIMIT 1),
+most AS (SELECT id FROM start UNION SELECT b FROM most JOIN und ON a = most.id),
+lab AS (SELECT id AS n, id AS l FROM node WHERE id NOT IN (SELECT id FROM most)
+        UNION SELECT u.b, c.l FROM lab c JOIN und u ON u.a = c.n WHERE c.l < u.b),
+wcc AS (SELECT n AS id, min(l) AS component FROM lab GROUP BY 1 UNION ALL SELECT id, (SELECT min(id) FROM most) FROM most),
 info AS (SELECT component, count(*) AS size FROM wcc GROUP BY 1),
 main AS (SELECT component FROM info ORDER BY size DESC, component LIMIT 1)"""
 
@@ -137,11 +156,11 @@ def connected(spark, folder):
     "g07_cluster_info",
     f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_wcc('peak')}
     SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS rank, component = (SELECT component FROM main) AS is_main
-    FROM info ORDER BY size DESC, component LIMIT 20""",
+    FROM info""",
 )
 def _(spark, folder):
     c = clusters.connected_components(*_peak(spark, folder))
-    return clusters.ranked_clusters(c, 20).select("component", "size", "rank", "is_main")
+    return clusters.ranked_clusters(c).select("component", "size", "rank", "is_main")
 
 
 @query(
@@ -181,7 +200,17 @@ def _(spark, folder):
     )
 
 
-@query("g03_scc", f"WITH RECURSIVE {NODE}, {PEAK_SQL}, {_scc('peak')} SELECT id, scc_id, scc_size FROM scc")
+@query(
+    "a17_cluster_members",
+    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_wcc('peak')},
+    top AS (SELECT component, row_number() OVER (ORDER BY size DESC, component) AS rank FROM info ORDER BY rank LIMIT 10)
+    SELECT rank, component, id FROM top JOIN wcc USING (component)""",
+)
+def _(spark, folder):
+    return clusters.cluster_members(clusters.connected_components(*_peak(spark, folder)))
+
+
+@query("g03_scc", f"WITH RECURSIVE {NODE}, {PEAK_SQL}, {_big_scc('peak')} SELECT id, scc_id, scc_size FROM scc")
 def strongly_connected(spark, folder):
     return cycles.scc(*_peak(spark, folder))
 
@@ -198,7 +227,7 @@ def _(spark, folder):
 
 @query(
     "g05_cycle_edges",
-    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_scc('peak')}
+    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_big_scc('peak')}
     SELECT src, dst FROM peak JOIN scc a ON a.id = src JOIN scc b ON b.id = dst WHERE a.scc_id = b.scc_id AND (a.scc_size > 1 OR src = dst)""",
 )
 def _(spark, folder):
@@ -215,12 +244,22 @@ def _(spark, folder):
     return cycles.scc_summary(cycles.scc(*_latest(spark, folder)))
 
 
+@query(
+    "a15_largest_sccs",
+    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_scc('latest')},
+    s AS (SELECT scc_id, count(*) AS size FROM scc GROUP BY 1 HAVING count(*) > 1 ORDER BY size DESC, scc_id LIMIT 5)
+    SELECT scc_id, size, id FROM s JOIN scc USING (scc_id)""",
+)
+def _(spark, folder):
+    return cycles.largest_sccs(cycles.scc(*_latest(spark, folder)))
+
+
 @query(
     "g36_scc_ranking",
-    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_scc('peak')},
+    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_big_scc('peak')},
     x AS (SELECT a.scc_id AS sa, b.scc_id AS sb FROM peak JOIN scc a ON a.id = src JOIN scc b ON b.id = dst),
     s AS (SELECT scc_id, count(*) AS size FROM scc GROUP BY 1 HAVING count(*) > 1)
-    SELECT scc_id, size, (SELECT count(*) FROM x WHERE sa = scc_id AND sb = scc_id) AS internal_edges,
+    SELECT row_number() OVER (ORDER BY size DESC, scc_id) AS rank, scc_id, size, (SELECT count(*) FROM x WHERE sa = scc_id AND sb = scc_id) AS internal_edges,
            (SELECT count(*) FROM x WHERE sa <> sb AND (sa = scc_id OR sb = scc_id)) AS external_edges FROM s""",
 )
 def _(spark, folder):
@@ -236,16 +275,16 @@ def _cycles_sql(g: str, length: int) -> str:
     SELECT array_to_string(p, '>') AS cycle, len(p) AS length FROM path JOIN {g} e ON e.src = last AND e.dst = start"""
 
 
-@query("g15_enumerate_cycles", f"WITH RECURSIVE {PEAK_SQL}, {_cycles_sql('peak', 8)} ORDER BY length, p LIMIT 25")
+@query("g15_enumerate_cycles", f"WITH RECURSIVE {PEAK_SQL}, {_cycles_sql('peak', 3)} ORDER BY length, p LIMIT 25")
 def bounded_cycles(spark, folder):
     n, e = _peak(spark, folder)
-    found = cycles.enumerate_cycles(e, cycles.scc(n, e), 8, max_cycles=25)
+    found = cycles.enumerate_cycles(e, cycles.scc(n, e), 3, max_cycles=25)
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
 
 
-@query("g16_all_short_cycles", f"WITH RECURSIVE {PEAK_SQL}, {_cycles_sql('peak', 10)}")
+@query("g16_cycles_up_to_length_10", f"WITH RECURSIVE {LATEST_SQL}, {_cycles_sql('latest', 10)}")
 def _(spark, folder):
-    n, e = _peak(spark, folder)
+    n, e = _latest(spark, folder)
     found = cycles.enumerate_cycles(e, cycles.scc(n, e), 10, self_loops=True)
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
 
@@ -253,16 +292,16 @@ def _(spark, folder):
 @query(
     "g17_cycle_steps_checked",
     f"""WITH {BOTH_SQL},
-    claim AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM peak a JOIN peak b ON a.dst = b.src WHERE a.src <> b.dst),
+    claim AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM latest a JOIN latest b ON a.dst = b.src WHERE a.src <> b.dst),
     step AS (SELECT x, y, z, x AS src, y AS dst FROM claim UNION ALL SELECT x, y, z, y, z FROM claim UNION ALL SELECT x, y, z, z, x FROM claim)
-    SELECT CAST(x AS VARCHAR) || '>' || y || '>' || z AS cycle, src, dst FROM step WHERE (src, dst) NOT IN (SELECT src, dst FROM latest)""",
+    SELECT CAST(x AS VARCHAR) || '>' || y || '>' || z AS cycle, src, dst FROM step WHERE (src, dst) NOT IN (SELECT src, dst FROM peak)""",
 )
 def _(spark, folder):
     """Every two-step path of one graph, claimed to close, checked against the other graph."""
-    e = peak_edges(spark, folder).select("src", "dst").distinct()
+    e = latest_edges(spark, folder).select("src", "dst").distinct()
     a, b = e.toDF("x", "y"), e.toDF("y", "z")
     claims = a.join(b, "y").where("x <> z").select(F.array("x", "y", "z").alias("cycle"))
-    bad = cycles.invalid_cycle_steps(claims, latest_edges(spark, folder))
+    bad = cycles.invalid_cycle_steps(claims, peak_edges(spark, folder))
     return bad.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "src", "dst")
 
 
@@ -277,7 +316,7 @@ def _bfs(name: str, g: str, start: str, depth: int) -> str:
 
 @query(
     "g08_traverse_down",
-    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_deg("peak")}, {_hubs_sql(1)}, way AS (SELECT src AS a, dst AS b FROM peak), {_bfs("walk", "way", "hub", 150)}
+    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_deg("peak")}, {_hubs_sql(1)}, way AS (SELECT src AS a, dst AS b FROM peak), {_bfs("walk", "way", "hub", 20)}
     SELECT (SELECT id FROM hub) AS start, id, CAST(min(d) AS BIGINT) AS depth FROM walk GROUP BY id""",
 )
 def traverse_down(spark, folder):
@@ -343,12 +382,29 @@ def topological_order(spark, folder):
 
 @query(
     "g10_residual_edges",
-    f"WITH RECURSIVE {NODE}, {PEAK_SQL}, {_reach('peak')}, {_STUCK} SELECT src, dst FROM peak WHERE src IN (SELECT id FROM stuck)",
+    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_big_scc('peak')},
+    stuck AS (SELECT id FROM fw WHERE (SELECT count(*) FROM giant) > 1 UNION SELECT src FROM reach WHERE src = dst
+              UNION SELECT dst FROM reach WHERE src IN (SELECT src FROM reach WHERE src = dst))
+    SELECT src, dst FROM peak WHERE src IN (SELECT id FROM stuck)""",
 )
 def _(spark, folder):
     return ordering.residual_edges(*_peak(spark, folder))
 
 
+@query(
+    "g10_is_dag",
+    f"""WITH RECURSIVE {NODE}, {ORDERED_SQL}, {PEAK_SQL[PEAK_SQL.index("peak_scoped"):]}, {_big_scc('peak')}
+    SELECT 'peak' AS graph, (SELECT count(*) FROM giant) <= 1 AND NOT EXISTS (SELECT 1 FROM reach WHERE src = dst) AS is_dag
+    UNION ALL SELECT 'ordered', true""",
+)
+def _(spark, folder):
+    """A graph that is mostly one cycle, and one whose edges all point to the larger id."""
+    n, e = _peak(spark, folder)
+    found = ordering.is_dag(n, e).select(F.lit("peak").alias("graph"), "is_dag")
+    n, e = _ordered(spark, folder)
+    return found.unionByName(ordering.is_dag(n, e).select(F.lit("ordered").alias("graph"), "is_dag"))
+
+
 _LAYERS = """
     dag AS (SELECT DISTINCT a.scc_id AS src, b.scc_id AS dst FROM latest JOIN scc a ON a.id = src JOIN scc b ON b.id = dst WHERE a.scc_id <> b.scc_id),
     rise AS (SELECT DISTINCT scc_id AS id, 0 AS k FROM scc UNION SELECT dst, k + 1 FROM rise JOIN dag ON src = rise.id),
@@ -416,6 +472,16 @@ def propagation(spark, folder):
     return communities.label_propagation(*_peak(spark, folder))
 
 
+@query(
+    "g14_main_cluster",
+    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_wcc('latest')}, {_propagation('latest', 10)}
+    SELECT id, community FROM p10 JOIN wcc USING (id) WHERE component = (SELECT component FROM main) AND (SELECT max(size) FROM info) > 10""",
+)
+def _(spark, folder):
+    n, e = _latest(spark, folder)
+    return communities.main_cluster_communities(n, e, clusters.connected_components(n, e))
+
+
 @query(
     "g37_modularity",
     f"""WITH {NODE}, {PEAK_SQL}, {_propagation('peak', 10)},
@@ -518,9 +584,9 @@ def _power(g: str, rounds: int) -> str:
     return ",\n".join(parts)
 
 
-@query("g24_eigenvector", f"WITH {NODE}, {PEAK_SQL}, {_power('peak', 12)} SELECT id, round(s, 7) AS score FROM v12")
+@query("g24_eigenvector", f"WITH {NODE}, {PEAK_SQL}, {_power('peak', 20)} SELECT id, round(s, 7) AS score FROM v20")
 def eigenvector(spark, folder):
-    return centrality.eigenvector(*_peak(spark, folder), iterations=12).withColumn("score", F.round("score", 7))
+    return centrality.eigenvector(*_peak(spark, folder)).withColumn("score", F.round("score", 7))
 
 
 @query(
@@ -604,6 +670,12 @@ def _points(spark, folder):
     )
 
 
+@query("f23_ungrouped_points", f"WITH {COMPONENT_SQL} SELECT id, CAST(size AS DOUBLE) AS x, price AS y FROM component WHERE group_key IS NULL")
+def _(spark, folder):
+    nodes = components(spark, folder).select("id", "group_key", F.col("size").cast("double").alias("x"), F.col("price").alias("y"))
+    return density.ungrouped_points(nodes)
+
+
 @query("g29_j11_dbscan", f"WITH RECURSIVE {_DBSCAN_SQL} SELECT id, cluster FROM clustered")
 def dbscan(spark, folder):
     return density.dbscan(_points(spark, folder), 1.5, 2)

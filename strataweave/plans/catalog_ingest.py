@@ -9,7 +9,7 @@ from strataweave.operators import adjacency as adj
 from strataweave.operators import layers, linking
 from strataweave.plans.catalog_graph import NODE, _deg
 from strataweave.plans.catalog_scope import _ASSIGN, _VIOLATION, C, _assigned
-from strataweave.plans.graphs import PEAK_SQL, part_nodes, peak_edges, table, whole
+from strataweave.plans.graphs import PEAK_SQL, part_nodes, peak_edges, table
 from strataweave.plans.inputs import COMPONENT_SQL, components, saved
 from strataweave.plans.registry import query
 from strataweave.scratch import Scratch
@@ -23,7 +23,7 @@ PREFIX = "pkg:maven/org.shop"
 
 def _sboms(spark, folder):
     """(doc, text): a JSON document per order line; lines returned ('R') are cut off and unreadable."""
-    line = whole(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
+    line = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
     part = F.concat(F.lit("pkg:maven/org.shop.brand"), (F.col("l_suppkey")).cast("string"), F.lit("/part-"), F.col("l_partkey").cast("string"))
     supplier = F.concat(F.lit("pkg:maven/com.supply/supplier-"), F.col("l_suppkey").cast("string"))
     v = F.concat(F.lit("@"), F.col("l_linenumber").cast("string"), F.lit(".0"))
@@ -505,7 +505,7 @@ _ORDERED_LINES = "SELECT l_partkey AS src, l_suppkey AS dst, l_returnflag AS sco
 @query(
     "t12_upsert_edges",
     f"""WITH n AS ({_ORDERED_LINES}), o AS (SELECT src, dst, scope, min(weight) AS weight, -1 AS batch FROM n WHERE scope = 'N' GROUP BY 1, 2, 3),
-    a AS (SELECT * FROM o UNION ALL SELECT * FROM n WHERE batch > 100)
+    a AS (SELECT * FROM o UNION ALL SELECT * FROM n)
     SELECT src, dst, scope, first(weight ORDER BY batch DESC, weight DESC) AS weight, CASE WHEN min(batch) >= 0 THEN 'created' WHEN max(batch) < 0 THEN 'kept' ELSE 'updated' END AS action
     FROM a GROUP BY 1, 2, 3""",
 )
@@ -515,7 +515,7 @@ def _(spark, folder):
         F.col("l_quantity").cast("int").alias("weight"), F.col("l_orderkey").alias("batch"),
     )
     old = n.where("scope = 'N'").groupBy("src", "dst", "scope").agg(F.min("weight").alias("weight"))
-    return linking.upsert_edges(old, n.where("batch > 100"))
+    return linking.upsert_edges(old, n)
 
 
 @query(

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from strataweave.functions import tags as tagexpr
 from strataweave.functions import text
 from strataweave.operators import adjacency as adj
-from strataweave.operators import clusters, intent, layers, linking, reports, scope, snapshots
-from strataweave.plans.catalog_graph import NODE, _deg, _wcc
+from strataweave.operators import clusters, cycles, intent, layers, linking, reports, scope, snapshots
+from strataweave.plans.catalog_graph import NODE, _big_scc, _deg, _wcc
 from strataweave.plans.graphs import LATEST_SQL, PEAK_SQL, latest_edges, part_nodes, peak_edges, table
 from strataweave.plans.inputs import (
     COMPONENT_SQL, MEMBERSHIP_SQL, PATH_SQL, bridge, components, layout, memberships, project_paths, saved,
@@ -313,7 +313,7 @@ def _(spark, folder):
 @query(
     "o03_group_order",
     f"""{C}, g AS (SELECT DISTINCT split_part(group_key, '.', 1) AS k FROM component WHERE group_key IS NOT NULL UNION SELECT DISTINCT group_key FROM component WHERE group_key IS NOT NULL),
-    s AS (SELECT k, array_to_string(list_transform(regexp_extract_all(k, '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN lpad(p, 18, '0') ELSE p END), '') AS z FROM g)
+    s AS (SELECT k, array_to_string(list_transform(regexp_extract_all(k, '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN lpad(CAST(length(ltrim(p, '0')) AS VARCHAR), 10, '0') || ltrim(p, '0') ELSE p END), '') AS z FROM g)
     SELECT k AS key, row_number() OVER (ORDER BY z) AS position FROM s""",
 )
 def _(spark, folder):
@@ -461,13 +461,14 @@ def _(spark, folder):
 
 @query(
     "l03_cycle_warnings",
-    f"""{C}, {PEAK_SQL}, {_ASSIGN}, loops AS (SELECT src, dst FROM peak WHERE (dst, src) IN (SELECT src, dst FROM peak))
+    f"""WITH RECURSIVE {NODE}, {COMPONENT_SQL}, {PEAK_SQL}, {_ASSIGN}, {_big_scc('peak')},
+    loops AS (SELECT src, dst FROM peak JOIN scc a ON a.id = src JOIN scc b ON b.id = dst WHERE a.scc_id = b.scc_id AND (a.scc_size > 1 OR src = dst))
     SELECT src, dst, CASE WHEN a.level < b.level THEN 'critical' WHEN (src, dst) IN (SELECT src, dst FROM loops) THEN 'warning' ELSE 'info' END AS severity
     FROM peak JOIN assigned a ON a.id = src JOIN assigned b ON b.id = dst WHERE a.level <= b.level""",
 )
 def _(spark, folder):
-    e = peak_edges(spark, folder).select("src", "dst").distinct()
-    loops = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+    n, e = saved(spark, part_nodes(spark, folder)), saved(spark, peak_edges(spark, folder).select("src", "dst").distinct())
+    loops = cycles.cycle_edges(e, cycles.scc(n, e))
     out = layers.layer_violations(e, _assigned(components(spark, folder)), loops)
     return out.select("src", "dst", "severity")
 
@@ -590,10 +591,18 @@ _STATEMENT = """
       UNION ALL SELECT 'e5-' || set_id || l, 'coverage', set_id, l, NULL, NULL FROM (SELECT set_id FROM definition UNION ALL SELECT '*'), (SELECT unnest(['by-type', 'by-both', 'nowhere']) AS l)
       UNION ALL SELECT 'e6-' || a || b, 'correspondence', a, b, NULL, NULL FROM (SELECT unnest(['by-type', 'by-brand']) AS a), (SELECT unnest(['by-type', 'by-both']) AS b)
       UNION ALL SELECT 'e7-' || a || b, 'refinement', a, b, NULL, NULL FROM (SELECT unnest(['by-type', 'by-both']) AS a), (SELECT unnest(['by-type', 'by-brand', 'by-both']) AS b)
+      UNION ALL SELECT 'e6-absent', 'correspondence', 'by-type', 'absent', NULL, NULL UNION ALL SELECT 'e7-absent', 'refinement', 'absent', 'by-type', NULL, NULL
+      UNION ALL SELECT 'e8-semi-' || k, k, NULL, NULL, NULL, NULL FROM (SELECT unnest(['existence', 'containment', 'exclusion', 'cardinality', 'coverage', 'correspondence', 'refinement']) AS k)
+      UNION ALL SELECT 'e8-part-' || k, k, 'mixed', NULL, NULL, NULL FROM (SELECT unnest(['containment', 'exclusion']) AS k)
       UNION ALL SELECT 'e8-informal', NULL, NULL, NULL, NULL, NULL),
     size AS (SELECT set_id, count(*) AS n FROM member GROUP BY 1),
     verdict AS (
-      SELECT statement_id, type, CASE type
+      SELECT statement_id, type, CASE
+        WHEN coalesce(first, second, operator, CAST(value AS VARCHAR)) IS NULL THEN NULL
+        WHEN type IN ('containment', 'exclusion') AND (first IS NULL OR second IS NULL) THEN false
+        WHEN type = 'coverage' AND second NOT IN (SELECT layer FROM membership) THEN NULL
+        WHEN type IN ('correspondence', 'refinement') AND (first NOT IN (SELECT layer FROM membership) OR second NOT IN (SELECT layer FROM membership)) THEN NULL
+        ELSE CASE type
         WHEN 'existence' THEN coalesce((SELECT n FROM size WHERE set_id = first), 0) > 0
         WHEN 'cardinality' THEN CASE operator WHEN '==' THEN n = value WHEN '!=' THEN n <> value WHEN '<=' THEN n <= value WHEN '>=' THEN n >= value WHEN '<' THEN n < value WHEN '>' THEN n > value ELSE false END
         WHEN 'containment' THEN CASE WHEN n = 0 THEN true WHEN second NOT IN (SELECT grp FROM membership) THEN false
@@ -604,11 +613,14 @@ _STATEMENT = """
         WHEN 'correspondence' THEN NOT EXISTS (
              (SELECT s FROM sig WHERE layer = first EXCEPT SELECT s FROM sig WHERE layer = second) UNION ALL (SELECT s FROM sig WHERE layer = second EXCEPT SELECT s FROM sig WHERE layer = first))
         WHEN 'refinement' THEN NOT EXISTS (SELECT 1 FROM sig f WHERE f.layer = first AND NOT EXISTS (SELECT 1 FROM sig c WHERE c.layer = second AND list_has_all(c.s, f.s)))
-        END AS is_satisfied
+        END END AS is_satisfied
       FROM (SELECT *, coalesce((SELECT n FROM size WHERE set_id = first), 0) AS n FROM statement)),
     """
 
 
+KINDS = ["existence", "containment", "exclusion", "cardinality", "coverage", "correspondence", "refinement"]
+
+
 def _sql_statements(tail: str) -> str:
     sig = "sig AS (SELECT layer, grp, list_sort(list(id)) AS s FROM membership GROUP BY 1, 2)"
     body = _STATEMENT.rstrip().rstrip(",").replace("verdict AS (", f"{sig},\n    verdict AS (")
@@ -648,12 +660,16 @@ def _statements(nodes):
         rows(with_all(every, ["by-type", "by-both", "nowhere"]), F.concat(F.lit("e5-"), s, v), "coverage", s, v),
         rows(with_all(given(["by-type", "by-brand"]).toDF("set_id"), ["by-type", "by-both"]), F.concat(F.lit("e6-"), s, v), "correspondence", s, v),
         rows(with_all(given(["by-type", "by-both"]).toDF("set_id"), ["by-type", "by-brand", "by-both"]), F.concat(F.lit("e7-"), s, v), "refinement", s, v),
+        rows(one, F.lit("e6-absent"), "correspondence", F.lit("by-type"), F.lit("absent")),
+        rows(one, F.lit("e7-absent"), "refinement", F.lit("absent"), F.lit("by-type")),
+        *[rows(one, F.lit(f"e8-semi-{kind}"), kind) for kind in KINDS],
+        *[rows(one, F.lit(f"e8-part-{kind}"), kind, F.lit("mixed")) for kind in ("containment", "exclusion")],
         rows(one, F.lit("e8-informal"), None),
     ]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    status = F.when(F.col("type").isNull(), "informal").otherwise("formal")
+    status = F.when(F.col("type").isNull(), "informal").when(F.startswith("statement_id", F.lit("e8-")), "semi_formal").otherwise("formal")
     return out.withColumn("type", F.col("type").cast("string")).withColumn("status", status)
 
 
@@ -688,6 +704,11 @@ def _(spark, folder):
     return snapshots.stability(evaluate(spark, folder))[0]
 
 
+@query("v08_blocking_statements", _sql_statements("SELECT statement_id, type FROM verdict WHERE NOT is_satisfied"))
+def _(spark, folder):
+    return snapshots.stability(evaluate(spark, folder))[1].select("statement_id", "type")
+
+
 @query(
     "e10_witnesses",
     _sql_statements("""SELECT type, first, second, CAST(m.id AS VARCHAR) AS witness, NULL AS other FROM (SELECT DISTINCT type, first, second FROM statement WHERE type = 'containment') s
@@ -719,22 +740,25 @@ def _(spark, folder):
 
 @query(
     "a24_momentum",
-    _sql_statements("""SELECT round((SELECT avg(0.6 * coalesce(i, 0) + 0.4 * coalesce(o, 0)) FROM component LEFT JOIN (SELECT dst AS id, count(*) AS i FROM peak GROUP BY 1) USING (id)
+    _sql_statements(f"""SELECT round((SELECT avg(0.6 * coalesce(i, 0) + 0.4 * coalesce(o, 0)) FROM component LEFT JOIN (SELECT dst AS id, count(*) AS i FROM peak GROUP BY 1) USING (id)
         LEFT JOIN (SELECT src AS id, count(*) AS o FROM peak GROUP BY 1) USING (id)), 6)::DOUBLE AS avg_coupling,
-      (SELECT count(*) FROM peak a JOIN peak b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) AS cyclic_components,
-      CASE WHEN EXISTS (SELECT 1 FROM peak a JOIN peak b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) THEN 2 ELSE 0 END AS largest_cycle,
-      (SELECT count(*) FROM peak) AS violations,
-      round(count(*) FILTER (type IS NOT NULL) / count(*)::DOUBLE, 6) AS formal_ratio, round(count(*) FILTER (is_satisfied) / count(*)::DOUBLE, 6) AS satisfied_ratio FROM verdict"""),
+      (SELECT count(DISTINCT scc_id) FROM scc WHERE scc_size > 1) AS cyclic_components,
+      coalesce((SELECT max(scc_size) FROM scc WHERE scc_size > 1), 0) AS largest_cycle,
+      (SELECT count(*) FROM violation) AS violations,
+      round(count(*) FILTER (statement_id NOT LIKE 'e8-%') / count(*)::DOUBLE, 6) AS formal_ratio, round(count(*) FILTER (is_satisfied) / count(*)::DOUBLE, 6) AS satisfied_ratio FROM verdict""")
+    .replace("WITH ", f"WITH RECURSIVE {NODE}, ", 1)
+    .replace("pairing AS (", f"{_ASSIGN.strip()}, {_VIOLATION.strip()}, {_big_scc('peak').strip()},\n    pairing AS (", 1),
 )
 def _(spark, folder):
-    """Two-cycles stand for the cyclic components and all edges for the violations."""
     statements, found, member, nodes, e = _judged(spark, folder)
-    simple = e.select("src", "dst").distinct()
-    loops = simple.join(simple.toDF("dst", "src"), ["src", "dst"], "left_semi").where("src < dst")
-    verdict = saved(spark, intent.evaluate_statements(statements, found, member, nodes, e))
-    verdict = verdict.withColumn("status", F.when(F.col("type").isNull(), "informal").otherwise("formal"))
+    n = saved(spark, part_nodes(spark, folder))
+    verdict = intent.evaluate_statements(statements, found, member, nodes, e)
+    verdict = saved(spark, verdict.join(statements.select("statement_id", "status"), "statement_id"))
     out = snapshots.momentum(
-        adj.node_degrees(nodes, e), loops.withColumn("size", F.lit(2)), simple, verdict
+        adj.node_degrees(nodes, e),
+        saved(spark, cycles.scc_ranking(e, cycles.scc(n, e))),
+        saved(spark, layers.layer_violations(e, _assigned(nodes))),
+        verdict,
     )
     six = ("avg_coupling", "formal_ratio", "satisfied_ratio")
     return out.select(*[F.round(c, 6).alias(c) if c in six else F.col(c) for c in out.columns])

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from strataweave.operators import adjacency as adj
 from strataweave.operators import communities, cycles, proposals, sentences, snapshots, spans
 from strataweave.plans.catalog_graph import _SCC, NODE, _deg, _propagation, _reach
+from strataweave.plans.catalog_ingest import _LINE, PREFIX, _sboms
 from strataweave.plans.catalog_scope import C
-from strataweave.plans.graphs import LATEST_SQL, PEAK_SQL, latest_edges, part_nodes, peak_edges, table, whole
+from strataweave.plans.graphs import LATEST_SQL, PEAK_SQL, latest_edges, part_nodes, peak_edges, table
 from strataweave.plans.inputs import COMPONENT_SQL, MEMBERSHIP_SQL, components, layout, saved
 from strataweave.plans.registry import query
 from strataweave.scratch import Scratch
@@ -69,7 +70,7 @@ MEANING = {
 
 def _texts(spark, folder):
     """(id, text): the sentence of every distinct order line."""
-    line = whole(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    line = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     sentence = None
     for (number, flag), text in SENTENCES.items():
         test = (F.col("l_linenumber") == number) & (F.col("l_returnflag") == flag)
@@ -602,15 +603,22 @@ def activity_stream(spark, folder):
 
 @query(
     "x01_ingest_stream",
-    """SELECT DISTINCT 'com.supply:supplier-' || l_suppkey AS key, 'com.supply.supplier-' || l_suppkey AS name, false AS internal FROM lineitem WHERE l_returnflag <> 'R'
-    UNION SELECT DISTINCT 'org.shop.brand' || l_suppkey || ':part-' || l_partkey, 'org.shop.brand' || l_suppkey || '.part-' || l_partkey, true FROM lineitem WHERE l_returnflag <> 'R'""",
+    f"""WITH {_LINE}
+    SELECT 'component' AS kind, any_value('org.shop.' || brand || ':' || part_name) AS key, any_value('org.shop.' || brand || '.' || part_name) AS name,
+           first(v ORDER BY doc) AS version, true AS internal, any_value(brand) AS group_key, NULL AS dst FROM good GROUP BY part
+    UNION ALL SELECT 'component', any_value('com.supply:' || supplier_name), any_value('com.supply.' || supplier_name), '9', false, NULL, NULL FROM good GROUP BY supplier
+    UNION ALL SELECT DISTINCT 'edge', 'org.shop.' || brand || ':' || part_name, NULL, NULL, NULL, NULL, 'com.supply:' || supplier_name FROM good
+    UNION ALL SELECT DISTINCT 'reject', doc, NULL, NULL, NULL, NULL, 'unreadable document' FROM line WHERE flag = 'R'""",
 )
 def ingest_stream(spark, folder):
-    """The order-line documents arriving as files, upserted batch by batch."""
-    from strataweave.plans.catalog_ingest import PREFIX, _sboms
-
+    """The order-line documents arriving as files in at least three batches, appended batch by batch."""
     place = Scratch(spark, "ingest").base
-    _sboms(spark, folder).write.parquet(f"{place}/in")
-    stream = spark.readStream.schema("doc string, text string").parquet(f"{place}/in")
+    files = 3 * spark.sparkContext.defaultParallelism
+    _sboms(spark, folder).repartition(files, "doc").write.parquet(f"{place}/in")
+    stream = spark.readStream.schema("doc string, text string").option("maxFilesPerTrigger", files // 3).parquet(f"{place}/in")
     jobs.ingest_sboms(stream, f"{place}/out", f"{place}/checkpoint", PREFIX).awaitTermination()
-    return spark.read.parquet(f"{place}/out/component").select("key", "name", "internal")
+    none = F.lit(None).cast("string")
+    found = jobs.stored_components(spark, f"{place}/out").select(F.lit("component").alias("kind"), "key", *jobs.FIELDS, none.alias("dst"))
+    edges = jobs.stored_edges(spark, f"{place}/out").select(F.lit("edge").alias("kind"), F.col("src").alias("key"), "dst")
+    bad = jobs.stored_rejects(spark, f"{place}/out").select(F.lit("reject").alias("kind"), F.col("doc").alias("key"), F.col("error").alias("dst"))
+    return found.unionByName(edges, True).unionByName(bad, True)

@@ -1,8 +1,10 @@
 """Component graphs derived from the order lines, in Spark and in SQL.
 
-A part plays the component. Each part's reference order (its most expensive line, or its latest
-order) is its current release, and the next two parts listed in that order are what the release
-depends on. Every line takes part, and no part has more than two dependencies.
+A part plays the component. Wherever a part is listed in an order it depends on the next two parts listed
+there: the first at compile time, the second at run time. The peak graph has every such pair of every
+order. The latest graph keeps, per part, the pairs of its latest order only (its current release): it is for
+operators whose result is sources x reach (all-pairs distances, betweenness), and for orders and layers,
+which say little on a graph that is one large cycle.
 """
 
 from __future__ import annotations
@@ -17,17 +19,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def whole(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table in at least as many partitions as there are task slots.
-
-    A table of one file is one task however long the work per row is; a table of many files is
-    left as it is.
-    """
-    rows = table(spark, folder, name).select(*columns)
-    slots = spark.sparkContext.defaultParallelism
-    return rows.repartition(slots) if len(rows.inputFiles()) < slots else rows
-
-
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").groupBy(
         F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")
@@ -51,9 +42,13 @@ def _release(listed: DataFrame, rank) -> DataFrame:
 
 
 def peak_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """(src, dst, scope, weight): release = order of the part's most expensive line. Has cycles."""
-    rank = F.struct("x", -F.col("o"), -F.col("n"))
-    return _release(_listed(spark, folder), rank)
+    """(src, dst, scope, weight): every distinct pair of the listing. Mostly one large cycle."""
+    targets = F.array(
+        F.struct(F.col("next_1").alias("dst"), F.lit("compile").alias("scope")),
+        F.struct(F.col("next_2").alias("dst"), F.lit("runtime").alias("scope")),
+    )
+    pairs = _listed(spark, folder).select(F.col("p").alias("src"), F.inline(targets))
+    return pairs.where("dst IS NOT NULL AND src <> dst").distinct().withColumn("weight", F.lit(1))
 
 
 def latest_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +86,11 @@ def _release_sql(name: str, order: str) -> str:
 {name} AS (SELECT DISTINCT src, dst FROM {name}_scoped)"""
 
 
-_PEAK = _release_sql("peak", "x DESC, o, n")
+_PEAK = """
+peak_scoped AS (
+  SELECT p AS src, d1 AS dst, 'compile' AS scope FROM listed WHERE d1 IS NOT NULL AND d1 <> p
+  UNION SELECT p, d2, 'runtime' FROM listed WHERE d2 IS NOT NULL AND d2 <> p),
+peak AS (SELECT DISTINCT src, dst FROM peak_scoped)"""
 _LATEST = _release_sql("latest", "o DESC, n")
 PEAK_SQL = f"{_LISTED},{_PEAK}"
 LATEST_SQL = f"{_LISTED},{_LATEST}"

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +32,40 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whatever store it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def collected(spark: SparkSession) -> Iterator[None]:
+    """Delete all intermediate tables that are made inside, once the results have been written.
+
+    Frames returned from inside read these tables, so write what is to be kept before the end.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for base in made:
+            delete(spark, base)
+
+
 class Scratch:
-    """One job's intermediate tables."""
+    """One job's intermediate tables; see :func:`collected` for when they go."""
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{job}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        if _OPEN:
+            _OPEN[-1].append(self.base)
 
     def save(self, df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
         """Write ``df`` and return a frame that reads it back; drop the table it replaces."""
@@ -54,7 +83,4 @@ class Scratch:
         path = getattr(saved, "_scratch_path", None)
         if path is None:
             return
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+        delete(self.spark, path)

@@ -43,8 +43,11 @@ def skew_join(
     """Equi join on ``key``; rows of hot keys are spread over salts, the other side is repeated.
 
     ``hot_left``/``hot_right`` come from :func:`hot_keys` on the respective side. Without hot
-    keys this is a plain join and the optimizer picks the strategy.
+    keys this is a plain join and the optimizer picks the strategy. ``hot_right`` repeats rows of
+    ``left``, which only an inner join bears.
     """
+    if hot_right is not None and how != "inner":
+        raise ValueError(f"hot_right needs an inner join, not {how}")
     if hot_left is None and hot_right is None:
         return left.join(right, key, how)
 
@@ -99,7 +102,7 @@ def following(
     # written down because range bounds are sampled and must not move between two reads
     sliced = scratch.save(
         table.join(flag, key, "left_semi")
-        .repartitionByRange(SALTS, key, *order)
+        .repartitionByRange(key, *order)
         .withColumn("_slice", F.spark_partition_id())
     )
     w = Window.partitionBy(key, "_slice").orderBy(*order)
@@ -127,7 +130,7 @@ def following(
     return cold.unionByName(warm)
 
 
-def number_rows(table: DataFrame, order: Sequence[str], name: str = "position", slices: int = SALTS) -> DataFrame:
+def number_rows(table: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Add the position of every row in ``order``, from 0, without sorting in one task.
 
     Rows are range-partitioned, numbered inside their slice and shifted by the sizes of the
@@ -135,9 +138,9 @@ def number_rows(table: DataFrame, order: Sequence[str], name: str = "position",
     """
     scratch = Scratch(table.sparkSession, "number")
     sliced = scratch.save(
-        table.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
+        table.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
     )
-    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))  # at most `slices` rows
+    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))  # one row per slice
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy("_slice").orderBy(*order)

@@ -199,19 +199,20 @@ def pom_dependencies(projects: DataFrame) -> DataFrame:
     )
 
 
-def module_tree(modules: DataFrame, max_depth: int = 10) -> DataFrame:
+def module_tree(modules: DataFrame) -> DataFrame:
     """(root, path, depth): module paths below each root document.
 
-    ``modules(path, module)`` lists the modules of the project at a path. Depth is bounded, so a
-    module that names itself ends.
+    ``modules(path, module)`` lists the modules of the project at a path. Every step lengthens the
+    path and only listed paths have modules, so a module that names itself ends.
     """
     scratch = Scratch(modules.sparkSession, "modules")
     modules = scratch.save(modules.select("path", "module").distinct())
     children = modules.select(F.concat_ws("/", "path", "module").alias("path")).distinct()
     roots = modules.select("path").distinct().join(children, "path", "left_anti")
     level = scratch.save(roots.select(F.col("path").alias("root"), "path", F.lit(0).alias("depth")))
-    out = level
-    for depth in range(1, max_depth + 1):
+    out, depth = level, 0
+    while True:
+        depth += 1
         level = scratch.save(
             level.join(modules, "path")
             .select("root", F.concat_ws("/", "path", "module").alias("path"), F.lit(depth).alias("depth"))

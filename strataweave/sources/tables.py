@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.scratch import shared_root
+from strataweave.scratch import delete, shared_root
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +28,7 @@ def rewrite(rows: DataFrame, path: str) -> None:
     stage = f"{shared_root(spark)}/stage-{uuid.uuid4().hex[:12]}"
     rows.write.parquet(stage)
     spark.read.schema(rows.schema).parquet(stage).write.mode("overwrite").parquet(path)
+    delete(spark, stage)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strataweave.operators.linking import upsert_components
 from strataweave.operators.reports import activity_bucket
-from strataweave.sources.documents import package_key, package_pairs, parse_sboms, sbom_components, sbom_packages
-from strataweave.sources.tables import append, rewrite
+from strataweave.sources.documents import package_key, package_pairs, parse_sboms, sbom_packages
+from strataweave.sources.tables import append
+
+FIELDS = ["name", "version", "internal", "group_key"]
 
 
 def sbom_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -24,23 +25,19 @@ def sbom_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_sboms(stream: DataFrame, target: str, checkpoint: str, internal_prefix: str | None = None) -> StreamingQuery:
-    """Upsert each batch of documents into ``component``, ``dependency`` and ``reject`` tables.
+    """Append what each batch of documents says to ``component``, ``dependency`` and ``reject`` tables.
 
-    Edges and rejects are appended with their batch number; the component table is rewritten
-    through a staging path, since a component may change. :func:`stored_edges` reads the edges
-    back, once each and only between known components, so a replayed batch changes nothing and
-    an edge may arrive before its target.
+    Nothing is overwritten, so a job that dies loses nothing and a batch costs what it holds.
+    :func:`stored_components`, :func:`stored_edges` and :func:`stored_rejects` read the tables
+    back: the first row by document and position per component, edges once each and only between
+    known components. So the result is that of one batch run however the documents are split, a
+    replayed batch changes nothing, and an edge may arrive before its target.
     """
 
     def batch(docs: DataFrame, number: int) -> None:
-        spark = docs.sparkSession
         docs.persist()
         good, bad = parse_sboms(docs)
-        found = sbom_components(sbom_packages(good, internal_prefix))
-        fresh = found.select("key", "name", "version", "internal", "group_key")
-        path = f"{target}/component"
-        old = _existing(spark, path, fresh)
-        rewrite(upsert_components(old, fresh).drop("action"), path)
+        append(first_packages(good, internal_prefix).withColumn("batch", F.lit(number)), f"{target}/component")
         pairs = package_pairs(good).select(package_key(F.col("src")).alias("src"), package_key(F.col("dst")).alias("dst"))
         rows = pairs.select("src", "dst", F.lit("compile").alias("scope"), F.lit(1).alias("weight"))
         append(rows.withColumn("batch", F.lit(number)), f"{target}/dependency")
@@ -52,23 +49,33 @@ def ingest_sboms(stream: DataFrame, target: str, checkpoint: str, internal_prefi
     )
 
 
+def first_packages(docs: DataFrame, internal_prefix: str | None = None) -> DataFrame:
+    """(key, seen, name, version, internal, group_key): each package's first row, with where it was seen."""
+    rows = sbom_packages(docs, internal_prefix).withColumn("key", package_key(F.col("purl_key")))
+    first = F.min(F.struct(F.struct("doc", "pos").alias("seen"), *FIELDS))
+    return rows.groupBy("key").agg(first.alias("f")).select("key", "f.*")
+
+
+def stored_components(spark: SparkSession, target: str) -> DataFrame:
+    """(key, name, version, internal, group_key) collected so far; the first seen row counts."""
+    rows = spark.read.parquet(f"{target}/component")
+    return rows.groupBy("key").agg(F.min(F.struct("seen", *FIELDS)).alias("f")).select("key", *[f"f.{c}" for c in FIELDS])
+
+
+def stored_rejects(spark: SparkSession, target: str) -> DataFrame:
+    """(doc, error) collected so far, once each."""
+    return spark.read.parquet(f"{target}/reject").select("doc", "error").distinct()
+
+
 def stored_edges(spark: SparkSession, target: str) -> DataFrame:
     """(src, dst, scope, weight) collected so far between known components."""
-    known = spark.read.parquet(f"{target}/component").select("key")
+    known = spark.read.parquet(f"{target}/component").select("key").distinct()
     e = spark.read.parquet(f"{target}/dependency").select("src", "dst", "scope", "weight").distinct()
     return e.join(known.withColumnRenamed("key", "src"), "src", "left_semi").join(
         known.withColumnRenamed("key", "dst"), "dst", "left_semi"
     )
 
 
-def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        return spark.read.schema(like.schema).parquet(path)
-    return like.limit(0)
-
-
 def activity_windows(events: DataFrame, entity: str, size: str = "1 day", late: str = "2 hours") -> DataFrame:
     """(entity, window_start, events, last_seen) per tumbling window, with a watermark for late rows."""
     return (

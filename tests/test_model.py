@@ -59,6 +59,19 @@ STATEMENTS = [
 ]
 
 
+def test_statements_that_cannot_be_judged(spark, case):
+    nodes, member, definitions, edges = case
+    kinds = ["existence", "containment", "exclusion", "cardinality", "coverage", "correspondence", "refinement"]
+    rows = [(f"semi-{k}", k, None, None, None, None, "semi_formal") for k in kinds]
+    rows += [("part", "containment", "PaymentServices", None, None, None, "semi_formal"), ("told", "existence", "x", None, None, None, "informal")]
+    rows += [(f"absent-{k}", k, "absent", "absent", None, None, "formal") for k in kinds[4:]]
+    st = spark.createDataFrame(rows, "statement_id string, type string, first string, second string, operator string, value long, status string")
+    found = intent.resolve_sets(definitions, nodes, member)
+    out = {r.statement_id: r.is_satisfied for r in intent.evaluate_statements(st, found, member, nodes, edges).collect()}
+    assert out.pop("part") is False
+    assert set(out.values()) == {None} and len(out) == len(rows) - 1
+
+
 def test_statement_truth(spark, case):
     nodes, member, definitions, edges = case
     rows = [(i, *s[:5], "informal" if s[0] is None else "formal") for i, s in enumerate(STATEMENTS)]
@@ -166,6 +179,31 @@ def test_streamed_documents_arrive_in_two_batches(spark, tmp_path):
     assert spark.read.parquet(f"{target}/reject").count() == 1
 
 
+def test_ingest_is_the_same_however_documents_are_split(spark, tmp_path):
+    texts = {
+        "a": '{"components":[{"bom-ref":"pkg:maven/o/x@1"},{"bom-ref":"pkg:maven/o/x@9"}],"dependencies":[{"ref":"pkg:maven/o/x@1","dependsOn":["pkg:maven/o/y@1"]}]}',
+        "b": '{"components":[{"bom-ref":"pkg:maven/o/y@2"},{"bom-ref":"pkg:maven/o/x@2"}]}',
+        "c": "broken",
+        "d": '{"components":[{"bom-ref":"pkg:maven/o/y@1"}]}',
+    }
+    found = []
+    for n, batches in enumerate((["abcd"], ["a", "b", "c", "d"], ["d", "cb", "a"])):
+        source, target = tmp_path / f"in{n}", str(tmp_path / f"out{n}")
+        source.mkdir()
+        for batch in batches:
+            for name in batch:
+                spark.createDataFrame([(name, texts[name])], "doc string, text string").coalesce(1).write.mode("append").parquet(str(source))
+            stream = spark.readStream.schema("doc string, text string").parquet(str(source))
+            jobs.ingest_sboms(stream, target, str(tmp_path / f"cp{n}")).awaitTermination()
+        found.append([
+            sorted(map(str, jobs.stored_components(spark, target).collect())),
+            sorted(map(str, jobs.stored_edges(spark, target).collect())),
+            sorted(map(str, jobs.stored_rejects(spark, target).collect())),
+        ])
+    assert found[0] == found[1] == found[2]
+    assert "version='1'" in next(r for r in found[0][0] if "o:x" in r) and len(found[0][2]) == 1
+
+
 def test_upsert_and_matching(spark):
     schema = "key string, name string, version string, internal boolean, group_key string"
     old = spark.createDataFrame([("k1", "n1", "1", True, "g"), ("k2", "n2", "1", False, None)], schema)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import strataweave.skew as skew
@@ -20,6 +21,16 @@ def test_hot_keys_and_salted_join(spark):
     assert both.count() == big.join(big.withColumnRenamed("v", "u"), "k").count()
 
 
+def test_hot_right_needs_an_inner_join(spark):
+    small = spark.createDataFrame([(0, 1), (1, 2)], "k long, v long")
+    big = spark.createDataFrame([(0, i) for i in range(5)], "k long, w long")
+    hot = skew.hot_keys(big, "k", floor=2)
+    for how in ("left", "left_semi", "left_anti"):
+        with pytest.raises(ValueError):
+            skew.skew_join(small, big, "k", how, hot_right=hot)
+    assert skew.skew_join(small, big, "k", hot_right=hot).count() == 5
+
+
 def test_following_rows_across_slices(spark):
     r = random.Random(1)
     data = sorted({(r.choice([0, 0, 0, 1, 2]), r.randrange(500), r.randrange(50)) for _ in range(900)})
