@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataweave.llm import block_naming, mixing, odd_sketch, ordinal_toxicity, template_leaks
 from strataweave.llm.queries import TOXIC_FROM, table
-from strataweave.scratch import shared_root
+from strataweave.scratch import collected, shared_root
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_root(spark)}/llm-pipeline-{uuid.uuid4().hex[:12]}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with collected(spark):  # a stage's own tables go once its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return docs

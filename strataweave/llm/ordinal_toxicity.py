@@ -1,13 +1,15 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Features are the words of a text (runs of letters, A-Z lower-cased) and their first four and five bytes; a feature counts once per text, so a long text does not dilute what it contains. The grades
-0 .. K share one weight per feature across K ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k). The
-score is the expected severity, the sum of these probabilities.
+Features are the words of a text (runs of letters, A-Z lower-cased) and their first four and five bytes; a feature
+counts once per text, so a long text does not dilute what it contains. The grades 0 .. K share one weight per
+feature across K ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k). The score is the expected severity, the
+sum of these probabilities.
 
 Training reads at most ``rows`` labelled rows of each outcome (a documented bound; the rows with the
 smallest id hash). The ``features`` features that mark toxic rows best (log odds against their standard error)
 are candidates; an L1 penalty picks from them. No feature speaks for a text, so nothing can hide what else it
-contains. A first fit of toxic or not splits the toxic rows at the median of its score into grades 1 and 2. Scoring reads every whole text.
+contains. A first fit of toxic or not splits the toxic rows at the median of its score into grades 1 and 2.
+Scoring reads every whole text.
 
 Nulls: a null or empty text has no features and gets the base rate; a null label is no label; without
 labelled rows of both outcomes the severity is 0. Rows that repeat an id are scored on their own.
@@ -173,7 +175,8 @@ def severity(texts: list[bytes], model: Model) -> np.ndarray:
         hit = model.keys[at] == found
         pairs = np.unique(owner[hit] * len(model.keys) + at[hit])  # a feature counts once per text
         np.add.at(score, pairs // len(model.keys), model.weights[pairs % len(model.keys)])
-    return 1 / (1 + np.exp(-np.clip(score[:, None] - model.thresholds[None, :], -700, 700)))
+    above = score[:, None] - model.thresholds[None, :]
+    return np.where(np.isneginf(above), 0.0, 1 / (1 + np.exp(-np.clip(above, -700, 700))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
