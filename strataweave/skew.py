@@ -19,8 +19,22 @@ def hot_keys(table: DataFrame, key: str, floor: int | None = None) -> DataFrame
 
     A key is hot above ``max(floor, rows / MAX_HOT)`` rows, so the list never exceeds MAX_HOT
     entries however large the table is; that bound makes the collect and later broadcast safe.
+
+    Without ``floor`` only tables that were written by :class:`Scratch` are measured, once per key:
+    loops join the same edges again and again, below aggregates that adaptive execution cannot
+    split. In a single join it splits hot keys itself, so no job is started to look for them.
     """
-    floor = HOT_ROWS if floor is None else floor
+    if floor is not None:
+        return _measured(table, key, floor)
+    if getattr(table, "_scratch_path", None) is None:
+        return None
+    known = table.__dict__.setdefault("_hot_keys", {})
+    if key not in known:
+        known[key] = _measured(table, key, HOT_ROWS)
+    return known[key]
+
+
+def _measured(table: DataFrame, key: str, floor: int) -> DataFrame | None:
     rows = table.count()
     if rows <= floor:
         return None
