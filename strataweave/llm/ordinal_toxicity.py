@@ -7,12 +7,13 @@ sum of these probabilities.
 
 Training reads at most ``rows`` labelled rows of each outcome (a documented bound; the rows with the
 smallest id hash). The ``features`` features that mark toxic rows best (log odds against their standard error)
-are candidates; an L1 penalty picks from them. No feature speaks for a text, so nothing can hide what else it
-contains. A first fit of toxic or not splits the toxic rows at the median of its score into grades 1 and 2.
-Scoring reads every whole text.
+are candidates; an L1 penalty picks from them and the model is fitted again on those. No feature speaks for a
+text, so nothing can hide what else it contains. A first fit of toxic or not splits the toxic rows at the median
+of its score into grades 1 and 2. Scoring reads every whole text.
 
 Nulls: a null or empty text has no features and gets the base rate; a null label is no label; without
-labelled rows of both outcomes the severity is 0. Rows that repeat an id are scored on their own.
+labelled rows of both outcomes, or features that mark toxic rows, the severity is 0. Rows that repeat an id are
+scored on their own.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from strataweave.scratch import Scratch
 
 ROWS = 4000
 FEATURES = 4096
-PENALTY = 1.0
+PENALTY = 1.0  # of the fit that picks features
+RELAXED = 0.05  # of the fits on the features picked
 PREFIXES = (4, 5)
 
 
@@ -72,12 +74,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sparse_fit(
-    rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n: int, k: int, rounds: int = 600
+    rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n: int, k: int, penalty: float = PENALTY, rounds: int = 600
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights (not negative) and thresholds of the cumulative-link model under an L1 penalty.
 
     Coordinate descent: each round moves the weight that gains most, by a Newton step, and the thresholds. A
-    feature only enters if it speaks for PENALTY rows more than the features that are already in.
+    feature only enters if it speaks for ``penalty`` rows more than the features that are already in.
     """
     m = len(grades)
     here = np.arange(m)
@@ -95,7 +97,7 @@ def _sparse_fit(
         slope, curve = a + b - 1, a * (1 - a) + b * (1 - b)  # of -log P(grade) by w.x
         g = np.bincount(columns, weights=slope[rows], minlength=n)
         h = np.bincount(columns, weights=curve[rows], minlength=n) + 0.5
-        step = np.clip(np.maximum(0.0, w - (g + PENALTY) / h) - w, -1.0, 1.0)
+        step = np.clip(np.maximum(0.0, w - (g + penalty) / h) - w, -1.0, 1.0)
         best = int(np.argmax(step * step * h))
         gt = np.zeros(k + 2)
         np.add.at(gt, grades, a * (1 - a) / p)
@@ -154,9 +156,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FE
     rows_of = np.repeat(np.arange(len(small)), lengths)
     columns = np.concatenate([np.asarray(c, dtype=np.int64) for c in small["columns"]] or [np.zeros(0, np.int64)])
     weights, _ = _sparse_fit(rows_of, columns, bad, len(keys), 1)
+    chosen_ = np.flatnonzero(weights > 0)
+    if not len(chosen_):
+        return empty
+    # fit again on the features picked, almost without a penalty: it also shrank the weights of those
+    place = np.full(len(keys), -1)
+    place[chosen_] = np.arange(len(chosen_))
+    rows_of, columns, keys = rows_of[place[columns] >= 0], place[columns[place[columns] >= 0]], keys[chosen_]
+    weights, _ = _sparse_fit(rows_of, columns, bad, len(keys), 1, RELAXED, 2500)
     marks = np.bincount(rows_of, weights=weights[columns], minlength=len(bad))
     grades = np.where(bad == 1, 1 + (marks > np.median(marks[bad == 1])), 0)
-    weights, cuts = _sparse_fit(rows_of, columns, grades, len(keys), int(grades.max()))
+    weights, cuts = _sparse_fit(rows_of, columns, grades, len(keys), int(grades.max()), RELAXED, 2500)
     return Model(keys, weights, cuts)
 
 
