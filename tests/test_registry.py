@@ -13,6 +13,7 @@ FAST = [
     "a12_naming_report", "a10_path_rollup", "e01_to_e08_evaluate_statements", "f11_neighbourhood", "g06_connected_components",
     "g18_g19_g20_node_degrees", "l03_j03_layer_violations", "p01_p02_classify_statements", "p08_j12_span_structure",
     "s08_pom_dependencies", "t08_t09_sbom_components", "t17_link_projects", "v07_j14_snapshot_delta", "x02_activity_stream",
+    "g05_cycle_edges", "g36_scc_ranking", "l03_cycle_warnings", "x01_ingest_stream",
 ]
 
 
