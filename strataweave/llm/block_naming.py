@@ -115,7 +115,8 @@ def drop_exact_copies(docs: DataFrame, size: int = BLOCK_CHARS) -> DataFrame:
     )
     marked = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     others = gone.where("NOT _id <=> _keep").select("_id", "_sha").distinct().withColumnRenamed("_sha", "_their")
-    left = marked.join(others, (F.col("_sha") == F.col("_their")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    # the copies grow with the documents, so they are joined by a shuffle at every size
+    left = marked.join(others.hint("merge"), (F.col("_sha") == F.col("_their")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     if not gone.where("_id <=> _keep").isEmpty():  # rows that repeat id and text
         left = left.dropDuplicates(["doc_id", "_sha"])
     return left.drop("_sha")
