@@ -1,13 +1,20 @@
 """Documents scored by the difference of cross-entropies under a target and a background n-gram model.
 
-Both models are bigram models over one vocabulary: the ``size`` - 2 most frequent words of all documents (A-Z
-lower-cased; ties by hash), one token for all other words and one for the start of a text. The target model counts
-the documents that are marked as target, the background model all documents; both interpolate with their own
-unigrams in the same way. The score is the mean over the tokens of target loss minus background loss, so lower
-means closer to the target.
+Both models are bigram models over one vocabulary: all words of all documents (A-Z lower-cased), and a start of
+text. The target model counts the documents that are marked as target, the background model all documents; both
+interpolate with their own unigrams in the same way. The score is the mean over the tokens of target loss minus
+background loss, so lower means closer to the target.
 
-Counts cover all documents and all words. A task sums its counts before they are shuffled. What reaches the driver
-and the executors is the counts of at most ``size`` squared word pairs, whatever the input.
+Words, words before another and word pairs are counted as rows keyed by hash, so the models grow with the input:
+
+1. Texts are dealt into chunks of bounded size and written. A chunk counts its distinct words and pairs; only these
+   counts are shuffled, so a common key is as many rows as there are chunks, not tokens.
+2. A window over each key adds the totals, and totals that are more than a chunk's own count go back to it.
+3. Texts and totals of a chunk meet in one task, which works out the losses. The driver only sees three sums.
+
+Keys are 62-bit hashes: two of a billion pairs share one with a probability of about 0.1.
+
+With ``size`` the vocabulary is the ``size`` - 2 most frequent words (ties by hash), and all others are one token.
 
 Nulls: null and empty texts have 0 tokens and null losses; a null mark is no target; without targets the target
 model is even over the vocabulary. Rows that repeat an id are scored on their own and all counted.
@@ -19,14 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.textops import Words, map_batches, pieces, signed
+from strataweave.llm.textops import Words, map_batches, mix, pieces, ship, signed
+from strataweave.scratch import Scratch
 
-SIZE = 1024  # less than 2 ** 15
 PULL = 50.0  # weight of the unigrams in a bigram estimate, in counts
 HOLD = 1_000_000
+CHUNK_BYTES = 4 << 20
+WORD, BEFORE, PAIR = 0, 1, 2  # the two lowest bits of a key
+START, OTHER = np.uint64(4), np.uint64(8)  # stand for hashes of words
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -64,115 +75,139 @@ def vocabulary(texts: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r.word for r in top], dtype=np.int64).view(np.uint64))
 
 
-def tokens(texts: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous token, token) of every word, and the texts' bounds. 0: start, 1: other words."""
+def tokens(texts: list[bytes], words: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the previous token, hash of the token) of every word, and the texts' bounds."""
     found = Words(texts, lower=True)
     hashes = found.hashes()
-    ids = np.ones(len(hashes), np.int64)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        hit = words[at] == hashes
-        ids[hit] = at[hit] + 2
-    before = np.zeros_like(ids)
-    before[1:] = ids[:-1]
-    before[found.bounds[:-1][found.bounds[:-1] < len(ids)]] = 0
-    return before, ids, found.bounds
+    if words is not None:
+        hashes = np.where(np.isin(hashes, words), hashes, OTHER)
+    before = np.full_like(hashes, START)
+    before[1:] = hashes[:-1]
+    before[found.bounds[:-1][found.bounds[:-1] < len(hashes)]] = START
+    return before, hashes, found.bounds
 
 
-def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(doc_id, ids): the texts as two-byte token numbers, a third of their bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, part in pieces(batch.column(1)):
-                _, ids, bounds = tokens(part, shared.value)
-                small = ids.astype(np.int16)
-                rows = [small[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(rows, pa.binary())], ["doc_id", "ids"]
-                )
+def keys(kind: int, hashes: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Keys of words, of words before another, or of pairs of words."""
+    if before is not None:
+        hashes = mix(before + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + hashes
+    return (mix(hashes) & ~np.uint64(3)) | np.uint64(kind)
 
-    return map_batches(docs, run, "doc_id long, ids binary")
 
-
-def pair_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """(2, size, size) counts of token pairs in the targets and in all of ``docs(ids, target)``."""
+def chunked(marked: DataFrame) -> DataFrame:
+    """``marked(doc_id, target, text)`` with a chunk number, a new one every CHUNK_BYTES of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size * size), np.int64)
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, last, part in pieces(batch.column(0)):
-                ids = np.frombuffer(b"".join(part), np.int16).astype(np.int64)
-                lengths = np.array([len(t) // 2 for t in part])
-                before = np.zeros_like(ids)
-                before[1:] = ids[:-1]
-                starts = np.cumsum(lengths) - lengths
-                before[starts[lengths > 0]] = 0
-                slots = before * size + ids
-                mine = np.repeat(marks[first:last], lengths)
-                total[0] += np.bincount(slots[mine], minlength=size * size)
-                total[1] += np.bincount(slots, minlength=size * size)
-        at = np.flatnonzero(total[1])
-        if len(at):
+            numbers = np.zeros(batch.num_rows, np.int64)
+            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0).to_pylist()
+            for i, length in enumerate(lengths):
+                if size and size + length > CHUNK_BYTES:
+                    chunk, size = chunk + 1, 0
+                numbers[i] = chunk
+                size += length
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["slot", "target", "background"]
+                [pa.array(numbers), *batch.columns], ["chunk", "doc_id", "target", "text"]
             )
 
-    rows = (
-        map_batches(docs, run, "slot long, target long, background long")
-        .groupBy("slot")
-        .agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-        .toPandas()  # at most size * size rows
+    return map_batches(marked, run, "chunk long, doc_id long, target boolean, text binary")
+
+
+def counted(
+    marks: np.ndarray, texts: list[bytes], words: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Distinct keys in order, the place of every token's three keys among them, their two counts, the texts' bounds."""
+    before, now, bounds = tokens(texts, words)
+    mine = np.tile(np.repeat(marks, np.diff(bounds)), 3)
+    values, at = np.unique(
+        np.concatenate([keys(WORD, now), keys(BEFORE, before), keys(PAIR, now, before)]), return_inverse=True
     )
-    out = np.zeros((2, size * size))
-    out[:, rows["slot"].to_numpy(np.int64)] = rows[["target", "background"]].to_numpy(np.float64).T
-    return out.reshape(2, size, size)
+    return values, at, (np.bincount(at[mine], minlength=len(values)), np.bincount(at, minlength=len(values))), bounds
 
 
-def losses(counts: np.ndarray, pull: float = PULL) -> np.ndarray:
-    """-log p(word | previous word) of each model."""
-    single = counts.sum(axis=1)
-    single[:, 0] = -1  # the start is never a next word
-    unigram = (single + 1) / np.maximum(single.sum(axis=1, keepdims=True) + single.shape[1], 1)
-    unigram[:, 0] = 0
-    given = counts.sum(axis=2, keepdims=True)
-    p = (counts + pull * unigram[:, None, :]) / (given + pull)
-    p[:, :, 0] = 1  # not used
-    return -np.log(p).astype(np.float32)
+def asked_counts(table: DataFrame, words: np.ndarray | None) -> DataFrame:
+    """(chunk, key, target, background): how often each key occurs in a chunk of ``table(chunk, target, text)``.
+
+    A chunk that is read by two tasks has its keys twice.
+    """
+    shared = None if words is None else table.sparkSession.sparkContext.broadcast(words)
 
+    def counts(chunk: int, marks: list[bool], texts: list[bytes]) -> pa.RecordBatch:
+        values, _, (target, background), _ = counted(np.array(marks, bool), texts, shared and shared.value)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(values), chunk)), pa.array(signed(values)), pa.array(target), pa.array(background)],
+            ["chunk", "key", "target", "background"],
+        )
 
-def score(docs: DataFrame, targets: DataFrame, size: int = SIZE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, marks, texts = None, [], []
+        for batch in batches:
+            for chunk, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != current:
+                    if texts:
+                        yield counts(current, marks, texts)
+                    current, marks, texts = chunk, [], []
+                marks.append(mark)
+                texts.append(text or b"")
+        if texts:
+            yield counts(current, marks, texts)
+
+    return map_batches(table.select("chunk", "target", "text"), run, "chunk long, key long, target long, background long")
+
+
+def score(docs: DataFrame, targets: DataFrame, size: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) per row of ``docs(doc_id, text)``.
 
     ``targets(doc_id)`` lists the documents of the target model; losses are means over tokens in nats.
     """
+    scratch = Scratch(docs.sparkSession, "llm-cross-entropy")
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    words = vocabulary(table, size)
+    words = None if size is None else vocabulary(table, size)
     marks = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    # the marks grow with the labels, so they are joined by a shuffle at every size; token numbers move, not texts
+    # the marks grow with the labels, so they are joined by a shuffle at every size
     marks = marks.withColumn("mark", F.lit(True)).hint("merge")
-    marked = encoded(table, words).join(marks, "doc_id", "left")
-    counts = pair_counts(marked.select("ids", F.coalesce("mark", F.lit(False)).alias("target")), size)
-    shared = docs.sparkSession.sparkContext.broadcast((words, losses(counts)))  # size squared floats
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary_, loss = shared.value
-        for batch in batches:
-            for first, last, part in pieces(batch.column(1)):
-                before, ids, bounds = tokens(part, vocabulary_)
-                n = np.diff(bounds)
-                text = np.repeat(np.arange(last - first), n)
-                sums = [np.bincount(text, weights=each[before, ids], minlength=last - first) for each in loss]
-                none = n == 0
-                target, background = (pa.array(s / np.maximum(n, 1), mask=none) for s in sums)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), target, background,
-                     pa.array((sums[0] - sums[1]) / np.maximum(n, 1), mask=none)],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return map_batches(table, 
-        run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    marked = table.join(marks, "doc_id", "left").select("doc_id", F.coalesce("mark", F.lit(False)).alias("target"), "text")
+    # written down because chunk numbers must not move between two reads
+    table = scratch.save(chunked(marked))
+    whole = Window.partitionBy("key")
+    totals = scratch.save(
+        asked_counts(table, words).select(
+            "chunk", "key", F.col("background").alias("own"),
+            F.sum("target").over(whole).alias("target"), F.sum("background").over(whole).alias("background"),
+        )
+        # a chunk knows the counts of what occurs nowhere else
+        .where((F.col("background") > F.col("own")) | (F.col("key").bitwiseAND(3) == WORD)).drop("own")
+    )
+    single = totals.where(F.col("key").bitwiseAND(3) == WORD).groupBy("key").agg(
+        F.max("target").alias("target"), F.max("background").alias("background")
+    )
+    sums = single.agg(F.sum("target").alias("target"), F.sum("background").alias("background"), F.count("*").alias("n")).first()
+    all_tokens = [sums.target or 0, sums.background or 0]
+    distinct = sums.n if size is None else size - 1
+    shared = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
+
+    def losses(texts: pa.Table, known: pa.Table) -> pa.Table:
+        marks = texts.column("target").to_numpy()
+        values, at, own, bounds = counted(marks, [t or b"" for t in texts.column("text").to_pylist()], shared and shared.value)
+        n = np.diff(bounds)
+        owner = np.repeat(np.arange(texts.num_rows), n)
+        place = np.searchsorted(values, known.column("key").to_numpy().view(np.uint64))
+        sums = []
+        for i, name in enumerate(("target", "background")):
+            own[i][place] = known.column(name).to_numpy()
+            word, given, pair = own[i].astype(np.float64)[at].reshape(3, -1)
+            unigram = (word + 1) / max(all_tokens[i] + distinct, 1)
+            loss = np.log(given + PULL) - np.log(pair + PULL * unigram)
+            sums.append(np.bincount(owner, weights=loss, minlength=texts.num_rows))
+        none = n == 0
+        target, background, both = (pa.array(s / np.maximum(n, 1), mask=none) for s in (*sums, sums[0] - sums[1]))
+        return pa.table({
+            "doc_id": texts.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": target,
+            "background_loss": background, "score": both,
+        })
+
+    ship(docs.sparkSession)
+    return table.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
+        losses, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     )

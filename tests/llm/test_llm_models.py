@@ -176,3 +176,19 @@ def test_cross_entropy_against_brute_force(spark):
         assert got[i].score == pytest.approx(target - background, abs=1e-4)
     assert cross_entropy.score(docs.limit(0), targets).collect() == []
     assert len(cross_entropy.score(docs, targets.limit(0)).collect()) == len(rows)
+
+
+def test_cross_entropy_counts_every_word(spark):
+    """Words beyond the thousand most frequent tell target from background."""
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{i % 40}x{j} common{j}" for j in range(60))) for i in range(160)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    marked = {i for i, _ in rows if i % 2 and i < 120}
+    got = {r.doc_id: r for r in cross_entropy.score(docs, spark.createDataFrame([(i,) for i in marked], "doc_id long")).collect()}
+    every = len({w for _, t in rows for w in t.split()})
+    assert every > 2000
+    want = brute_scores(rows, marked, every + 1)  # the other token stands for one word only
+    for i, (n, target, background) in want.items():
+        assert got[i].n_tokens == n
+        assert got[i].target_loss == pytest.approx(target, rel=1e-9)
+        assert got[i].background_loss == pytest.approx(background, rel=1e-9)
+    assert max(got[i].score for i, _ in rows if i % 2) < min(got[i].score for i, _ in rows if not i % 2)
