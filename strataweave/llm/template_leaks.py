@@ -11,8 +11,8 @@ Everything is DataFrame functions. The benchmark side is broadcast only if its c
 beyond that the join is shuffled. Window rows carry an id, a position and a hash, no text.
 
 Nulls and ties: null texts have no words; items with fewer than five words are one window; items without words
-leak nowhere; rows that repeat a document id are judged together, and so are null ids; items with equal text leak
-together.
+leak nowhere; items with equal text leak together. Every row is compared on its own, by a row number that is written
+once. ``judge`` gives rows that repeat an id, other than null, the items of all of them; ``drop_leaks`` drops rows.
 """
 
 from __future__ import annotations
@@ -91,8 +91,13 @@ def _slots(table: DataFrame, key: str) -> DataFrame:
     )
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with a column ``row``, written down because row numbers must not move between two reads."""
+    return scratch.save(docs.withColumn("row", F.monotonically_increasing_id()))
+
+
 def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, found, windows) for every item of ``items(item_id, text)`` that leaks into a document."""
+    """(row, item_id, found, windows) for every item of ``items(item_id, text)`` that leaks into a row of ``docs(row, text)``."""
     scratch = Scratch(docs.sparkSession, "llm-leaks")
     asked = scratch.save(tokenized(items.where("item_id IS NOT NULL"), "item_id"))
     known = scratch.save(_windows(asked, "item_id", n))
@@ -101,61 +106,61 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHA
     few = known.count() <= BROADCAST_WINDOWS
     distinct = known.select("window").distinct()
 
-    mine = _windows(tokenized(docs, "doc_id"), "doc_id", n)
+    mine = _windows(tokenized(docs, "row"), "row", n)
     # first the windows that occur at all, then their places in the items: a common window is not multiplied early
     hits = mine.join(F.broadcast(distinct) if few else distinct, "window", "left_semi")
     hits = scratch.save(hits)
-    seen = hits.select("doc_id", "window").distinct().join(places.select("item_id", "window").distinct(), "window")
+    seen = hits.select("row", "window").distinct().join(places.select("item_id", "window").distinct(), "window")
     candidates = scratch.save(
-        seen.groupBy("doc_id", "item_id").agg(F.count("*").alias("found"))
+        seen.groupBy("row", "item_id").agg(F.count("*").alias("found"))
         .join(total, "item_id")
         .where(F.col("found") >= share * F.col("windows"))
-        .select("doc_id", "item_id", "windows")
+        .select("row", "item_id", "windows")
     )
-    same = F.expr("d.doc_id <=> c.doc_id")
     aligned = scratch.save(
-        hits.alias("d").join(candidates.alias("c"), same).select("d.doc_id", "d.at", "d.window", "c.item_id", "c.windows")
-        .join(places, ["item_id", "window"])
-        .select("doc_id", "item_id", "windows", "window", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
+        hits.join(candidates, "row").join(places, ["item_id", "window"])
+        .select("row", "item_id", "windows", "window", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
     )
     # slot values of the item against those of the document, alignment by alignment
     item_slots = _slots(asked, "item_id").select("item_id", F.col("at").alias("slot"), F.col("value").alias("asked"))
-    ids = candidates.select("doc_id").distinct().withColumnRenamed("doc_id", "wanted")
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    doc_slots = scratch.save(_slots(tokenized(texts, "doc_id"), "doc_id"))
+    texts = docs.join(candidates.select("row").distinct(), "row", "left_semi")
+    doc_slots = scratch.save(_slots(tokenized(texts, "row"), "row").withColumnRenamed("at", "place"))
     covered = aligned.select(
-        "doc_id", "item_id", "shift", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + n - 1)).alias("slot")
+        "row", "item_id", "shift", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + n - 1)).alias("slot")
     ).distinct()
     pairs = (
-        covered.join(item_slots, ["item_id", "slot"]).withColumn("place", F.col("slot") + F.col("shift")).alias("c")
-        .join(doc_slots.alias("s"), F.expr("c.doc_id <=> s.doc_id AND c.place = s.at"))
-        .select("c.doc_id", "c.item_id", "c.shift", "c.asked", "s.value")
+        covered.join(item_slots, ["item_id", "slot"]).withColumn("place", F.col("slot") + F.col("shift"))
+        .join(doc_slots, ["row", "place"])
+        .select("row", "item_id", "shift", "asked", "value")
         .distinct()
     )
-    torn = (
-        pairs.groupBy("doc_id", "item_id", "shift", "asked").agg(F.count("*").alias("values")).where("values > 1")
-        .select("doc_id", "item_id", "shift").distinct()
+    torn = scratch.save(
+        pairs.groupBy("row", "item_id", "shift", "asked").agg(F.count("*").alias("values")).where("values > 1")
+        .select("row", "item_id", "shift").distinct()
     )
-    torn = scratch.save(torn.withColumnsRenamed({"doc_id": "_d", "item_id": "_i", "shift": "_s"}))
-    fits = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("item_id") == F.col("_i")) & (F.col("shift") == F.col("_s"))
     return (
-        aligned.join(torn, fits, "left_anti")
-        .groupBy("doc_id", "item_id", "windows")
+        aligned.join(torn, ["row", "item_id", "shift"], "left_anti")
+        .groupBy("row", "item_id", "windows")
         .agg(F.countDistinct("window").alias("found"))
         .where(F.col("found") >= share * F.col("windows"))
-        .select("doc_id", "item_id", "found", "windows")
+        .select("row", "item_id", "found", "windows")
     )
 
 
 def judge(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, contaminated, items (ids in order), coverage (best share)."""
     scratch = Scratch(docs.sparkSession, "llm-judge")
+    rows = numbered(docs.select("doc_id", "text"), scratch)
+    # rows that repeat an id have one verdict, rows without an id one each
+    name = [F.col("doc_id").alias("_d"), F.when(F.col("doc_id").isNull(), F.col("row")).alias("_r")]
     found = scratch.save(
-        leaks(docs, items, n, share).groupBy(F.col("doc_id").alias("_d")).agg(
+        leaks(rows, items, n, share).join(rows.select("row", "doc_id"), "row").groupBy(*name).agg(
             F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("found") / F.col("windows")).alias("coverage")
         )
     )
-    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(
+    own = F.when(F.col("doc_id").isNull(), F.col("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & own.eqNullSafe(F.col("_r"))
+    return rows.select("doc_id", "row").join(found, same, "left").select(
         "doc_id",
         F.col("items").isNotNull().alias("contaminated"),
         F.coalesce("items", F.array().cast("array<long>")).alias("items"),
@@ -164,7 +169,9 @@ def judge(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHA
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """``docs`` with all its columns, without the documents into which an item leaks."""
+    """``docs`` with all its columns, without the rows into which an item leaks."""
     scratch = Scratch(docs.sparkSession, "llm-clean")
-    gone = scratch.save(leaks(docs, items, n, share).select(F.col("doc_id").alias("_d")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    rows = numbered(docs.withColumnRenamed("row", "_own_row") if "row" in docs.columns else docs, scratch)
+    gone = scratch.save(leaks(rows, items, n, share).select("row").distinct())
+    left = rows.join(gone, "row", "left_anti").drop("row")
+    return left.withColumnRenamed("_own_row", "row").select(*docs.columns)

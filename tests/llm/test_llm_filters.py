@@ -75,6 +75,20 @@ def test_drop_leaks_keeps_columns(spark):
     assert template_leaks.judge(frame.limit(0), items).collect() == []
 
 
+def test_leaks_of_rows_without_an_id(spark):
+    """Rows are compared on their own, whatever their ids: no slots torn by others, no windows added up."""
+    words = ITEM.split()
+    other = ITEM.replace("60", "75").replace("Boston", "Denver")
+    halves = [" ".join(words[:12]), " ".join(words[8:])]
+    rows = [(None, ITEM), (None, other), (None, "clean"), *[(None, t) for t in halves], *[(7, t) for t in halves]]
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = template_leaks.judge(docs(spark, rows), items).collect()
+    assert sorted((str(r.doc_id), r.contaminated) for r in got) == [("7", False)] * 2 + [("None", False)] * 3 + [("None", True)] * 2
+    left = template_leaks.drop_leaks(docs(spark, [*rows, (7, ITEM)]).withColumn("row", F.lit(1)), items)
+    assert left.columns[-1] == "row"
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted((str(i), t) for i, t in rows[2:])
+
+
 def test_urls(spark):
     rows = [
         (1, "https://WWW.Example.NET/en/1?q#f"), (2, "http://example.net/de/"), (3, "http://a.example.com/de/x"),
