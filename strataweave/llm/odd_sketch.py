@@ -19,8 +19,9 @@ if 100 * intersection >= percent * union.
 A pair at similarity 0.8 shares no band with probability 5e-8; the sieve keeps pairs whose estimate is five
 standard errors below 0.8. Nothing is capped.
 
-Nulls and ties: a null text is empty; a null id takes part in its class of equal texts only (its component is
-the smallest id there, null if there is none); rows that repeat an id are one node.
+Nulls and ties: a null text is empty. Rows are linked by a number of their own where ids are null or repeated; only
+rows with the same id and the same text are one node. A component is named by its smallest id (null if it has none),
+and of rows without an id, or with the same one, the first position is its smallest.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.components import components
+from strataweave.llm.positions import ids_are_unique, positioned
 from strataweave.llm.textops import Words, groups, lists, map_batches, mix, pieces, sequence_hashes, sequence_sums, signed
 from strataweave.scratch import Scratch
 
@@ -248,12 +250,8 @@ def links(described: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
     return scratch.save(found.unionByName(compare(rows)))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
-
-    ``component_id`` is the smallest id reachable over links; ``kept`` rows have it as their own id.
-    """
-    scratch = Scratch(docs.sparkSession, "llm-near")
+def _near(docs: DataFrame, n: int, percent: int, block: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs(doc_id, text)``, whose ids stand for one text each."""
     described = scratch.save(describe(docs, n))
     joined = components(links(described, docs, n, percent, scratch, block), scratch)
     rows = described.select("doc_id", "n_shingles", "sequence")
@@ -264,18 +262,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
     )
     out = rows.join(heads, "sequence", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
+
+    ``component_id`` is the smallest id reachable over links; ``kept`` rows are the first of their component.
+    """
+    scratch = Scratch(docs.sparkSession, "llm-near")
+    if ids_are_unique(docs):
+        return _near(docs, n, percent, block, scratch).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    rows = positioned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, nulls_first=False)
+    found = _near(rows.select(F.col("position").alias("doc_id"), "text"), n, percent, block, scratch)
+    found = scratch.save(found.withColumnsRenamed({"doc_id": "position", "component_id": "first"}))
+    names = rows.select("position", "doc_id").distinct()
+    return found.join(names, "position").join(names.toDF("first", "component_id"), "first").select(
+        "doc_id", "n_shingles", "component_id", (F.col("position") == F.col("first")).alias("kept")
     )
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with all its columns, the row with the smallest id of each component.
 
-    Rows that repeat a kept id stay together: exact copies are another operator's work.
+    Rows that repeat a kept id and its text stay together: exact copies are another operator's work.
     """
     scratch = Scratch(docs.sparkSession, "llm-near-drop")
-    gone = scratch.save(
-        near_duplicates(docs, n, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    )
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    if ids_are_unique(docs):
+        rows, number = docs, F.col("doc_id")
+    else:
+        renamed = docs.withColumnRenamed("position", "_position")
+        rows, number = positioned(renamed, scratch, nulls_first=False), F.col("position")
+    found = _near(rows.select(number.alias("doc_id"), "text"), n, percent, BLOCK, scratch)
+    gone = scratch.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    left = rows.join(gone, number == F.col("_gone"), "left_anti")
+    if rows is not docs:
+        left = left.drop("position").withColumnRenamed("_position", "position")
+    return left.select(*docs.columns)

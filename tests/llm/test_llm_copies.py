@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataweave.llm import block_naming, debruijn, odd_sketch
 from strataweave.llm.components import components
@@ -120,6 +121,26 @@ def test_near_edges(spark):
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in got if r.kept}
 
 
+def test_near_copies_without_ids_or_with_repeated_ids(spark):
+    """A near copy takes no other row with it that has no id or the same id; null ids are linked as well."""
+    base = [f"w{i}" for i in range(60)]
+    alone = [f"x{i}" for i in range(60)]
+    text, near, lone, close = " ".join(base), " ".join([*base, "end"]), " ".join(alone), " ".join([*alone, "end"])
+    rows = [(5, text), (None, near), (None, "a clean row of its own"), (None, "another clean row"),
+            (8, near), (8, "clean with a repeated id"), (None, lone), (None, close), (None, None)]
+    frame = docs(spark, rows).withColumn("position", F.lit(1)).repartition(3)
+    got = odd_sketch.near_duplicates(frame).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == sorted(
+        [("5", "5", True), ("None", "5", False), ("8", "5", False), ("8", "8", True)]
+        + [("None", "None", True)] * 4 + [("None", "None", False)]
+    )
+    left = odd_sketch.drop_near_copies(frame)
+    assert left.columns == frame.columns
+    texts = sorted(str(r.text) for r in left.collect())
+    assert len(texts) == 6 and (lone in texts) != (close in texts)
+    assert set(texts) - {lone, close} == {text, "a clean row of its own", "another clean row", "clean with a repeated id", "None"}
+
+
 def test_most_bits_is_loose_enough():
     import numpy as np
 
