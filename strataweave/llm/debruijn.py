@@ -17,9 +17,9 @@ other occurrence are removed. Edges are never listed one by one where they need
 
 Words are runs of characters other than space, tab, LF, VT, FF and CR, unchanged.
 
-Nulls and ties: a null text has no words. The id names the text: rows that repeat an id are one text if they are
-equal, and share their removals if not; null ids come first. Texts shorter than ``k`` words keep all. An empty
-table gives an empty result.
+Nulls and ties: a null text has no words. Rows that repeat an id are one text if they are equal. Otherwise they, and
+rows without an id, are texts of their own, told apart by a position; null ids come first. Texts shorter than ``k``
+words keep all. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.llm.positions import ids_are_unique, positioned
 from strataweave.llm.textops import Words, map_batches, pieces, sequence_hashes, sequence_sums, signed, windows
 from strataweave.scratch import Scratch
 
@@ -119,8 +120,6 @@ def split_paths(docs: DataFrame, k: int) -> DataFrame:
                 for i in range(len(texts)):
                     for path in listed[first + i].as_py():
                         starts = np.arange(path["first"], path["last"] + 1)
-                        # rows that repeat an id may be shorter than the text whose paths they are given
-                        starts = starts[starts + k <= words.bounds[i + 1] - words.bounds[i]]
                         owner.append(np.full(len(starts), i))
                         at.append(starts)
                 if not owner:
@@ -137,27 +136,29 @@ def split_paths(docs: DataFrame, k: int) -> DataFrame:
 
 
 def chain(copies: np.ndarray) -> np.ndarray:
-    """Join rows (first, last, source, source first) whose source advances in step; ordered by first."""
+    """Join rows (first, last, source, source first, ..) whose source advances in step; ordered by first."""
     if len(copies) < 2:
         return copies
     copies = copies[np.lexsort((copies[:, 1], copies[:, 0]))]
-    first, last, source, at = copies.T
+    first, last, source, at = copies.T[:4]
     shift = at - first
     new = np.ones(len(copies), bool)
     new[1:] = (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]) | (first[1:] > last[:-1] + 1)
     heads = np.flatnonzero(new)
-    return np.stack([first[heads], np.maximum.reduceat(last, heads), source[heads], at[heads]], axis=1)
+    joined = copies[heads]
+    joined[:, 1] = np.maximum.reduceat(last, heads)
+    return joined
 
 
 def _table(copies: pa.StructArray) -> np.ndarray:
     return np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in copies.flatten()], axis=1)
 
 
-def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = K, m: int = M, names: DataFrame | None = None) -> DataFrame:
     """(id, copies) for ``docs(id, text)`` with binary texts and ids that are not null.
 
     ``copies`` is an array of (first, last, source, at): the edges first..last of the text also start at
-    word ``at`` .. of text ``source``, which is earlier.
+    word ``at`` .. of text ``source``, which is earlier. ``names(id, name)`` adds the name of ``source`` as a fifth.
     """
     scratch = Scratch(docs.sparkSession, "llm-debruijn")
     repeated = minimizers(docs, k, m).groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1").select("mini")
@@ -189,10 +190,12 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
         edges.join(first_edges, ["low", "high"]).where(later).withColumn("last", F.col("first")).select(*columns)
     )
     copies = copies.unionByName(single)
+    cells = ["first", "last", "from", "at"]
+    if names is not None:
+        copies = copies.join(names.toDF("from", "name"), "from")
+        cells.append("name")
     # a text's own paths only: no more than its words
-    return scratch.save(
-        copies.groupBy("id").agg(F.collect_set(F.struct("first", "last", "from", "at")).alias("copies"))
-    )
+    return scratch.save(copies.groupBy("id").agg(F.collect_set(F.struct(*cells)).alias("copies")))
 
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
@@ -202,10 +205,17 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     first..last - 1 repeat the words from ``at`` of the earlier text ``source_id`` (null where its id is null).
     """
     scratch = Scratch(docs.sparkSession, "llm-repeats")
-    table = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("binary").alias("text")
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    unique = ids_are_unique(table)
+    if not unique:
+        table = positioned(table, scratch, nulls_first=True)
+    table = table.select(
+        F.col("doc_id" if unique else "position").alias("id"),
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("name"),
+        F.col("text").cast("binary").alias("text"),
     )
-    found = scratch.save(repeated_spans(table, k, m))
+    names = None if unique else table.select("id", "name").distinct()
+    found = scratch.save(repeated_spans(table.select("id", "text"), k, m, names))
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("source_id", pa.int64()), ("at", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,16 +226,16 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
                 for i, text in enumerate(texts):
                     words = text.split()
                     copies = listed[first + i]
-                    rows = chain(_table(copies.values) if copies.is_valid else np.zeros((0, 4), np.int64))
+                    rows = chain(_table(copies.values) if copies.is_valid else np.zeros((0, 5), np.int64))
                     stay = np.ones(len(words), bool)
-                    for a, b, _, _ in rows.tolist():
+                    for a, b, *_ in rows.tolist():
                         stay[a : b + k] = False
                     counts.append(len(words))
                     removed.append(len(words) - int(stay.sum()))
                     kept.append(b" ".join(compress(words, stay.tolist()) if len(rows) else words))
                     spans.append([
-                        {"first": a, "last": b + k, "source_id": None if s == NO_ID else s, "at": x}
-                        for a, b, s, x in rows.tolist()
+                        {"first": a, "last": b + k, "source_id": None if (name or [s])[0] == NO_ID else (name or [s])[0], "at": x}
+                        for a, b, s, x, *name in rows.tolist()
                     ])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(counts, pa.int64()),
@@ -234,7 +244,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
                 )
 
     out = map_batches(
-        table.join(found, "id", "left").select("id", "text", "copies"),
+        table.join(found, "id", "left").select(F.col("name").alias("id"), "text", "copies"),
         run,
         "id long, n_words long, n_removed long, kept_text string, "
         "spans array<struct<first:int,last:int,source_id:long,at:int>>",

@@ -221,3 +221,14 @@ def test_remove_repeats_edges(spark):
     rows = [(1, "p q r s t u"), (1, "p q r s t u"), (2, "p q r s t u"), (3, None)]
     got = sorted((r.doc_id, r.n_removed) for r in debruijn.remove_repeats(docs(spark, rows), 4, 2).collect())
     assert got == [(1, 0), (1, 0), (2, 6), (3, 0)]
+
+
+def test_remove_repeats_of_rows_without_an_id_or_with_repeated_ids(spark):
+    """Every text loses its own repeats only, and a passage at the same place of another one is a repeat."""
+    rows = [(None, "a b c d e f x1 x2 x3 x4"), (None, "a b c d e f y1 y2 y3 y4"), (None, "z1 z2 z3 z4 z5 z6 z7 z8"),
+            (3, "a b c d e f"), (3, "q1 q2 q3 q4 q5 q6"), (2, "q1 q2 q3 q4 q5 q6 q7")]
+    got = debruijn.remove_repeats(docs(spark, rows).coalesce(1), 4, 2).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.kept_text) for r in got) == sorted([
+        ("None", 10, rows[0][1]), ("None", 10, "y1 y2 y3 y4"), ("None", 8, rows[2][1]), ("3", 6, ""), ("3", 6, ""), ("2", 7, rows[5][1]),
+    ])
+    assert {s.source_id for r in got for s in r.spans} == {None, 2}
