@@ -7,11 +7,15 @@ windows are found there, counting only alignments (document position minus item
 value of the item is replaced by one and the same value throughout: so a question that was re-parameterised is
 found, and a table full of unrelated numbers is not.
 
+A word that starts a sentence or an item may be a name or not, and so may a capitalised one that starts a document's
+sentence: windows are indexed under both readings. A window that needs ``<name>`` for such a word counts only if all
+its slots, such words included, have one value throughout the alignment.
+
 Everything is DataFrame functions. The benchmark side is broadcast only if its counted windows are few enough;
 beyond that the join is shuffled. Window rows carry an id, a position and a hash, no text.
 
-Nulls and ties: null texts have no words; items with fewer than five words are one window; items without words
-leak nowhere; items with equal text leak together. Every row is compared on its own, by a row number that is written
+Nulls and ties: null texts have no words; items with fewer than five words are one window of their own length,
+which must match word for word if it is placeholders only; items without words leak nowhere; items with equal text leak together. Every row is compared on its own, by a row number that is written
 once. ``judge`` gives rows that repeat an id, other than null, the items of all of them; ``drop_leaks`` drops rows.
 """
 
@@ -48,46 +52,95 @@ def tokenized(table: DataFrame, key: str) -> DataFrame:
     return table.select(key, words(F.col("text")).alias("words"), words(F.lower("text")).alias("low"))
 
 
+def _plain() -> Column:
+    return F.transform("low", lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+
+
+def _number(plain: Column) -> Column:
+    first = F.ascii(plain)
+    signed = first.isin(36, 43, 45, 163, 8364) & plain.rlike(r"^[^\p{L}\d]*\d")  # $ + - pound and euro signs
+    return first.between(48, 57) | signed
+
+
+def _capital(at: Column) -> Column:
+    return F.ascii(F.get(F.col("words"), at)) != F.ascii(F.get(F.col("low"), at))
+
+
+def _starts(at: Column) -> Column:
+    """Whether a word is the first, or follows the end of a sentence."""
+    return (at == 0) | F.substring(F.get(F.col("words"), at - 1), -1, 1).isin(".", "!", "?", ":")
+
+
 def template(token: Callable[[Column], Column] = lambda t: t) -> Column:
     """The template tokens of columns ``words`` and ``low``, each passed through ``token``."""
-    raw, low = F.col("words"), F.col("low")
 
     def canonical(plain: Column, at: Column) -> Column:
-        first = F.ascii(plain)
-        signed = first.isin(36, 43, 45, 163, 8364) & plain.rlike(r"^[^\p{L}\d]*\d")  # $ + - pound and euro signs
-        capital = F.ascii(F.get(raw, at)) != F.ascii(F.get(low, at))
-        inside = (at > 0) & ~F.substring(F.get(raw, at - 1), -1, 1).isin(".", "!", "?", ":")
         return (
-            F.when(first.between(48, 57) | signed, F.lit("<num>"))
-            .when(capital & inside, F.lit("<name>"))
+            F.when(_number(plain), F.lit("<num>"))
+            .when(_capital(at) & ~_starts(at), F.lit("<name>"))
             .when(plain.isin(UNITS), F.lit("<unit>"))
             .otherwise(plain)
         )
 
-    plain = F.transform(low, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
-    return F.transform(plain, lambda p, at: token(canonical(p, at)))
+    return F.transform(_plain(), lambda p, at: token(canonical(p, at)))
 
 
-def _windows(table: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, at, window) for ``table(key, words, low)``: hashes of the runs of ``n`` template tokens, or of all tokens."""
-    rows = table.select(key, template(F.xxhash64).alias("h"))
-    # no words give no rows here; a filter on their number would be pushed below and split the text per word
-    full = rows.select(
-        key,
-        F.posexplode(F.arrays_zip(*[F.slice("h", i + 1, F.greatest(F.size("h") - (n - 1), F.lit(1))).alias(f"c{i}") for i in range(n)])),
-    )
-    cells = [F.col(f"col.c{i}") for i in range(n)]
-    # a text with fewer tokens is one window, padded with nulls
-    return full.select(key, F.col("pos").alias("at"), F.xxhash64(*cells).alias("window"))
+def doubts(item: bool) -> Column:
+    """Whether each word may be a name besides what ``template`` says: any first word of an item's sentences."""
+    return F.transform(_plain(), lambda p, at: _starts(at) & (F.lit(item) | _capital(at)) & ~_number(p))
+
 
+def _windows(table: DataFrame, key: str, n: int, lengths: list[int], item: bool) -> DataFrame:
+    """(key, at, window, length, mask) for ``table(key, words, low)``: hashes of the runs of template tokens.
 
-def _slots(table: DataFrame, key: str) -> DataFrame:
-    """(key, at, value) of the words that became placeholders."""
-    both = F.arrays_zip(F.col("low").alias("word"), template().alias("token"))
+    The bits of ``mask`` are the doubtful words that are read as names.
+    """
+    short = any(length < n for length in lengths)
+    arrays = {"h": template(F.xxhash64), "d": doubts(item)}
+    if short:
+        arrays["p"] = F.transform(_plain(), lambda w: F.xxhash64(w))
+    rows = table.select(key, *[c.alias(a) for a, c in arrays.items()])
+    # no words give no rows here; a filter on their number would be pushed below and split the text per word
+    shifted = [F.slice(a, i + 1, F.size("h")).alias(f"{a}{i}") for a in arrays for i in range(n)]
+    full = rows.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("at", "col"))
+    bits = sum((F.when(F.col(f"col.d{i}"), 1 << i).otherwise(0) for i in range(n)), F.lit(0))
+    full = full.select(key, "at", "col", bits.alias("bits"))
+
+    def readings(length: int) -> Column:
+        def reading(mask: Column) -> Column:
+            return F.struct(F.lit(length).alias("length"), mask.cast("int").alias("mask"))
+
+        own = F.col("bits").bitwiseAND((1 << length) - 1)
+        some = F.filter(F.sequence(F.lit(0), F.lit((1 << length) - 1)), lambda m: m.bitwiseAND(own) == m)
+        every = F.when(own == 0, F.array(reading(F.lit(0)))).otherwise(F.transform(some, reading))
+        return F.when(F.col(f"col.h{length - 1}").isNotNull(), every).otherwise(F.array().cast(
+            "array<struct<length:int,mask:int>>"))
+
+    read = full.select(key, "at", "col", F.explode(F.concat(*[readings(x) for x in lengths])).alias("r"))
+    name = F.xxhash64(F.lit("<name>"))
+    cells = [
+        F.when(F.col("r.length") > i, F.when(F.col("r.mask").bitwiseAND(1 << i) != 0, name).otherwise(F.col(f"col.h{i}")))
+        for i in range(n)
+    ]
+    window = F.xxhash64("r.length", *cells)
+    if short:
+        slots = [F.xxhash64(F.lit(x)) for x in ("<num>", "<name>", "<unit>")]
+        bare = F.col("r.length") < n
+        for cell in cells:
+            bare = bare & (cell.isNull() | cell.isin(*slots))
+        verbatim = [F.when(F.col("r.length") > i, F.col(f"col.p{i}")) for i in range(n)]
+        window = F.when(bare, F.xxhash64(F.lit("verbatim"), *verbatim)).otherwise(window)
+    return read.select(key, "at", window.alias("window"), "r.length", "r.mask")
+
+
+def _slots(table: DataFrame, key: str, item: bool) -> DataFrame:
+    """(key, at, value, sure) of the words that became placeholders, and of those that are doubtful (not sure)."""
+    both = F.arrays_zip(F.col("low").alias("word"), template().alias("token"), doubts(item).alias("doubt"))
+    sure = F.col("w.token").isin("<num>", "<name>", "<unit>")
     return (
         table.select(key, F.posexplode(both).alias("at", "w"))
-        .where(F.col("w.token").isin("<num>", "<name>", "<unit>"))
-        .select(key, "at", F.btrim("w.word", F.lit(PUNCTUATION)).alias("value"))
+        .where(sure | F.col("w.doubt"))
+        .select(key, "at", F.btrim("w.word", F.lit(PUNCTUATION)).alias("value"), sure.alias("sure"))
     )
 
 
@@ -100,48 +153,65 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHA
     """(row, item_id, found, windows) for every item of ``items(item_id, text)`` that leaks into a row of ``docs(row, text)``."""
     scratch = Scratch(docs.sparkSession, "llm-leaks")
     asked = scratch.save(tokenized(items.where("item_id IS NOT NULL"), "item_id"))
-    known = scratch.save(_windows(asked, "item_id", n))
-    total = scratch.save(known.groupBy("item_id").agg(F.countDistinct("window").alias("windows")))
-    places = known.select("item_id", F.col("at").alias("item_at"), "window")
+    size = asked.select("item_id", F.least(F.size("words"), F.lit(n)).alias("size")).where("size > 0")
+    lengths = sorted(r.size for r in size.select("size").distinct().collect())  # at most n
+    lengths = lengths or [n]
+    read = _windows(asked, "item_id", n, lengths, True).join(size, "item_id").where("length = size").drop("size")
+    read = scratch.save(read.withColumnsRenamed({"at": "item_at", "mask": "item_mask"}))
+    # windows of an item are counted under their plain reading
+    plain = read.where("item_mask = 0").select("item_id", "item_at", F.col("window").alias("plain"))
+    known = scratch.save(read.join(plain, ["item_id", "item_at"]))
+    total = scratch.save(known.groupBy("item_id").agg(F.countDistinct("plain").alias("windows")))
+    places = known.select("item_id", "item_at", "window", "plain", "item_mask")
     few = known.count() <= BROADCAST_WINDOWS
     distinct = known.select("window").distinct()
 
-    mine = _windows(tokenized(docs, "row"), "row", n)
+    mine = _windows(tokenized(docs, "row"), "row", n, lengths, False).drop("length")
     # first the windows that occur at all, then their places in the items: a common window is not multiplied early
     hits = mine.join(F.broadcast(distinct) if few else distinct, "window", "left_semi")
     hits = scratch.save(hits)
-    seen = hits.select("row", "window").distinct().join(places.select("item_id", "window").distinct(), "window")
+    seen = hits.select("row", "window").distinct().join(places.select("item_id", "window", "plain").distinct(), "window")
     candidates = scratch.save(
-        seen.groupBy("row", "item_id").agg(F.count("*").alias("found"))
+        seen.groupBy("row", "item_id").agg(F.countDistinct("plain").alias("found"))
         .join(total, "item_id")
         .where(F.col("found") >= share * F.col("windows"))
         .select("row", "item_id", "windows")
     )
+    alignment = ["row", "item_id", "shift"]
     aligned = scratch.save(
         hits.join(candidates, "row").join(places, ["item_id", "window"])
-        .select("row", "item_id", "windows", "window", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
+        .select(
+            "row", "item_id", "windows", "plain", "item_at", (F.col("at") - F.col("item_at")).alias("shift"),
+            (F.col("mask").bitwiseOR(F.col("item_mask")) == 0).alias("strong"),
+        )
     )
     # slot values of the item against those of the document, alignment by alignment
-    item_slots = _slots(asked, "item_id").select("item_id", F.col("at").alias("slot"), F.col("value").alias("asked"))
+    item_slots = _slots(asked, "item_id", True).withColumnsRenamed({"at": "slot", "value": "asked", "sure": "item_sure"})
     texts = docs.join(candidates.select("row").distinct(), "row", "left_semi")
-    doc_slots = scratch.save(_slots(tokenized(texts, "row"), "row").withColumnRenamed("at", "place"))
-    covered = aligned.select(
-        "row", "item_id", "shift", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + n - 1)).alias("slot")
-    ).distinct()
-    pairs = (
+    doc_slots = scratch.save(_slots(tokenized(texts, "row"), "row", False).withColumnRenamed("at", "place"))
+    inside = F.explode(F.sequence(F.col("item_at"), F.col("item_at") + n - 1)).alias("slot")
+    covered = aligned.select(*alignment, "strong", inside).groupBy(*alignment, "slot").agg(F.max("strong").alias("strong"))
+    pairs = scratch.save(
         covered.join(item_slots, ["item_id", "slot"]).withColumn("place", F.col("slot") + F.col("shift"))
         .join(doc_slots, ["row", "place"])
-        .select("row", "item_id", "shift", "asked", "value")
-        .distinct()
+        .select(*alignment, "slot", "asked", "value", (F.col("strong") & F.col("item_sure") & F.col("sure")).alias("sure"))
     )
-    torn = scratch.save(
-        pairs.groupBy("row", "item_id", "shift", "asked").agg(F.count("*").alias("values")).where("values > 1")
-        .select("row", "item_id", "shift").distinct()
+
+    def torn(of: DataFrame) -> DataFrame:
+        return of.groupBy(*alignment, "asked").agg(F.countDistinct("value").alias("values")).where("values > 1").drop("values")
+
+    broken = scratch.save(torn(pairs.where("sure")).select(*alignment).distinct())
+    # a reading that contradicts another is dropped with its windows, not the alignment
+    contrary = pairs.join(torn(pairs), [*alignment, "asked"], "left_semi").select(*alignment, "slot").distinct()
+    place = [*alignment, "item_at"]
+    dropped = scratch.save(
+        aligned.where("NOT strong").select(*place, inside).join(contrary, [*alignment, "slot"], "left_semi").select(*place).distinct()
+        .withColumn("strong", F.lit(False))
     )
     return (
-        aligned.join(torn, ["row", "item_id", "shift"], "left_anti")
+        aligned.join(broken, alignment, "left_anti").join(dropped, [*place, "strong"], "left_anti")
         .groupBy("row", "item_id", "windows")
-        .agg(F.countDistinct("window").alias("found"))
+        .agg(F.countDistinct("plain").alias("found"))
         .where(F.col("found") >= share * F.col("windows"))
         .select("row", "item_id", "found", "windows")
     )

@@ -75,6 +75,19 @@ def test_drop_leaks_keeps_columns(spark):
     assert template_leaks.judge(frame.limit(0), items).collect() == []
 
 
+def test_leaks_with_names_that_start_sentences(spark):
+    item = "Alice has 3 apples in her bag. Alice gives 2 apples to Tom. Alice then eats one more apple today."
+    other = item.replace("Alice", "Bob").replace("3", "7")
+    mixed = "Bob".join(item.split("Alice", 1)).replace(". Alice gives", ". Carol gives").replace(". Alice then", ". Dan then")
+    short = "Which river is longest"
+    rows = [(1, item), (2, other), (3, f"1) Question, {item}"), (4, mixed), (5, item.lower()),
+            (6, f"see: {short} of all"), (7, "which river is short"), (8, "There are 42 of them in Rome"), (9, "it has 43 of them")]
+    found = leaked(spark, rows, [(1, item), (2, short), (3, "42"), (4, "the train leaves at nine"), (5, "Rome")])
+    assert found[1] == found[2] == found[3] == [1]
+    assert found[4] == [] and found[6] == [2] and found[7] == [] and found[8] == [3, 5] and found[9] == []
+    assert leaked(spark, [(1, "My heading The train leaves at nine")], [(1, "the train leaves at nine")]) == {1: [1]}
+
+
 def test_leaks_of_rows_without_an_id(spark):
     """Rows are compared on their own, whatever their ids: no slots torn by others, no windows added up."""
     words = ITEM.split()
