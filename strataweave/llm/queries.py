@@ -12,10 +12,13 @@ from strataweave.llm import (
     crf_language,
     cross_entropy,
     debruijn,
+    geometric_kmeans,
     host_reputation,
     mixing,
     odd_sketch,
     ordinal_toxicity,
+    rtree_negatives,
+    simhash_tiles,
     template_leaks,
     warc_zstd,
 )
@@ -247,3 +250,74 @@ FROM g"""
 @query("op10_mixing", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP11_SQL = """
+WITH e AS MATERIALIZED (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END)) = 0),
+s AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, list_inner_product(a.v, e.v)::BIGINT AS score
+    FROM e AS a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5"""
+
+
+@query("op11_rtree_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", moved.alias("label"), geometric_kmeans.grid(F.col("embedding"), 256).alias("v"))
+    return rtree_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def kmeans_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds as one chain of tables: (vec_id, j, x) against (c, j, x)."""
+    parts = [f"""
+WITH v AS MATERIALIZED (
+    SELECT vec_id, unnest(range(64)) AS j, unnest(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS x
+    FROM embeddings WHERE len(embedding) = 64
+        AND list_sum(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END)) = 0),
+start AS (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM v)
+    QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, j, x FROM start JOIN v USING (vec_id))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+    SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT vec_id, c, sum((v.x - c{r}.x) * (v.x - c{r}.x))::BIGINT AS d FROM v JOIN c{r} USING (j) GROUP BY vec_id, c)
+    GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS (
+    SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{r} USING (vec_id) GROUP BY c, j),
+c{r + 1} AS MATERIALIZED (
+    SELECT c, j, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x
+    FROM c{r} LEFT JOIN m{r} USING (c, j))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+    sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+    USING (c)"""
+
+
+@query("op12_geometric_kmeans", kmeans_sql(8, 10))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    rows = whole.select("vec_id", geometric_kmeans.grid(F.col("embedding"), 1024).alias("v")).where("v IS NOT NULL")
+    return geometric_kmeans.kmeans(rows, k=8, rounds=10, seed=3, dim=64)
+
+
+@query("op13_simhash_tiles")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_tiles.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)

@@ -27,5 +27,5 @@ def test_all_operators_are_registered():
     import __spark_entry__ as entry
 
     found = entry.queries()
-    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in found and set(queries.SQL) <= set(entry.oracle_sql())
