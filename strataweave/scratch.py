@@ -38,7 +38,7 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_OPEN: list[list[str]] = []
+_OPEN: list[list[Scratch]] = []
 
 
 @contextmanager
@@ -47,14 +47,14 @@ def collected(spark: SparkSession) -> Iterator[None]:
 
     Frames returned from inside read these tables, so write what is to be kept before the end.
     """
-    made: list[str] = []
+    made: list[Scratch] = []
     _OPEN.append(made)
     try:
         yield
     finally:
         _OPEN.remove(made)
-        for base in made:
-            delete(spark, base)
+        for scratch in made:
+            scratch.clear()
 
 
 class Scratch:
@@ -64,13 +64,17 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/{job}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._names: list[str] = []
         if _OPEN:
-            _OPEN[-1].append(self.base)
+            _OPEN[-1].append(self)
+
+    def _path(self) -> str:
+        self._n += 1
+        return f"{self.base}/t{self._n:05d}"
 
     def save(self, df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
         """Write ``df`` and return a frame that reads it back; drop the table it replaces."""
-        self._n += 1
-        path = f"{self.base}/t{self._n:05d}"
+        path = self._path()
         df.write.mode("overwrite").parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._scratch_path = path
@@ -78,6 +82,20 @@ class Scratch:
             self.drop(replaces)
         return saved
 
+    def save_bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Write ``df`` as a table bucketed by ``key``: reading it by that key again needs no shuffle."""
+        self._names.append(f"scratch_{uuid.uuid4().hex}")
+        writer = df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("compression", "zstd")
+        writer.option("path", self._path()).saveAsTable(self._names[-1])
+        return self.spark.table(self._names[-1])
+
+    def clear(self) -> None:
+        """Delete all tables of this job."""
+        for name in self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._names.clear()
+        delete(self.spark, self.base)
+
     def drop(self, saved: DataFrame) -> None:
         """Delete a table made by :meth:`save` that nothing reads any more."""
         path = getattr(saved, "_scratch_path", None)
