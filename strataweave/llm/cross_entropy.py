@@ -5,14 +5,19 @@ text. The target model counts the documents that are marked as target, the backg
 interpolate with their own unigrams in the same way. The score is the mean over the tokens of target loss minus
 background loss, so lower means closer to the target.
 
-Words, words before another and word pairs are counted as rows keyed by hash, so the models grow with the input:
+Words and word pairs are counted under hashed keys, so the models grow with the input. How often a word is followed
+by another is its count less its count as a last word, which goes along with the word.
 
-1. Texts are dealt into chunks of bounded size and written. A chunk counts its distinct words and pairs; only these
-   counts are shuffled, so a common key is as many rows as there are chunks, not tokens.
-2. A window over each key adds the totals, and totals that are more than a chunk's own count go back to it.
-3. Texts and totals of a chunk meet in one task, which works out the losses. The driver only sees three sums.
+1. Texts are dealt into chunks of bounded size and written as a table bucketed by chunk, which is read twice without
+   another shuffle. Only (chunk, id) rows are joined with the marks.
+2. A chunk counts its distinct keys in order and cuts them at the same hash bounds into parts. One row holds the keys
+   of a part, as differences, and their counts; these rows are all that is shuffled by part.
+3. A part adds up the counts of all its chunks and answers every chunk with the totals of its keys, in their order,
+   so the keys do not travel back. It also adds up the words of the models; the driver only sees these sums.
+4. Texts and answers of a chunk meet in one task, which works out the losses.
 
-Keys are 62-bit hashes: two of a billion pairs share one with a probability of about 0.1.
+Keys are 62-bit hashes: two of a billion pairs share one with a probability of about 0.1. A part gets at most one
+entry of a key from each chunk, however common the key is.
 
 With ``size`` the vocabulary is the ``size`` - 2 most frequent words (ties by hash), and all others are one token.
 
@@ -27,17 +32,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.textops import Words, map_batches, mix, pieces, ship, signed
+from strataweave.llm.textops import Words, groups, map_batches, mix, pieces, ship, signed
 from strataweave.scratch import Scratch
 
 PULL = 50.0  # weight of the unigrams in a bigram estimate, in counts
 HOLD = 1_000_000
-CHUNK_BYTES = 4 << 20
-WORD, BEFORE, PAIR = 0, 1, 2  # the two lowest bits of a key
+CHUNK_BYTES = 16 << 20
+WORD, PAIR = 0, 1  # the two lowest bits of a key
 START, OTHER = np.uint64(4), np.uint64(8)  # stand for hashes of words
+NUMBERS = ["target", "target_last", "background", "background_last"]
+COUNTS = pa.schema([
+    ("chunk", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), *((n, pa.binary()) for n in NUMBERS),
+    ("targets", pa.int64()), ("texts", pa.int64()),
+])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -88,117 +98,156 @@ def tokens(texts: list[bytes], words: np.ndarray | None) -> tuple[np.ndarray, np
 
 
 def keys(kind: int, hashes: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
-    """Keys of words, of words before another, or of pairs of words."""
+    """Keys of words, or of pairs of words."""
     if before is not None:
         hashes = mix(before + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + hashes
     return (mix(hashes) & ~np.uint64(3)) | np.uint64(kind)
 
 
-def chunked(marked: DataFrame) -> DataFrame:
-    """``marked(doc_id, target, text)`` with a chunk number, a new one every CHUNK_BYTES of a task."""
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all first bytes before all second ones: small numbers then compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def chunked(texts: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``texts(doc_id, text)`` with a chunk number, a new one every ``chunk_bytes`` of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             numbers = np.zeros(batch.num_rows, np.int64)
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0).to_pylist()
+            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
             for i, length in enumerate(lengths):
-                if size and size + length > CHUNK_BYTES:
+                if size and size + length > chunk_bytes:
                     chunk, size = chunk + 1, 0
                 numbers[i] = chunk
                 size += length
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers), *batch.columns], ["chunk", "doc_id", "target", "text"]
-            )
-
-    return map_batches(marked, run, "chunk long, doc_id long, target boolean, text binary")
-
-
-def counted(
-    marks: np.ndarray, texts: list[bytes], words: np.ndarray | None
-) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct keys in order, the place of every token's three keys among them, their two counts, the texts' bounds."""
-    before, now, bounds = tokens(texts, words)
-    mine = np.tile(np.repeat(marks, np.diff(bounds)), 3)
-    values, at = np.unique(
-        np.concatenate([keys(WORD, now), keys(BEFORE, before), keys(PAIR, now, before)]), return_inverse=True
-    )
-    return values, at, (np.bincount(at[mine], minlength=len(values)), np.bincount(at, minlength=len(values))), bounds
-
-
-def asked_counts(table: DataFrame, words: np.ndarray | None) -> DataFrame:
-    """(chunk, key, target, background): how often each key occurs in a chunk of ``table(chunk, target, text)``.
-
-    A chunk that is read by two tasks has its keys twice.
-    """
-    shared = None if words is None else table.sparkSession.sparkContext.broadcast(words)
-
-    def counts(chunk: int, marks: list[bool], texts: list[bytes]) -> pa.RecordBatch:
-        values, _, (target, background), _ = counted(np.array(marks, bool), texts, shared and shared.value)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(values), chunk)), pa.array(signed(values)), pa.array(target), pa.array(background)],
-            ["chunk", "key", "target", "background"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, marks, texts = None, [], []
-        for batch in batches:
-            for chunk, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if chunk != current:
-                    if texts:
-                        yield counts(current, marks, texts)
-                    current, marks, texts = chunk, [], []
-                marks.append(mark)
-                texts.append(text or b"")
-        if texts:
-            yield counts(current, marks, texts)
-
-    return map_batches(table.select("chunk", "target", "text"), run, "chunk long, key long, target long, background long")
-
-
-def score(docs: DataFrame, targets: DataFrame, size: int | None = None) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), *batch.columns], ["chunk", "doc_id", "text"])
+
+    return map_batches(texts, run, "chunk long, doc_id long, text binary")
+
+
+class Counted:
+    """The distinct keys of some texts in order, and where every token's keys are among them."""
+
+    def __init__(self, texts: list[bytes], words: np.ndarray | None):
+        before, now, self.bounds = tokens(texts, words)
+        self.first = before == START
+        self.last = np.append(self.first[1:], True)[: len(now)]
+        word, word_at = np.unique(keys(WORD, now), return_inverse=True)
+        pair, pair_at = np.unique(keys(PAIR, now, before), return_inverse=True)
+        both = np.concatenate([word, pair])
+        order = np.argsort(both)
+        place = np.empty(len(both), np.int64)
+        place[order] = np.arange(len(both))
+        self.values, self.is_word = both[order], (order < len(word))
+        self.word, self.pair = place[word_at], place[len(word) + pair_at]
+
+    def counts(self, marks: np.ndarray) -> list[np.ndarray]:
+        """For the marked texts and for all: how often each key occurs, and how often it is a last word."""
+        mine = np.repeat(marks, np.diff(self.bounds))
+        out = []
+        for some in (mine, np.ones_like(mine)):
+            out.append(np.bincount(np.concatenate([self.word[some], self.pair[some]]), minlength=len(self.values)))
+            out.append(np.bincount(self.word[some & self.last], minlength=len(self.values)))
+        return out
+
+    def losses(self, total: np.ndarray, ends: np.ndarray, tokens: int, texts: int, distinct: int) -> np.ndarray:
+        """The loss of every token in nats, under a model with these counts of the keys and of last words."""
+        word, pair = (total[x].astype(np.float64) for x in (self.word, self.pair))
+        given = np.empty(len(word))
+        given[1:] = (word - ends[self.word])[:-1]
+        given[self.first] = texts
+        unigram = (word + 1) / max(tokens + distinct, 1)
+        return np.log(given + PULL) - np.log(pair + PULL * unigram)
+
+
+def score(docs: DataFrame, targets: DataFrame, size: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) per row of ``docs(doc_id, text)``.
 
     ``targets(doc_id)`` lists the documents of the target model; losses are means over tokens in nats.
     """
-    scratch = Scratch(docs.sparkSession, "llm-cross-entropy")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "llm-cross-entropy")
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     words = None if size is None else vocabulary(table, size)
+    shared = None if words is None else spark.sparkContext.broadcast(words)
+    volume = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # as many buckets as other shuffles have partitions at least, so that the table is not shuffled again
+    parts = max(1, -(-volume // chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # written down because chunk numbers must not move between two reads
+    table = scratch.save_bucketed(chunked(table, chunk_bytes), "chunk", parts)
     marks = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     # the marks grow with the labels, so they are joined by a shuffle at every size
-    marks = marks.withColumn("mark", F.lit(True)).hint("merge")
-    marked = table.join(marks, "doc_id", "left").select("doc_id", F.coalesce("mark", F.lit(False)).alias("target"), "text")
-    # written down because chunk numbers must not move between two reads
-    table = scratch.save(chunked(marked))
-    whole = Window.partitionBy("key")
-    totals = scratch.save(
-        asked_counts(table, words).select(
-            "chunk", "key", F.col("background").alias("own"),
-            F.sum("target").over(whole).alias("target"), F.sum("background").over(whole).alias("background"),
-        )
-        # a chunk knows the counts of what occurs nowhere else
-        .where((F.col("background") > F.col("own")) | (F.col("key").bitwiseAND(3) == WORD)).drop("own")
-    )
-    single = totals.where(F.col("key").bitwiseAND(3) == WORD).groupBy("key").agg(
-        F.max("target").alias("target"), F.max("background").alias("background")
+    ids = table.select(F.col("chunk").alias("of"), F.col("doc_id").alias("id"))
+    marked = ids.join(marks.toDF("id").hint("merge"), "id").select(F.col("of").alias("chunk"), "id").distinct()
+
+    def count(texts: pa.Table, marked: pa.Table) -> pa.Table:
+        mine = Counted([t or b"" for t in texts.column("text").to_pylist()], shared and shared.value)
+        is_mark = pa.compute.is_in(texts.column("doc_id"), marked.column("id")).to_numpy()
+        counts = mine.counts(is_mark)
+        filled = np.diff(mine.bounds) > 0
+        # keys use the 62 bits above the kind, so these bounds are even
+        cuts = np.searchsorted(mine.values, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64))
+        rows = []
+        for i, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(mine.values)])):
+            if a < b or not i:
+                word = mine.is_word[a:b]
+                sent = [c[a:b] if n % 2 == 0 else c[a:b][word] for n, c in enumerate(counts)]
+                steps = np.diff(mine.values[a:b], prepend=np.uint64(0))
+                own = [0, 0] if i else [int((filled & is_mark).sum()), int(filled.sum())]
+                rows.append([texts.column("chunk")[0].as_py(), i, planes(steps), *map(planes, sent), *own])
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), COUNTS)], schema=COUNTS)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["part"]):
+            own = [np.cumsum(unplanes(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
+            values, at = np.unique(np.concatenate(own), return_inverse=True)
+            cuts = np.cumsum([len(k) for k in own])[:-1]
+            word = (values & np.uint64(3)) == WORD
+            sums, back = [], []
+            for name in NUMBERS:
+                of = at if name in ("target", "background") else at[word[at]]
+                each = np.concatenate([unplanes(c) for c in group.column(name).to_pylist()])
+                # sums of doubles are exact up to 2 ** 53
+                whole = np.bincount(of, weights=each, minlength=len(values)).astype(np.int64)
+                sums.append(int(whole[word].sum()))
+                back.append([planes(c if of is at else c[word[i]]) for c, i in zip(np.split(whole[at], cuts), np.split(at, cuts))])
+            sums = [sums[0], sums[2], int(word.sum())]
+            sums += [int(pa.compute.sum(group.column(n)).as_py()) for n in ("targets", "texts")]
+            yield pa.RecordBatch.from_arrays(
+                [group.column("chunk").combine_chunks(), group.column("part").combine_chunks(),
+                 *(pa.array(b, pa.binary()) for b in back),
+                 pa.array([sums] + [None] * (group.num_rows - 1), pa.list_(pa.int64()))],
+                ["chunk", "part", *NUMBERS, "sums"])
+
+    ship(spark)
+    numbers = ", ".join(f"{n} binary" for n in NUMBERS)
+    counts = table.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(
+        count, f"chunk long, part int, keys binary, {numbers}, targets long, texts long"
     )
-    sums = single.agg(F.sum("target").alias("target"), F.sum("background").alias("background"), F.count("*").alias("n")).first()
-    all_tokens = [sums.target or 0, sums.background or 0]
-    distinct = sums.n if size is None else size - 1
-    shared = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
+    dealt = counts.repartition(parts, "part").sortWithinPartitions("part")
+    answers = scratch.save(map_batches(dealt, total, f"chunk long, part int, {numbers}, sums array<long>"))
+    sums = answers.where("sums IS NOT NULL").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(5)]).first()
+    in_target, in_all, distinct, targets_, texts_ = (x or 0 for x in sums)
+    if size is not None:
+        distinct = size - 1
 
     def losses(texts: pa.Table, known: pa.Table) -> pa.Table:
-        marks = texts.column("target").to_numpy()
-        values, at, own, bounds = counted(marks, [t or b"" for t in texts.column("text").to_pylist()], shared and shared.value)
-        n = np.diff(bounds)
+        mine = Counted([t or b"" for t in texts.column("text").to_pylist()], shared and shared.value)
+        n = np.diff(mine.bounds)
         owner = np.repeat(np.arange(texts.num_rows), n)
-        place = np.searchsorted(values, known.column("key").to_numpy().view(np.uint64))
+        known = known.sort_by("part")
         sums = []
-        for i, name in enumerate(("target", "background")):
-            own[i][place] = known.column(name).to_numpy()
-            word, given, pair = own[i].astype(np.float64)[at].reshape(3, -1)
-            unigram = (word + 1) / max(all_tokens[i] + distinct, 1)
-            loss = np.log(given + PULL) - np.log(pair + PULL * unigram)
+        for name, tokens_, filled in (("target", in_target, targets_), ("background", in_all, texts_)):
+            whole = np.concatenate([unplanes(x) for x in known.column(name).to_pylist()])
+            ends = np.zeros(len(whole))
+            ends[mine.is_word] = np.concatenate([unplanes(x) for x in known.column(f"{name}_last").to_pylist()])
+            loss = mine.losses(whole, ends, tokens_, filled, distinct) if len(owner) else np.zeros(0)
             sums.append(np.bincount(owner, weights=loss, minlength=texts.num_rows))
         none = n == 0
         target, background, both = (pa.array(s / np.maximum(n, 1), mask=none) for s in (*sums, sums[0] - sums[1]))
@@ -207,7 +256,6 @@ def score(docs: DataFrame, targets: DataFrame, size: int | None = None) -> DataF
             "background_loss": background, "score": both,
         })
 
-    ship(docs.sparkSession)
-    return table.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
+    return table.groupBy("chunk").cogroup(answers.drop("sums").groupBy("chunk")).applyInArrow(
         losses, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     )
