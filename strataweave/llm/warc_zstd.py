@@ -19,6 +19,7 @@ is never revisited by a row with an id. Rows that repeat the largest id of a pay
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import urllib.parse
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 200, 4 << 20
 LEVEL = 3
 FRAME_BYTES = 1 << 16
 SKIPPABLE = 0x184D2A5D
+MOST_DICTIONARY = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 COLUMNS = (
@@ -51,7 +53,7 @@ COLUMNS = (
 def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """(id, url, payload, digest, bytes, refers_to): refers_to is null for responses.
 
-    ``pages(id, url, payload)`` has binary payloads. The payload is not shuffled.
+    ``pages(id, url, payload)`` has binary payloads, which are shuffled once by digest to meet the owner.
     """
     rows = pages.select("id", "url", F.coalesce("payload", F.lit(b"")).alias("payload")).select(
         "*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes")
@@ -165,21 +167,38 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     return map_batches(planned, run, "archive string, records long")
 
 
+def load_dictionary(data: memoryview, length: int) -> zstandard.ZstdCompressionDict:
+    """The dictionary in the payload of a skippable frame, which may be compressed itself."""
+    raw = bytes(data)
+    if len(raw) < length:
+        raise ValueError("frame is cut short")
+    if raw[:4] == zstandard.FRAME_HEADER:
+        size = zstandard.get_frame_parameters(raw).content_size
+        if size != zstandard.CONTENTSIZE_UNKNOWN and size > MOST_DICTIONARY:
+            raise ValueError("larger than a dictionary may be")
+        raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=MOST_DICTIONARY)
+    return zstandard.ZstdCompressionDict(raw)
+
+
+def number(text: str | bytes) -> int | None:
+    """A length of a header: ASCII digits that fit into a long, or None."""
+    text = text if isinstance(text, str) else text.decode("latin-1")
+    return int(text) if re.fullmatch("[0-9]{1,18}", text) else None
+
+
 def frames(data: memoryview) -> Iterator[tuple[int, bytes | None, str | None]]:
     """(offset, content, error) of the frames after the dictionary; stops at a frame that is broken."""
     data = data.cast("B")  # Arrow buffers are signed
     at, dictionary = 0, None
-    if len(data) >= 8:
-        magic, length = struct.unpack_from("<II", data, 0)
-        if magic == SKIPPABLE:
-            raw = bytes(data[8 : 8 + length])
-            if len(raw) < length:
-                yield 0, None, "dictionary frame is cut short"
-                return
-            if raw[:4] == zstandard.FRAME_HEADER:
-                raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 30)
-            dictionary, at = zstandard.ZstdCompressionDict(raw), 8 + length
-    decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+    try:
+        if len(data) >= 8:
+            magic, length = struct.unpack_from("<II", data, 0)
+            if magic == SKIPPABLE:
+                dictionary, at = load_dictionary(data[8 : 8 + length], length), 8 + length
+        decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+    except (zstandard.ZstdError, ValueError) as error:
+        yield 0, None, f"dictionary {error}"
+        return
     while at < len(data):
         begin, out = at, []
         try:
@@ -187,6 +206,8 @@ def frames(data: memoryview) -> Iterator[tuple[int, bytes | None, str | None]]:
                 magic, length = struct.unpack_from("<II", data, at)
                 if magic & 0xFFFFFFF0 != 0x184D2A50:
                     raise zstandard.ZstdError("not a frame")
+                if at + 8 + length > len(data):
+                    raise zstandard.ZstdError("skippable frame is cut short")
                 at += 8 + length  # other skippable frames are passed over
                 continue
             frame = decoder.decompressobj()
@@ -225,12 +246,12 @@ def parse_record(content: bytes) -> dict:
         "payload_digest": fields.get("warc-payload-digest"),
     }
     missing = [n for n in ("warc-type", "warc-record-id", "warc-date", "content-length") if not fields.get(n)]
-    length = fields.get("content-length", "")
+    length = number(fields.get("content-length", ""))
     if not blank or not lines[0].startswith("WARC/1."):
         out["error"] = "no WARC header"
     elif missing:
         out["error"] = f"missing {', '.join(missing)}"
-    elif not length.isdigit() or len(rest) != int(length) + 4 or not rest.endswith(b"\r\n\r\n"):
+    elif length is None or len(rest) != length + 4 or not rest.endswith(b"\r\n\r\n"):
         out["error"] = "length differs"
     if out["error"]:
         return out
@@ -238,10 +259,10 @@ def parse_record(content: bytes) -> dict:
     out["content_length"] = len(block)
     http, blank, payload = block.partition(b"\r\n\r\n")
     told = [h.split(b":", 1)[1].strip() for h in http.split(b"\r\n")[1:] if h.lower().startswith(b"content-length:")]
-    if not blank or len(told) != 1 or not told[0].isdigit():
+    if not blank or len(told) != 1 or number(told[0]) is None:
         out["error"] = "no HTTP length"
         return out
-    out["payload_bytes"] = int(told[0])
+    out["payload_bytes"] = number(told[0])
     if out["record_type"] == "revisit":
         if payload or not out["refers_id"]:
             out["error"] = "revisit with payload or without target"
@@ -290,13 +311,13 @@ def round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     write_archives(pages, folder, least).write.format("noop").mode("overwrite").save()
-    number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-row:(-?\d+)>$", 1), F.lit("")).cast("long")
+    row = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-row:(-?\d+)>$", 1), F.lit("")).cast("long")
     return read_archives(spark, folder).select(
-        number("record_id").alias("id"),
+        row("record_id").alias("id"),
         "record_type",
         F.regexp_extract("payload_digest", "^sha1:([0-9a-f]{40})$", 1).alias("payload_digest"),
         "payload_bytes",
-        number("refers_id").alias("refers_to"),
+        row("refers_id").alias("refers_to"),
         "target_uri",
         "payload",
         "error",
