@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.llm.positions import unused
 from strataweave.scratch import Scratch
 
 BLOCK_CHARS = 2048
@@ -33,13 +34,21 @@ def _named(distinct: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _blocks(text: Column, size: int) -> Column:
-    """The text's blocks in order; an empty text has one empty block."""
-    count = F.greatest(F.ceil(F.length(text) / F.lit(size)), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    """The text's blocks in order, cut in one pass; an empty text has one empty block.
+
+    A text that is not valid UTF-8 is cut as hexadecimal digits behind an empty block, which no other text starts with.
+    """
+    def cut(whole: Column) -> Column:
+        return F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    nothing = F.array(F.lit(""))
+    return F.when(text == "", nothing).when(F.is_valid_utf8(text), cut(text)).otherwise(
+        F.concat(nothing, cut(F.hex(text.cast("binary"))))
+    )
 
 
 def name_texts(docs: DataFrame, scratch: Scratch, size: int = BLOCK_CHARS) -> DataFrame:
-    """(row, doc_id, text_sha256, parts, name) for ``docs(doc_id, text)``: equal (parts, name), equal texts."""
+    """(row, doc_id, text_sha256, parts, name) for ``docs(row, doc_id, text)``: equal (parts, name), equal texts."""
     text = F.coalesce("text", F.lit(""))
     blocks = _blocks(text, size)
     contents = docs.select(F.explode(blocks).alias("block")).select(F.xxhash64("block").alias("hash"), "block")
@@ -47,7 +56,7 @@ def name_texts(docs: DataFrame, scratch: Scratch, size: int = BLOCK_CHARS) -> Da
 
     rows = scratch.save(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            "row",
             "doc_id",
             F.sha2(text.cast("binary"), 256).alias("text_sha256"),
             (blocks if tied else F.transform(blocks, lambda b: F.xxhash64(b))).alias("blocks"),
@@ -84,19 +93,25 @@ def name_texts(docs: DataFrame, scratch: Scratch, size: int = BLOCK_CHARS) -> Da
     return rows.drop("blocks").join(done, "row")
 
 
+def _grouped(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """``docs(row, doc_id, text)`` as (row, doc_id, keep, group_size, text_sha256); keep is (doc_id, row) of what stays."""
+    rows = scratch.save(name_texts(docs, scratch, size))
+    groups = scratch.save(
+        rows.groupBy("parts", "name").agg(
+            F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")
+        )
+    )
+    return rows.join(groups, ["parts", "name"]).select("row", "doc_id", "keep", "group_size", "text_sha256")
+
+
 def exact_groups(docs: DataFrame, size: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays.
     """
     scratch = Scratch(docs.sparkSession, "llm-names")
-    rows = scratch.save(name_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, size))
-    groups = scratch.save(
-        rows.groupBy("parts", "name").agg(
-            F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")
-        )
-    )
-    return rows.join(groups, ["parts", "name"]).select(
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _grouped(numbered, scratch, size).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
@@ -106,17 +121,13 @@ def exact_groups(docs: DataFrame, size: int = BLOCK_CHARS) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, size: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with all its columns, one row of each group of equal texts."""
+    """``docs`` with all its columns, of equal texts the row with the largest doc_id (of those the last one written)."""
     scratch = Scratch(docs.sparkSession, "llm-copies")
-    gone = scratch.save(
-        exact_groups(docs, size).where("NOT kept").select(
-            F.col("doc_id").alias("_id"), F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha")
-        )
-    )
-    marked = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    others = gone.where("NOT _id <=> _keep").select("_id", "_sha").distinct().withColumnRenamed("_sha", "_their")
+    number = unused("row", docs.columns)
+    # written down because row numbers must not move between two reads
+    rows = scratch.save(docs.withColumn(number, F.monotonically_increasing_id()))
+    named = rows.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    copies = _grouped(named, scratch, size).where(F.col("row") != F.col("keep.row"))
     # the copies grow with the documents, so they are joined by a shuffle at every size
-    left = marked.join(others.hint("merge"), (F.col("_sha") == F.col("_their")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    if not gone.where("_id <=> _keep").isEmpty():  # rows that repeat id and text
-        left = left.dropDuplicates(["doc_id", "_sha"])
-    return left.drop("_sha")
+    gone = scratch.save(copies.select(F.col("row").alias(number))).hint("merge")
+    return rows.join(gone, number, "left_anti").select(*docs.columns)

@@ -6,13 +6,21 @@ order of (id, text digest), rows without an id each their own; rows with the sam
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import chain, count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.scratch import Scratch
 from strataweave.skew import number_rows
 
-_KEY = ["_none", "_known", "_tag", "_digest"]
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, or the first of name_1, name_2, .. that is no column yet, capitals aside: for helper columns."""
+    taken = {c.lower() for c in columns}
+    tries = chain([name], (f"{name}_{i}" for i in count(1)))
+    return next(n for n in tries if n.lower() not in taken)
 
 
 def ids_are_unique(docs: DataFrame) -> bool:
@@ -20,16 +28,19 @@ def ids_are_unique(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
 
 
-def positioned(docs: DataFrame, scratch: Scratch, nulls_first: bool) -> DataFrame:
-    """``docs`` with a column ``position``, written down."""
+def positioned(docs: DataFrame, scratch: Scratch, nulls_first: bool, name: str = "position") -> DataFrame:
+    """``docs`` with a column ``name`` that it does not have yet, written down."""
     none = F.col("doc_id").isNull()
+    key: list[str] = []
+    for helper in ("none", "known", "tag", "digest"):
+        key.append(unused(f"_{helper}", [*docs.columns, *key, name]))
     rows = scratch.save(
-        docs.withColumns({
-            "_none": none != F.lit(nulls_first),
-            "_known": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-            "_tag": F.when(none, F.monotonically_increasing_id()).otherwise(-1),
-            "_digest": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256),
-        })
+        docs.withColumns(dict(zip(key, [
+            none != F.lit(nulls_first),
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+            F.when(none, F.monotonically_increasing_id()).otherwise(-1),
+            F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256),
+        ])))
     )
-    places = scratch.save(number_rows(rows.select(*_KEY).distinct(), _KEY))
-    return scratch.save(rows.join(places, _KEY).select(*docs.columns, "position"), replaces=rows)
+    places = scratch.save(number_rows(rows.select(*key).distinct(), key, name))
+    return scratch.save(rows.join(places, key).select(*docs.columns, name), replaces=rows)
