@@ -5,8 +5,8 @@ the word itself (lexicon), its first and last one to three bytes (affixes) and i
 word borders (n-grams), hashed into one table of weights per language. Transition weights between the
 languages of neighbouring words are learned. Labels come from forward-backward over the whole text.
 
-Training reads at most ``rows`` labelled rows of each language and ``cut`` characters of each (documented
-bounds). Stretches of rows of different languages are chained, so that switches are seen in training.
+Training reads at most ``rows`` labelled rows of each language, whole texts of at most ``longest`` characters
+(documented bounds). Stretches of rows of different languages are chained, so that switches are seen in training.
 Prediction reads every whole text: forward-backward runs over chunks of words side by side; the chunks'
 transfer matrices are chained first, which gives the same result as one pass over the whole text.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from strataweave.llm.textops import Words, map_batches, mix, pieces
 
-ROWS = 300
-CUT = 3000
+ROWS = 200
+LONGEST = 50_000  # characters of a training text; longer ones are not learned from, all are labelled
 TABLE_BITS = 18
 CHUNK = 128
 MOST_LANGUAGES = 1000
@@ -167,32 +167,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = ROWS, cut: int = CUT) -> DataFrame:
-    """(lang, text) of at most ``rows`` rows per language, ``cut`` characters from a hashed place of each.
+def sample(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> DataFrame:
+    """(lang, text, h) of at most ``rows`` whole texts per language, each of ``longest`` characters at most.
 
-    Rows are those with the smallest id hash that are not held out and have a language and a text.
+    Texts are those with the smallest hashes of id and text that are not held out and have a language.
+    Rows that repeat id, language and text count once.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    usable = usable.where(F.length("text") <= longest)
+    hashes = [F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")]
     counts = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
-        return usable.select("lang", "text", F.xxhash64("doc_id").alias("h"))
+        return usable.select("lang", "text", hashes[0])
     # a hash threshold leaves a few times the wanted rows of each language, so the window stays small
     share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, (4.0 * rows + 100) / r["count"]))])
-    ids = (
-        usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        .where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-        .withColumn("n", F.row_number().over(first))
-        .where(F.col("n") <= rows)
-        .select("doc_id", "h")
-        .distinct()
+    kept = usable.select("doc_id", "lang", "text", *hashes).where(
+        F.pmod(F.xxhash64("h", "t"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    )
+    first = Window.partitionBy("lang").orderBy("h", "t")
+    chosen = kept.select("lang", "h", "t").distinct().withColumn("n", F.row_number().over(first))
+    # at most rows texts per language, repeated rows once
+    return (
+        kept.join(F.broadcast(chosen.where(F.col("n") <= rows)), ["lang", "h", "t"])
+        .dropDuplicates(["lang", "h", "t"])
+        .select("lang", "text", "h")
     )
-    room = F.greatest(F.length("text") - cut, F.lit(0)) + 1
-    begin = (F.pmod("h", room) + 1).cast("int")
-    # at most rows ids per language
-    return usable.join(F.broadcast(ids), "doc_id").select("lang", F.col("text").substr(begin, F.lit(cut)).alias("text"), "h")
 
 
 def fit(rows: list[tuple[str, str]], rounds: int = 25, seed: int = 7) -> Model:
@@ -326,7 +327,7 @@ def label_texts(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def identify(docs: DataFrame, rows: int = ROWS, cut: int = CUT) -> DataFrame:
-    """Train on the rows of ``docs`` that are not held out, label all rows."""
-    taken = sample(docs, rows, cut).orderBy("h", "lang").collect()  # bounded by rows * languages * cut
+def identify(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> DataFrame:
+    """Train on a sample of the rows of ``docs`` that are not held out, label all rows."""
+    taken = sample(docs, rows, longest).orderBy("h", "lang", "text").collect()  # at most rows * languages
     return label_texts(docs, fit([(r.lang, r.text) for r in taken]))
