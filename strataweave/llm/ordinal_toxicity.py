@@ -125,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FE
     picked = scratch.save(chosen[0].unionByName(chosen[1]).dropDuplicates(["row"]))  # at most 2 * rows
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
     # the sample is bounded by a parameter, so it is small for certain
-    train = texts.join(F.broadcast(picked), F.col("_id") == F.col("row")).select("row", "bad", "text")
+    train = texts.join(F.broadcast(picked), F.col("_id") == F.col("row"))
+    # rows that repeat an id are one text, so there are at most 2 * rows
+    train = train.groupBy("row", "bad").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     table = scratch.save(map_batches(train, _features, "row long, bad int, features array<long>"))
     counts = table.groupBy("bad").count().collect()
     n = {r.bad: r["count"] for r in counts}
