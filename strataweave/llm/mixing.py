@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.llm.positions import unused
 from strataweave.scratch import Scratch
 from strataweave.skew import number_rows
 
@@ -135,18 +136,22 @@ def mix(
     sizes = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     goals = scratch.save(targets(sizes, list(weights), share, most, scratch))
     found = thresholds(sized.drop("source"), goals, scratch)
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    helpers: dict[str, str] = {}
+    for name in ("key", "hash", "salt", "base", "cut"):
+        helpers[name] = unused(f"_{name}", [*docs.columns, *helpers.values()])
+    key_, hash_, salt_, base_, cut_ = helpers.values()
     # a source may hold a third of all rows: its documents are spread over the salts
     salted = scratch.save(
-        found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed(
-            {"key": "_key", "base": "_base", "cut": "_cut"}
+        found.withColumn(salt_, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed(
+            {"key": key_, "base": base_, "cut": cut_}
         )
     )
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     return (
         docs.select(*own)
-        .withColumns({"_key": key, "_hash": id_hash(F.col("doc_id")), "size": word_count(F.col("text"))})
-        .withColumn("_salt", F.pmod("_hash", F.lit(SALTS)).cast("int"))
-        .join(salted, ["_key", "_salt"])
-        .withColumn("taken", F.col("size") * (F.col("_base") + F.when(F.col("_hash") < F.col("_cut"), 1).otherwise(0)))
+        .withColumns({key_: key, hash_: id_hash(F.col("doc_id")), "size": word_count(F.col("text"))})
+        .withColumn(salt_, F.pmod(hash_, F.lit(SALTS)).cast("int"))
+        .join(salted, [key_, salt_])
+        .withColumn("taken", F.col("size") * (F.col(base_) + F.when(F.col(hash_) < F.col(cut_), 1).otherwise(0)))
         .select(*own, "size", "source_size", "target", "taken")
     )

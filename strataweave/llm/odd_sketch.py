@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.components import components
-from strataweave.llm.positions import ids_are_unique, positioned
+from strataweave.llm.positions import ids_are_unique, positioned, unused
 from strataweave.llm.textops import Words, groups, lists, map_batches, mix, pieces, sequence_hashes, sequence_sums, signed
 from strataweave.scratch import Scratch
 
@@ -288,14 +288,12 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     Rows that repeat a kept id and its text stay together: exact copies are another operator's work.
     """
     scratch = Scratch(docs.sparkSession, "llm-near-drop")
+    position = unused("position", docs.columns)
     if ids_are_unique(docs):
-        rows, number = docs, F.col("doc_id")
+        rows, number = docs, F.col("doc_id").cast("long")
     else:
-        renamed = docs.withColumnRenamed("position", "_position")
-        rows, number = positioned(renamed, scratch, nulls_first=False), F.col("position")
+        rows, number = positioned(docs, scratch, nulls_first=False, name=position), F.col(position)
     found = _near(rows.select(number.alias("doc_id"), "text"), n, percent, BLOCK, scratch)
-    gone = scratch.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    left = rows.join(gone, number == F.col("_gone"), "left_anti")
-    if rows is not docs:
-        left = left.drop("position").withColumnRenamed("_position", "position")
-    return left.select(*docs.columns)
+    other = unused("gone", [*docs.columns, position])
+    gone = scratch.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct())
+    return rows.join(gone, number == F.col(other), "left_anti").select(*docs.columns)

@@ -26,6 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.llm.positions import unused
 from strataweave.scratch import Scratch
 
 WINDOW = 5
@@ -144,9 +145,9 @@ def _slots(table: DataFrame, key: str, item: bool) -> DataFrame:
     )
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with a column ``row``, written down because row numbers must not move between two reads."""
-    return scratch.save(docs.withColumn("row", F.monotonically_increasing_id()))
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "row") -> DataFrame:
+    """``docs`` with row numbers in the column ``name``, written down because row numbers must not move between two reads."""
+    return scratch.save(docs.withColumn(name, F.monotonically_increasing_id()))
 
 
 def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -241,7 +242,7 @@ def judge(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHA
 def drop_leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``docs`` with all its columns, without the rows into which an item leaks."""
     scratch = Scratch(docs.sparkSession, "llm-clean")
-    rows = numbered(docs.withColumnRenamed("row", "_own_row") if "row" in docs.columns else docs, scratch)
-    gone = scratch.save(leaks(rows, items, n, share).select("row").distinct())
-    left = rows.join(gone, "row", "left_anti").drop("row")
-    return left.withColumnRenamed("_own_row", "row").select(*docs.columns)
+    row = unused("row", docs.columns)
+    rows = numbered(docs, scratch, row)
+    gone = leaks(rows.select(F.col(row).alias("row"), "text"), items, n, share).select(F.col("row").alias(row))
+    return rows.join(scratch.save(gone.distinct()), row, "left_anti").select(*docs.columns)

@@ -232,3 +232,42 @@ def test_remove_repeats_of_rows_without_an_id_or_with_repeated_ids(spark):
         ("None", 10, rows[0][1]), ("None", 10, "y1 y2 y3 y4"), ("None", 8, rows[2][1]), ("3", 6, ""), ("3", 6, ""), ("2", 7, rows[5][1]),
     ])
     assert {s.source_id for r in got for s in r.spans} == {None, 2}
+
+
+def test_long_text_is_cut_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string")
+    long = rows.withColumn("text", F.concat(F.repeat(F.lit("abcdefg "), 8 << 20), "text"))  # 64 MB each
+    got = {r.doc_id: (r.group_size, r.kept) for r in block_naming.exact_groups(long.unionByName(long.where("doc_id = 2").withColumn("doc_id", F.lit(3)))).collect()}
+    assert got == {1: (1, True), 2: (2, False), 3: (2, True)}
+
+
+def test_texts_that_are_not_utf8_stay_apart(spark):
+    rows = spark.createDataFrame([(1, b"a\xff"), (2, b"a\xfe"), (3, b"a\xff"), (4, b"61FF"), (5, b"")], "doc_id long, text binary")
+    got = block_naming.exact_groups(rows.withColumn("text", F.col("text").cast("string")), 2)
+    assert {r.doc_id: r.keep_id for r in got.collect()} == {1: 3, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
+HELPERS = ["row", "_sha", "_id", "_keep", "_their", "_tag", "_none", "_known", "_digest", "position", "gone", "_gone", "_salt",
+           "_key", "_hash", "_base", "_cut", "name", "parts", "keep", "part", "slab", "_own_row", "_position", "ROW", "_slice"]
+
+
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4], [1, None, 3, 3]])
+def test_helper_columns_never_touch_the_callers(spark, ids):
+    from strataweave.llm import mixing, template_leaks
+
+    texts = ["one two three four five six", "a b c d e f g h", "one two three four five six", "q r s t u v w x"]
+    columns = [c for c in HELPERS if c.lower() not in {x.lower() for x in HELPERS[: HELPERS.index(c)]}]
+    frame = spark.createDataFrame(list(zip(ids, texts, ["s"] * 4)), "doc_id long, text string, source string")
+    for number, c in enumerate(columns):
+        frame = frame.withColumn(c, F.concat(F.lit(f"{number}-"), "text"))
+    items = spark.createDataFrame([(1, "nothing of this kind is said in any text")], "item_id long, text string")
+    for run in (
+        block_naming.drop_exact_copies, odd_sketch.drop_near_copies, lambda d: template_leaks.drop_leaks(d, items), mixing.mix
+    ):
+        got = run(frame)
+        assert got.columns[: len(frame.columns)] == frame.columns
+        rows = got.collect()
+        assert rows
+        for r in rows:
+            for number, c in enumerate(columns):
+                assert r[c] == f"{number}-{r.text}", (run, c)

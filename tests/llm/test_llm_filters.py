@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import struct
 
 import pytest
@@ -196,6 +197,39 @@ def test_archives_with_dictionary_and_damage(spark):
     assert rows.count() == 800 and rows.where("error IS NOT NULL").count() == 1
 
 
+def test_archives_with_any_damage_are_told_not_raised():
+    records = [warc_zstd.make_record(i, f"http://a/{i}", b"x" * 50 + b"%d" % i, hashlib.sha1(b"x" * 50 + b"%d" % i).hexdigest(), None) for i in range(300)]
+    dictionary = warc_zstd.make_dictionary(records)
+    packed = zstandard.ZstdCompressor().compress(dictionary)
+    head = struct.pack("<II", warc_zstd.SKIPPABLE, len(packed))
+    torn = bytearray(packed)
+    torn[len(torn) // 2] ^= 0xFF
+    for broken in (bytes(torn), packed[:4] + b"\xff" * 12 + packed[16:], b"\x37\xa4\x30\xec" + b"\0" * 20):
+        got = list(warc_zstd.frames(memoryview(struct.pack("<II", warc_zstd.SKIPPABLE, len(broken)) + broken + b"abc")))
+        assert got and got[-1][2]
+    plain = zstandard.ZstdCompressor().compress(records[0])
+    skip = struct.pack("<II", 0x184D2A51, 40) + b"z" * 40
+    assert [e for _, _, e in warc_zstd.frames(memoryview(plain + skip + plain))] == [None, None]
+    assert list(warc_zstd.frames(memoryview(plain + skip[:30])))[-1][2] == "frame: skippable frame is cut short"
+    for wrong in ("²", "٣", "1" * 5000, "-5", "+5", "1_0", ""):
+        text = re.sub(rb"\r\nContent-Length: [0-9]+\r\n\r\nHTTP", f"\r\nContent-Length: {wrong}\r\n\r\nHTTP".encode(), records[0], count=1)
+        assert warc_zstd.parse_record(text)["error"] in ("length differs", "missing content-length")
+    length = len(re.search(rb"(?s)HTTP/1.1.*", records[0])[0]) - 4
+    for wrong in ("²".encode("latin-1"), b"9" * 5000):
+        http = re.sub(rb"Content-Length: [0-9]+", b"Content-Length: " + wrong, re.search(rb"(?s)HTTP/1.1.*", records[0])[0], count=1)
+        head_ = records[0].split(b"HTTP/1.1")[0].replace(b"Content-Length: %d" % length, b"Content-Length: %d" % (len(http) - 4))
+        assert warc_zstd.parse_record(head_ + http)["error"] == "no HTTP length"
+    random = __import__("random").Random(1)
+    whole = head + packed + b"".join(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).compress(r) for r in records[:5])
+    for _ in range(300):  # any bytes may be wrong
+        data = bytearray(whole)
+        for _ in range(random.randrange(1, 4)):
+            data[random.randrange(len(data))] = random.randrange(256)
+        for _, record, error in warc_zstd.frames(memoryview(bytes(data))):
+            if error is None:
+                warc_zstd.parse_record(record)
+
+
 def mixed(spark, rows, **options):
     frame = spark.createDataFrame([(i, t, "en", s, 0) for i, s, t in rows], DOCS).withColumn("taken", F.lit("old"))
     return mixing.mix(frame, **options)

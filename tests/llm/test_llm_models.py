@@ -163,7 +163,8 @@ def test_cross_entropy_against_brute_force(spark):
     rows = [(i, t) for i, t in enumerate(base)] + [(9, None), (10, ""), (11, "a " * 50000)]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("mark", F.lit(1)).repartition(3)
     targets = spark.createDataFrame([(0,), (2,), (2,), (None,), (77,)], "doc_id long")
-    got = {r.doc_id: r for r in cross_entropy.score(docs, targets, size=6).collect()}
+    small = cross_entropy.score(docs, targets, size=6, chunk_bytes=12)  # one or two texts a chunk
+    got = {r.doc_id: r for r in small.collect()}
     want = brute_scores(rows, {0, 2}, 6)
     assert got.keys() == want.keys()
     for i, (n, target, background) in want.items():
@@ -192,3 +193,24 @@ def test_cross_entropy_counts_every_word(spark):
         assert got[i].target_loss == pytest.approx(target, rel=1e-9)
         assert got[i].background_loss == pytest.approx(background, rel=1e-9)
     assert max(got[i].score for i, _ in rows if i % 2) < min(got[i].score for i, _ in rows if not i % 2)
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """Ten thousand rows under one id do not reach the driver."""
+    rows = spark.range(10_000).selectExpr(
+        "1L AS doc_id", "concat('word', id, ' and more') AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    docs = rows.unionByName(rows.selectExpr("2L AS doc_id", "concat('idiot ', text) AS text", "'de' AS lang", "source", "n_chars"))
+    same = docs.unionByName(docs.where("text = 'word7 and more'").crossJoin(spark.range(500).select()))
+    taken = crf_language.sample(same, rows=5)
+    assert taken.count() == 10 and {r.lang for r in taken.collect()} == {"en", "de"}
+    long = spark.createDataFrame([(5, "w " * 40_000, "fr", "s", 0), (6, "le chat", "fr", "s", 0)], DOCS)
+    assert [r.text for r in crf_language.sample(long, rows=5).collect()] == ["le chat"]
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    seen = []
+    real = ordinal_toxicity._sparse_fit
+    try:
+        ordinal_toxicity._sparse_fit = lambda rows, columns, grades, *more: seen.append(len(grades)) or real(rows, columns, grades, *more)
+        ordinal_toxicity.fit(same, labels, rows=5)
+    finally:
+        ordinal_toxicity._sparse_fit = real
+    assert all(n <= 10 for n in seen)
