@@ -87,14 +87,18 @@ def vocabulary(texts: DataFrame, size: int) -> np.ndarray:
 
 def tokens(texts: list[bytes], words: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the previous token, hash of the token) of every word, and the texts' bounds."""
-    found = Words(texts, lower=True)
-    hashes = found.hashes()
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, _, part in pieces(texts):  # bounds the memory that hashing takes
+        found = Words(part, lower=True)
+        parts.append(found.hashes())
+        counts.append(np.diff(found.bounds))
+    hashes, bounds = np.concatenate(parts), np.cumsum(np.concatenate(counts))
     if words is not None:
         hashes = np.where(np.isin(hashes, words), hashes, OTHER)
     before = np.full_like(hashes, START)
     before[1:] = hashes[:-1]
-    before[found.bounds[:-1][found.bounds[:-1] < len(hashes)]] = START
-    return before, hashes, found.bounds
+    before[bounds[:-1][bounds[:-1] < len(hashes)]] = START
+    return before, hashes, bounds
 
 
 def keys(kind: int, hashes: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:

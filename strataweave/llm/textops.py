@@ -61,11 +61,11 @@ def _between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return (sums[ends] - sums[starts]) * _power(inverse, len(sums))[starts]
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+def pieces(column: pa.Array | list[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, last row + 1, texts) of consecutive rows, about ``limit`` bytes each; null is empty."""
     texts, size, first = [], 0, 0
     for row, value in enumerate(column):
-        text = value.as_py() or b""
+        text = value if isinstance(value, bytes) else value.as_py() or b""
         if texts and size + len(text) > limit:
             yield first, row, texts
             texts, size, first = [], 0, row
