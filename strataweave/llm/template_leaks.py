@@ -5,7 +5,8 @@ other words their lower-case form without punctuation at the ends. Windows of fi
 joined with the windows of all benchmark items. An item leaks into a document if at least 80 % of its distinct
 windows are found there, counting only alignments (document position minus item position) in which every slot
 value of the item is replaced by one and the same value throughout: so a question that was re-parameterised is
-found, and a table full of unrelated numbers is not.
+found, and a table full of unrelated numbers is not. Several alignments, as left by words that were put in or left
+out, count together if they replace each value by the same one, that with most windows; each also counts alone.
 
 A word that starts a sentence or an item may be a name or not, and so may a capitalised one that starts a document's
 sentence: windows are indexed under both readings. A window that needs ``<name>`` for such a word counts only if all
@@ -21,8 +22,6 @@ once. ``judge`` gives rows that repeat an id, other than null, the items of all
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +44,16 @@ UNITS = [
 
 def words(text: Column) -> Column:
     """Runs of characters other than space, tab, LF, VT, FF and CR."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 
 
 def tokenized(table: DataFrame, key: str) -> DataFrame:
-    """(key, words, low): the words of ``table(key, text)`` as they are and in lower case, one to one."""
-    return table.select(key, words(F.col("text")).alias("words"), words(F.lower("text")).alias("low"))
+    """(key, words): the words of ``table(key, text)`` as they are."""
+    return table.select(key, words(F.col("text")).alias("words"))
 
 
 def _plain() -> Column:
-    return F.transform("low", lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    return F.transform("words", lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)))
 
 
 def _number(plain: Column) -> Column:
@@ -64,7 +63,8 @@ def _number(plain: Column) -> Column:
 
 
 def _capital(at: Column) -> Column:
-    return F.ascii(F.get(F.col("words"), at)) != F.ascii(F.get(F.col("low"), at))
+    word = F.get(F.col("words"), at)
+    return F.ascii(word) != F.ascii(F.lower(word))
 
 
 def _starts(at: Column) -> Column:
@@ -72,18 +72,16 @@ def _starts(at: Column) -> Column:
     return (at == 0) | F.substring(F.get(F.col("words"), at - 1), -1, 1).isin(".", "!", "?", ":")
 
 
-def template(token: Callable[[Column], Column] = lambda t: t) -> Column:
-    """The template tokens of columns ``words`` and ``low``, each passed through ``token``."""
+def _token(plain: Column, at: Column, number: Column, name: Column, unit: Column, other: Column, doubt) -> Column:
+    """The template token of a word; ``doubt`` gets tokens of words that may be names besides."""
+    rest = F.when(plain.isin(UNITS), unit).otherwise(other)
+    return F.when(_number(plain), number).when(_starts(at), doubt(rest)).when(_capital(at), name).otherwise(rest)
 
-    def canonical(plain: Column, at: Column) -> Column:
-        return (
-            F.when(_number(plain), F.lit("<num>"))
-            .when(_capital(at) & ~_starts(at), F.lit("<name>"))
-            .when(plain.isin(UNITS), F.lit("<unit>"))
-            .otherwise(plain)
-        )
 
-    return F.transform(_plain(), lambda p, at: token(canonical(p, at)))
+def template() -> Column:
+    """The template tokens of the column ``words``."""
+    slots = [F.lit(x) for x in ("<num>", "<name>", "<unit>")]
+    return F.transform(_plain(), lambda p, at: _token(p, at, *slots, p, lambda rest: rest))
 
 
 def doubts(item: bool) -> Column:
@@ -91,57 +89,77 @@ def doubts(item: bool) -> Column:
     return F.transform(_plain(), lambda p, at: _starts(at) & (F.lit(item) | _capital(at)) & ~_number(p))
 
 
+def _even(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(-2))
+
+
+def codes(item: bool) -> Column:
+    """An even hash of each template token, plus one if the word is doubtful."""
+    slots = [_even(F.lit(x)) for x in ("<num>", "<name>", "<unit>")]
+
+    def code(p: Column, at: Column) -> Column:
+        extra = F.lit(1) if item else _capital(at).cast("int")
+        return _token(p, at, *slots, _even(p), lambda rest: rest + extra)
+
+    return F.transform(_plain(), code)
+
+
+def _readings(length: int) -> list[list[int]]:
+    """For each set of doubtful words among ``length`` (as bits): all its subsets, with the length above them."""
+    return [[length << 8 | m for m in range(own + 1) if m & own == m] for own in range(1 << length)]
+
+
 def _windows(table: DataFrame, key: str, n: int, lengths: list[int], item: bool) -> DataFrame:
-    """(key, at, window, length, mask) for ``table(key, words, low)``: hashes of the runs of template tokens.
+    """(key, at, window, length, mask) for ``table(key, words)``: hashes of the runs of template tokens.
 
     The bits of ``mask`` are the doubtful words that are read as names.
     """
     short = any(length < n for length in lengths)
-    arrays = {"h": template(F.xxhash64), "d": doubts(item)}
+    arrays = {"h": codes(item)}
     if short:
         arrays["p"] = F.transform(_plain(), lambda w: F.xxhash64(w))
     rows = table.select(key, *[c.alias(a) for a, c in arrays.items()])
     # no words give no rows here; a filter on their number would be pushed below and split the text per word
-    shifted = [F.slice(a, i + 1, F.size("h")).alias(f"{a}{i}") for a in arrays for i in range(n)]
-    full = rows.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("at", "col"))
-    bits = sum((F.when(F.col(f"col.d{i}"), 1 << i).otherwise(0) for i in range(n)), F.lit(0))
-    full = full.select(key, "at", "col", bits.alias("bits"))
-
-    def readings(length: int) -> Column:
-        def reading(mask: Column) -> Column:
-            return F.struct(F.lit(length).alias("length"), mask.cast("int").alias("mask"))
-
-        own = F.col("bits").bitwiseAND((1 << length) - 1)
-        some = F.filter(F.sequence(F.lit(0), F.lit((1 << length) - 1)), lambda m: m.bitwiseAND(own) == m)
-        every = F.when(own == 0, F.array(reading(F.lit(0)))).otherwise(F.transform(some, reading))
-        return F.when(F.col(f"col.h{length - 1}").isNotNull(), every).otherwise(F.array().cast(
-            "array<struct<length:int,mask:int>>"))
-
-    read = full.select(key, "at", "col", F.explode(F.concat(*[readings(x) for x in lengths])).alias("r"))
-    name = F.xxhash64(F.lit("<name>"))
-    cells = [
-        F.when(F.col("r.length") > i, F.when(F.col("r.mask").bitwiseAND(1 << i) != 0, name).otherwise(F.col(f"col.h{i}")))
-        for i in range(n)
+    full = rows.select(key, *arrays, F.posexplode("h").alias("at", "first"))
+
+    def later(array: str, i: int) -> Column:
+        return F.get(F.col(array), F.col("at") + i)
+
+    bits = F.lit(0)
+    for i in range(n):
+        bits = bits.bitwiseOR(F.coalesce(later("h", i).bitwiseAND(F.lit(1)), F.lit(0)).cast("int") * (1 << i))
+    left = F.size("h") - F.col("at")
+    every = [
+        F.when(left >= x, F.get(F.lit(_readings(x)), F.col("bits").bitwiseAND((1 << x) - 1))).otherwise(F.array().cast("array<int>"))
+        for x in lengths
     ]
-    window = F.xxhash64("r.length", *cells)
+    full = full.select(key, *arrays, "at", left.alias("left"), bits.alias("bits"))
+    read = full.select(key, *arrays, "at", F.explode(F.concat(*every) if len(every) > 1 else every[0]).alias("r"))
+    length, mask = F.shiftright("r", 8), F.col("r").bitwiseAND(255)
+    name = _even(F.lit("<name>"))
+    cells = []
+    for i in range(n):
+        token = F.when(mask.bitwiseAND(1 << i) != 0, name).otherwise(later("h", i).bitwiseAND(F.lit(-2)))
+        cells.append(F.when(length > i, token) if short else token)
+    window = F.xxhash64(length, *cells)
     if short:
-        slots = [F.xxhash64(F.lit(x)) for x in ("<num>", "<name>", "<unit>")]
-        bare = F.col("r.length") < n
+        slots = [_even(F.lit(x)) for x in ("<num>", "<name>", "<unit>")]
+        bare = length < n
         for cell in cells:
             bare = bare & (cell.isNull() | cell.isin(*slots))
-        verbatim = [F.when(F.col("r.length") > i, F.col(f"col.p{i}")) for i in range(n)]
+        verbatim = [F.when(length > i, later("p", i)) for i in range(n)]
         window = F.when(bare, F.xxhash64(F.lit("verbatim"), *verbatim)).otherwise(window)
-    return read.select(key, "at", window.alias("window"), "r.length", "r.mask")
+    return read.select(key, "at", window.alias("window"), length.alias("length"), mask.alias("mask"))
 
 
 def _slots(table: DataFrame, key: str, item: bool) -> DataFrame:
     """(key, at, value, sure) of the words that became placeholders, and of those that are doubtful (not sure)."""
-    both = F.arrays_zip(F.col("low").alias("word"), template().alias("token"), doubts(item).alias("doubt"))
+    both = F.arrays_zip(_plain().alias("word"), template().alias("token"), doubts(item).alias("doubt"))
     sure = F.col("w.token").isin("<num>", "<name>", "<unit>")
     return (
         table.select(key, F.posexplode(both).alias("at", "w"))
         .where(sure | F.col("w.doubt"))
-        .select(key, "at", F.btrim("w.word", F.lit(PUNCTUATION)).alias("value"), sure.alias("sure"))
+        .select(key, "at", F.col("w.word").alias("value"), sure.alias("sure"))
     )
 
 
@@ -209,10 +227,24 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHA
         aligned.where("NOT strong").select(*place, inside).join(contrary, [*alignment, "slot"], "left_semi").select(*place).distinct()
         .withColumn("strong", F.lit(False))
     )
+    whole = scratch.save(aligned.join(broken, alignment, "left_anti").join(dropped, [*place, "strong"], "left_anti"))
+    # alignments count together if they agree: those with the best supported replacement of each value
+    rank = whole.groupBy(*alignment, "windows").agg(F.countDistinct("plain").alias("found"))
+    rank = scratch.save(rank.withColumn("rank", F.struct("found", -F.col("shift"))))
+    values = scratch.save(pairs.where("sure").select(*alignment, "asked", "value").distinct())
+    support = values.join(whole.select(*alignment, "plain").distinct(), alignment).join(rank, alignment)
+    support = support.groupBy("row", "item_id", "asked", "value").agg(
+        F.struct(F.countDistinct("plain"), F.max("rank")).alias("support")
+    )
+    ruling = support.groupBy("row", "item_id", "asked").agg(F.max_by("value", "support").alias("ruling"))
+    other = values.join(ruling, ["row", "item_id", "asked"]).where("value <> ruling").select(*alignment).distinct()
+    together = whole.join(other, alignment, "left_anti").groupBy("row", "item_id", "windows").agg(
+        F.countDistinct("plain").alias("found")
+    )
     return (
-        aligned.join(broken, alignment, "left_anti").join(dropped, [*place, "strong"], "left_anti")
+        together.unionByName(rank.select("row", "item_id", "windows", "found"))
         .groupBy("row", "item_id", "windows")
-        .agg(F.countDistinct("plain").alias("found"))
+        .agg(F.max("found").alias("found"))
         .where(F.col("found") >= share * F.col("windows"))
         .select("row", "item_id", "found", "windows")
     )

@@ -41,6 +41,51 @@ def test_leaks_with_other_numbers_and_names(spark):
     assert 1 not in found[3] and 4 in found[8]  # numbers replaced one to one
 
 
+def plain_leaks(text, item, n=5, share=0.8):
+    """Whether an item with numbers only leaks: agreeing alignments found by trying all subsets of them."""
+    import itertools
+
+    def token(w):
+        return "<num>" if w[0].isdigit() else w
+
+    a, b = text.split(), item.split()
+    windows = {tuple(map(token, b[i : i + n])) for i in range(len(b) - n + 1)}
+    shifts = {}
+    for i in range(len(a) - n + 1):
+        for j in range(len(b) - n + 1):
+            if list(map(token, a[i : i + n])) == list(map(token, b[j : j + n])):
+                pairs = {(b[j + x], a[i + x]) for x in range(n) if token(b[j + x]) == "<num>"}
+                found = shifts.setdefault(i - j, (set(), set()))
+                found[0].add(tuple(map(token, b[j : j + n])))
+                found[1].update(pairs)
+    good = [f for f in shifts.values() if len({x for x, _ in f[1]}) == len(f[1])]
+    best = 0
+    for k in range(1, min(len(good), 4) + 1):
+        for some in itertools.combinations(good, k):
+            pairs = set().union(*(p for _, p in some))
+            if len({x for x, _ in pairs}) == len(pairs):
+                best = max(best, len(set().union(*(w for w, _ in some))))
+    return best >= share * len(windows)
+
+
+def test_alignments_of_a_leak_must_agree(spark):
+    head = "the train leaves town at 60 and runs for 3 full hours along the river until"
+    tail = "it has passed 60 bridges and 3 long tunnels before the last station comes up"
+    item = f"{head} {tail}"
+    new = lambda text, a, b: " ".join({"60": a, "3": b}.get(w, w) for w in text.split())
+    texts = [
+        item, new(item, "75", "8"), new(head, "75", "8") + " " + new(tail, "99", "8"),
+        new(head, "75", "8") + " " + new(tail, "75", "5"), new(head, "75", "8") + " far away " + new(tail, "75", "8"),
+        new(head, "75", "8") + " far away " + new(tail, "99", "8"), new(head, "75", "8") + " far away " + new(tail, "99", "1"),
+        new(head, "75", "75") + " then " + new(tail, "75", "75"), f"{item} and again {new(item, '1', '2')}",
+        f"{new(head, '1', '2')} x {new(tail, '3', '4')} y {new(head, '3', '4')}", head, f"{head} {head}",
+    ]
+    found = leaked(spark, list(enumerate(texts)), [(1, item)])
+    wanted = [plain_leaks(t, item) for t in texts]
+    assert [bool(found[i]) for i in range(len(texts))] == wanted
+    assert wanted[4] and not wanted[2] and not wanted[5]
+
+
 def test_templates(spark):
     text = "In 1990 Anna paid $5 for 3 kg. Bob, and Éva (who) left."
     frame = template_leaks.tokenized(spark.createDataFrame([(1, text)], "k int, text string"), "k")

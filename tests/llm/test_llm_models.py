@@ -163,7 +163,7 @@ def test_cross_entropy_against_brute_force(spark):
     rows = [(i, t) for i, t in enumerate(base)] + [(9, None), (10, ""), (11, "a " * 50000)]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("mark", F.lit(1)).repartition(3)
     targets = spark.createDataFrame([(0,), (2,), (2,), (None,), (77,)], "doc_id long")
-    small = cross_entropy.score(docs, targets, size=6, chunk_bytes=12)  # one or two texts a chunk
+    small = cross_entropy.score(docs, targets, size=6, chunk_bytes=20_000)  # the long text is a chunk
     got = {r.doc_id: r for r in small.collect()}
     want = brute_scores(rows, {0, 2}, 6)
     assert got.keys() == want.keys()
