@@ -40,7 +40,7 @@ from strataweave.scratch import Scratch
 
 PULL = 50.0  # weight of the unigrams in a bigram estimate, in counts
 HOLD = 1_000_000
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 WORD, PAIR = 0, 1  # the two lowest bits of a key
 START, OTHER = np.uint64(4), np.uint64(8)  # stand for hashes of words
 NUMBERS = ["target", "target_last", "background", "background_last"]
