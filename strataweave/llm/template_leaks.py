@@ -119,8 +119,9 @@ def _windows(table: DataFrame, key: str, n: int, lengths: list[int], item: bool)
     if short:
         arrays["p"] = F.transform(_plain(), lambda w: F.xxhash64(w))
     rows = table.select(key, *[c.alias(a) for a, c in arrays.items()])
-    # no words give no rows here; a filter on their number would be pushed below and split the text per word
-    full = rows.select(key, *arrays, F.posexplode("h").alias("at", "first"))
+    # an expression and not the column: else a filter on its size is pushed below, which splits the text per word
+    each = F.concat("h", F.array().cast("array<long>"))
+    full = rows.select(key, *arrays, F.posexplode(each).alias("at", "first"))
 
     def later(array: str, i: int) -> Column:
         return F.get(F.col(array), F.col("at") + i)
