@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.operators.adjacency import node_ids, simple_edges
+from strataweave.operators.chains import contract, expand_components
 from strataweave.operators.spread import spread, waves
 from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, number_rows, skew_join
@@ -31,16 +32,14 @@ def _between(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(rest.select("src", "dst"))
 
 
-def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, scc_id, scc_size) with scc_id the smallest member.
+def _core_components(rest: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(id, value) of the nodes in components of two or more; ``value`` is a member of the component.
 
-    Everything that does not lie between cycles is dropped first. On the rest, the smallest id
-    that reaches a node and the smallest id it reaches are spread in one pass. Where both are
+    The smallest id that reaches a node and the smallest id it reaches are spread in one pass. Where both are
     equal, that id owns the node's component. Nodes of one component always share both labels,
     so the remainder repeats on the edges whose ends agree on them.
     """
-    scratch = Scratch(edges.sparkSession, "scc")
-    rest = _between(scratch.save(simple_edges(edges).where("src <> dst")), scratch)
+    rest = _between(rest, scratch)
     found: list[DataFrame] = []
     while not rest.isEmpty():
         doubled = _both_ways(rest)
@@ -52,24 +51,40 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = scratch.save(labels)
         found.append(labels.where("above = below").select("id", F.col("above").alias("value")))
         left = labels.where("above <> below").select("id", F.struct("above", "below").alias("label"))
+        if left.isEmpty():
+            break
         ends = skew_join(rest, left.withColumnRenamed("id", "src"), "src", hot_left=hot_keys(rest, "src"))
         other = left.select(F.col("id").alias("dst"), F.col("label").alias("label_dst"))
         ends = skew_join(ends, other, "dst", hot_left=hot_keys(rest, "dst")).where("label = label_dst")
         rest = _between(scratch.save(ends.select("src", "dst")), scratch)
+    members = None
+    for more in found:
+        members = more if members is None else members.unionByName(more)
+    return members
+
+
+def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, scc_id, scc_size) with scc_id the smallest member.
+
+    Chains are contracted first, by pointer jumping, so a long path or ring takes rounds by the logarithm of its
+    length. Everything of the rest that does not lie between cycles is dropped before labels are spread. At the
+    end chain nodes get the component of the chain's ends.
+    """
+    scratch = Scratch(edges.sparkSession, "scc")
+    core, levels = contract(scratch.save(simple_edges(edges).where("src <> dst")))
+    members = _core_components(core.where("src <> dst").select("src", "dst"), scratch)
     ids = node_ids(nodes, edges)
-    if not found:
-        return ids.select("id", F.col("id").alias("scc_id"), F.lit(1).cast("long").alias("scc_size"))
-    members = found[0]
-    for more in found[1:]:
-        members = members.unionByName(more)
-    sizes = members.groupBy("value").agg(F.count("*").alias("scc_size"))
+    if members is None:
+        members = ids.select("id", F.col("id").alias("value")).limit(0)
+    members = scratch.save(expand_components(members, levels, scratch))
+    sizes = members.groupBy("value").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
     # a giant component is one row of sizes, met by many members
     members = skew_join(members, sizes, "value", hot_left=hot_keys(members, "value"))
     return scratch.save(
         ids.join(members, "id", "left").select(
             "id",
-            F.coalesce("value", "id").alias("scc_id"),
-            F.coalesce("scc_size", F.lit(1)).cast("long").alias("scc_size"),
+            F.coalesce("low", "id").alias("scc_id"),
+            F.coalesce("n", F.lit(1)).cast("long").alias("scc_size"),
         )
     )
 
@@ -153,10 +168,26 @@ def enumerate_cycles(
 ) -> DataFrame:
     """(cycle, length): simple cycles of at most ``max_length`` nodes, smallest node first.
 
+    ``max_cycles`` is the report size: shortest cycles first, then by node order. Longer cycles are only looked
+    for while the shorter ones are too few, so the report is the same as if all had been listed.
+    """
+    if max_cycles is None:
+        return _cycles_up_to(edges, components, max_length, self_loops)
+    scratch = Scratch(edges.sparkSession, "cycle-report")
+    for length in range(min(3, max_length), max_length + 1):
+        found = _cycles_up_to(edges, components, length, self_loops).orderBy("length", "cycle").limit(max_cycles)
+        found = scratch.save(found)
+        if found.count() >= max_cycles:
+            break
+    return found.orderBy("length", "cycle")
+
+
+def _cycles_up_to(edges: DataFrame, components: DataFrame, max_length: int, self_loops: bool) -> DataFrame:
+    """All simple cycles of at most ``max_length`` nodes.
+
     Paths start at the smallest node of their cycle, so only larger nodes of the same component
     extend them. A path is kept only while its last node can still return to the start within
     the remaining steps (distances to the start are computed first, inside the component).
-    ``max_cycles`` is the report size: shortest cycles first, then by node order.
     """
     scratch = Scratch(edges.sparkSession, "cycles")
     inner = with_scc(edges, components).where("src_scc = dst_scc AND src <> dst")
@@ -210,10 +241,7 @@ def enumerate_cycles(
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    out = out.select(F.col("path").alias("cycle"), F.size("path").cast("long").alias("length"))
-    if max_cycles is not None:
-        out = out.orderBy("length", "cycle").limit(max_cycles)
-    return out
+    return out.select(F.col("path").alias("cycle"), F.size("path").cast("long").alias("length"))
 
 
 def _rename(df: DataFrame | None, old: str, new: str) -> DataFrame | None:

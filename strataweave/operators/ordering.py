@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.operators.adjacency import node_ids, simple_edges
+from strataweave.operators.chains import contract, expand_depths
 from strataweave.operators.cycles import condense, with_scc
 from strataweave.operators.spread import spread, waves
 from strataweave.scratch import Scratch
@@ -54,6 +55,16 @@ def expand(edges: DataFrame, starts: DataFrame, degree: int, direction: str = "b
     return near.withColumnRenamed("value", "depth")
 
 
+def _others(nodes: DataFrame, levels: list, inside: DataFrame) -> DataFrame:
+    """Nodes that no contraction took out, those that an end of a chain is known by included."""
+    ends = None
+    for level in levels:
+        for end in ("head", "tail"):
+            found = level.members.select(F.col(end).alias("id"))
+            ends = found if ends is None else ends.unionByName(found)
+    return nodes.select("id").unionByName(ends).distinct().join(inside, "id", "left_anti")
+
+
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, wave) of the nodes a topological sort can emit, and the residual edges.
 
@@ -62,7 +73,13 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     scratch = Scratch(edges.sparkSession, "peel")
     links = scratch.save(simple_edges(edges))
-    placed = scratch.save(waves(nodes, links))
+    core, levels = contract(links)
+    inside = None
+    for level in levels:
+        ids = level.members.select("id").unionByName(level.rings.select("id"))
+        inside = ids if inside is None else inside.unionByName(ids)
+    outside = nodes.select("id") if inside is None else _others(nodes, levels, inside)
+    placed = scratch.save(expand_depths(waves(outside, core), levels, scratch))
     stuck = placed.where("wave IS NULL").select(F.col("id").alias("src"))
     return placed.where("wave IS NOT NULL"), links.join(stuck, "src", "left_semi").select("src", "dst")
 

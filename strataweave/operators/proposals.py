@@ -9,6 +9,7 @@ from strataweave.functions.text import first_true
 from strataweave.operators.adjacency import at_or_above_percentile
 from strataweave.operators.communities import community_edges
 from strataweave.operators.cycles import scc_ranking
+from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, number_rows, skew_join
 
 # ---- fixed values: kinds, states, suffixes and the rule-based texts -------------------------
@@ -191,6 +192,34 @@ def backlog(candidates: list[DataFrame], already: int = 0) -> DataFrame:
     return numbered.withColumn("proposal_id", F.concat_ws("-", prefix, serial)).drop("_kind", "_down", "_n")
 
 
+def run_backlog(
+    nodes: DataFrame, edges: DataFrame, components: DataFrame, labels: DataFrame, degrees: DataFrame,
+    min_size: int = 2, percentile: float = 90, already: int = 0, dry_run: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The row of one analysis run, and the proposals it saves: none in a dry run, which counts them all the same."""
+    found = [
+        cycle_breaks(nodes, edges, components, degrees, min_size),
+        api_stabilisations(nodes, degrees, percentile),
+        boundary_changes(nodes, edges, labels, degrees),
+    ]
+    listed = Scratch(edges.sparkSession, "backlog").save(backlog(found, already))
+    # a component is one row of its members' ids, so distinct ids count components
+    cyclic = components.where(F.col("scc_size") >= min_size).agg(F.countDistinct("scc_id").alias("total_sccs"))
+    run = (
+        nodes.agg(F.count("*").alias("total_projects"))
+        .join(cyclic).join(labels.agg(F.countDistinct("community").alias("total_clusters")))  # one row each
+        .join(listed.agg(F.count("*").alias("proposals_generated")))
+        .select("*", F.lit("completed").alias("status"), F.lit(dry_run).alias("dry_run"))
+    )
+    return run, listed.limit(0) if dry_run else listed
+
+
+def steps(candidates: DataFrame) -> DataFrame:
+    """(proposal_type, subject, step, text, expected_improvement): one row per step, numbered from 1."""
+    rows = candidates.select("proposal_type", "subject", F.posexplode("steps").alias("at", "text"), "expected_improvement")
+    return rows.select("proposal_type", "subject", (F.col("at") + 1).alias("step"), "text", "expected_improvement")
+
+
 def proposal_scope(
     proposals: DataFrame, nodes: DataFrame, edges: DataFrame, components: DataFrame, labels: DataFrame
 ) -> DataFrame:
@@ -242,6 +271,23 @@ def set_status(proposals: DataFrame, changes: DataFrame) -> DataFrame:
     return proposals.join(ok, "proposal_id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
 
 
+def cycles_before_after(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, before, after, delta) of two component tables: cyclic components, nodes in them, the largest one."""
+    def totals(components: DataFrame) -> DataFrame:
+        size = F.when(F.col("scc_size") > 1, F.col("scc_size"))
+        return components.agg(
+            F.countDistinct(F.when(F.col("scc_size") > 1, F.col("scc_id"))).alias("cyclic_sccs"),
+            F.count(size).alias("cyclic_nodes"), F.coalesce(F.max(size), F.lit(0)).alias("largest_scc"),
+        )
+
+    names = ["cyclic_sccs", "cyclic_nodes", "largest_scc"]
+    long = lambda df, name: totals(df).select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("long").alias(name)) for n in names]))
+    )
+    both = long(before, "before").join(long(after, "after"), "metric")
+    return both.withColumn("delta", F.col("after") - F.col("before"))
+
+
 def before_after(before: DataFrame, after: DataFrame, metrics: list[str]) -> DataFrame:
     """(id, metric, before, after, delta) of two metric tables, one row per changed value."""
     def long(df: DataFrame, name: str) -> DataFrame:

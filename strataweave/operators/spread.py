@@ -14,16 +14,21 @@ _KEEP = {"min": F.min, "max": F.max}
 HOPS = 8  # hops per written table; the first tables hold fewer, for graphs that settle early
 
 
-def _with_self(edges: DataFrame, ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+def _with_self(edges: DataFrame, ids: DataFrame, scratch: Scratch, steps: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Edges keyed by source, plus one self row per node that carries its state along.
 
-    Edges are read once: every edge gives its own row and the self rows of both ends.
+    Edges are read once: every edge gives its own row and the self rows of both ends. With ``steps`` the rows
+    have the edges' column of that name, 0 for self rows.
     """
-    row = lambda a, b, me: F.struct(F.col(a).alias("id"), F.col(b).alias("dst"), F.lit(me).alias("me"))
+    def row(a, b, me):
+        long = [(F.lit(0).cast("long") if me else F.col("steps").cast("long")).alias("steps")] if steps else []
+        return F.struct(F.col(a).alias("id"), F.col(b).alias("dst"), F.lit(me).alias("me"), *long)
+
     linked = edges.select(
         F.inline(F.array(row("src", "dst", False), row("src", "src", True), row("dst", "dst", True)))
     )
-    own = ids.select("id", F.col("id").alias("dst"), F.lit(True).alias("me"))
+    none = [F.lit(0).cast("long").alias("steps")] if steps else []
+    own = ids.select("id", F.col("id").alias("dst"), F.lit(True).alias("me"), *none)
     out = scratch.save(linked.unionByName(own).distinct())
     return out, hot_keys(out, "id")
 
@@ -87,11 +92,13 @@ def spread(
 def waves(ids: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """(id, wave): longest path from a node without in-edges; null on or after a cycle.
 
-    A node is settled once all its predecessors are; its wave is one more than their largest.
-    Whenever half of the open nodes are settled, edges into settled nodes leave the table.
+    A node is settled once all its predecessors are; its wave is the largest of theirs plus the steps of the
+    edge, one unless ``edges`` has a column ``steps`` (then no edge may occur twice). Whenever half of the open nodes are settled, edges into settled nodes leave the table.
     """
     scratch = Scratch(edges.sparkSession, "waves")
-    outward, hot = _with_self(edges.select("src", "dst"), ids, scratch)
+    if "steps" not in edges.columns:
+        edges = edges.select("src", "dst", F.lit(1).alias("steps"))
+    outward, hot = _with_self(edges.select("src", "dst", "steps"), ids, scratch, steps=True)
     everyone = outward.where("me").select("id")
     state = everyone.select("id", F.lit(None).cast("long").alias("wave"))
     settled: list[DataFrame] = []
@@ -102,7 +109,7 @@ def waves(ids: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
         todo = min(2 * todo, hops)
         for _ in range(todo):
             sent = skew_join(step, outward, "id", hot_right=hot)
-            after = F.when(F.col("me"), F.lit(-1).cast("long")).otherwise(F.col("wave"))
+            after = F.when(F.col("me"), F.lit(0).cast("long")).otherwise(F.col("wave") + F.col("steps"))
             step = sent.groupBy(F.col("dst").alias("id")).agg(
                 F.max(after).alias("after"),
                 F.max(F.when(F.col("me"), F.col("wave"))).alias("own"),
@@ -110,7 +117,7 @@ def waves(ids: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
             )
             step = step.select(
                 "id",
-                F.coalesce("own", F.when(~F.col("waits"), F.col("after") + 1)).alias("wave"),
+                F.coalesce("own", F.when(~F.col("waits"), F.col("after"))).alias("wave"),
             )
         state = scratch.save(step, replaces=state)
         left = state.where("wave IS NULL").count()
@@ -124,13 +131,13 @@ def waves(ids: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
             # settled nodes without an open successor are final and need not be carried on
             unsettled = state.where("wave IS NULL").select(F.col("id").alias("dst"))
             kept = outward.where("NOT me").join(unsettled, "dst", "left_semi")
-            links = scratch.save(kept.select(F.col("id").alias("src"), "dst"))
+            links = scratch.save(kept.select(F.col("id").alias("src"), "dst", "steps"))
             useful = links.select(F.col("src").alias("id")).unionByName(
                 unsettled.select(F.col("dst").alias("id"))
             ).distinct()
             settled.append(scratch.save(state.join(useful, "id", "left_anti").select("id", "wave")))
             state = scratch.save(state.join(useful, "id", "left_semi").select("id", "wave"), replaces=state)
-            outward, hot = _with_self(links, state, scratch)
+            outward, hot = _with_self(links, state, scratch, steps=True)
     out = state
     for more in settled:
         out = out.unionByName(more)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from strataweave.operators import adjacency as adj
 from strataweave.operators import centrality, clusters, communities, cycles, density, ordering, reports, snapshots
 from strataweave.plans.graphs import (
-    BOTH_SQL, LATEST_SQL, ORDERED_SQL, PEAK_SQL, latest_edges, ordered_edges, part_nodes, peak_edges, table,
+    BOTH_SQL, DIRECTED_SQL, LATEST_SQL, MODULAR_SQL, ORDERED_SQL, PEAK_SQL, directed_edges, latest_edges, modular_edges,
+    ordered_edges, part_nodes, peak_edges, table,
 )
 from strataweave.plans.inputs import COMPONENT_SQL, components, saved
 from strataweave.plans.registry import query
@@ -45,6 +46,10 @@ def _scc(g: str) -> str:
     return _reach(g) + "," + _SCC
 
 
+# between brands the modular graph has no way back, so its components lie inside the brands
+_MODULES = _reach("inside") + "," + _SCC
+
+
 def _big_scc(g: str) -> str:
     """The component of the busiest node by two plain searches, closures on the rest only."""
     return f"""
@@ -77,6 +82,14 @@ def _peak(spark, folder):
     return saved(spark, part_nodes(spark, folder)), saved(spark, peak_edges(spark, folder))
 
 
+def _modular(spark, folder):
+    return saved(spark, part_nodes(spark, folder)), saved(spark, modular_edges(spark, folder))
+
+
+def _directed(spark, folder):
+    return saved(spark, part_nodes(spark, folder)), saved(spark, directed_edges(spark, folder))
+
+
 def _latest(spark, folder):
     return saved(spark, part_nodes(spark, folder)), saved(spark, latest_edges(spark, folder))
 
@@ -217,11 +230,11 @@ def strongly_connected(spark, folder):
 
 @query(
     "g04_condense",
-    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_scc('latest')}
-    SELECT DISTINCT a.scc_id AS src_scc, b.scc_id AS dst_scc FROM latest JOIN scc a ON a.id = src JOIN scc b ON b.id = dst WHERE a.scc_id <> b.scc_id""",
+    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_MODULES}
+    SELECT DISTINCT a.scc_id AS src_scc, b.scc_id AS dst_scc FROM modular JOIN scc a ON a.id = src JOIN scc b ON b.id = dst WHERE a.scc_id <> b.scc_id""",
 )
 def _(spark, folder):
-    n, e = _latest(spark, folder)
+    n, e = _modular(spark, folder)
     return cycles.condense(e, cycles.scc(n, e))
 
 
@@ -237,21 +250,21 @@ def _(spark, folder):
 
 @query(
     "a15_scc_summary",
-    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_scc('latest')}, s AS (SELECT scc_id, count(*) AS size FROM scc GROUP BY 1)
+    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_MODULES}, s AS (SELECT scc_id, count(*) AS size FROM scc GROUP BY 1)
     SELECT count(*) AS total_sccs, count(*) FILTER (size > 1) AS cyclic_sccs, max(size) AS largest_scc FROM s""",
 )
 def _(spark, folder):
-    return cycles.scc_summary(cycles.scc(*_latest(spark, folder)))
+    return cycles.scc_summary(cycles.scc(*_modular(spark, folder)))
 
 
 @query(
     "a15_largest_sccs",
-    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_scc('latest')},
+    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_MODULES},
     s AS (SELECT scc_id, count(*) AS size FROM scc GROUP BY 1 HAVING count(*) > 1 ORDER BY size DESC, scc_id LIMIT 5)
     SELECT scc_id, size, id FROM s JOIN scc USING (scc_id)""",
 )
 def _(spark, folder):
-    return cycles.largest_sccs(cycles.scc(*_latest(spark, folder)))
+    return cycles.largest_sccs(cycles.scc(*_modular(spark, folder)))
 
 
 @query(
@@ -275,16 +288,17 @@ def _cycles_sql(g: str, length: int) -> str:
     SELECT array_to_string(p, '>') AS cycle, len(p) AS length FROM path JOIN {g} e ON e.src = last AND e.dst = start"""
 
 
+# more than 25 cycles have at most 3 nodes, so the SQL need not look for longer ones
 @query("g15_enumerate_cycles", f"WITH RECURSIVE {PEAK_SQL}, {_cycles_sql('peak', 3)} ORDER BY length, p LIMIT 25")
 def bounded_cycles(spark, folder):
     n, e = _peak(spark, folder)
-    found = cycles.enumerate_cycles(e, cycles.scc(n, e), 3, max_cycles=25)
+    found = cycles.enumerate_cycles(e, cycles.scc(n, e), 8, max_cycles=25)
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
 
 
-@query("g16_cycles_up_to_length_10", f"WITH RECURSIVE {LATEST_SQL}, {_cycles_sql('latest', 10)}")
+@query("g16_cycles_up_to_length_10", f"WITH RECURSIVE {MODULAR_SQL}, {_cycles_sql('inside', 10)}")
 def _(spark, folder):
-    n, e = _latest(spark, folder)
+    n, e = _modular(spark, folder)
     found = cycles.enumerate_cycles(e, cycles.scc(n, e), 10, self_loops=True)
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
 
@@ -372,12 +386,18 @@ def _topo(g: str) -> str:
     ord AS (SELECT id, wave, row_number() OVER (ORDER BY wave, id) - 1 AS position FROM placed)"""
 
 
+_LONGEST = """
+    climb AS (SELECT id, 0 AS k FROM node UNION SELECT dst, k + 1 FROM climb JOIN directed ON src = climb.id),
+    placed AS (SELECT id, CAST(max(k) AS BIGINT) AS wave FROM climb GROUP BY 1),
+    ord AS (SELECT id, wave, row_number() OVER (ORDER BY wave, id) - 1 AS position FROM placed)"""
+
+
 @query(
     "g10_w04_topological_order",
-    f"WITH RECURSIVE {NODE}, {LATEST_SQL}, {_reach('latest')}, {_topo('latest')} SELECT id, wave, position FROM node LEFT JOIN ord USING (id)",
+    f"WITH RECURSIVE {NODE}, {DIRECTED_SQL}, {_LONGEST} SELECT id, wave, position FROM node LEFT JOIN ord USING (id)",
 )
 def topological_order(spark, folder):
-    return ordering.topological_order(*_latest(spark, folder))
+    return ordering.topological_order(*_directed(spark, folder))
 
 
 @query(
@@ -413,11 +433,11 @@ _LAYERS = """
 
 @query(
     "g11_topological_layers",
-    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_scc('latest')}, {_LAYERS}
+    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_MODULES}, {_LAYERS.replace('FROM latest', 'FROM modular')}
     SELECT scc.id, layer FROM scc JOIN layer ON layer.id = scc_id""",
 )
 def topological_layers(spark, folder):
-    n, e = _latest(spark, folder)
+    n, e = _modular(spark, folder)
     return ordering.topological_layers(n, e, cycles.scc(n, e))
 
 
@@ -474,11 +494,11 @@ def propagation(spark, folder):
 
 @query(
     "g14_main_cluster",
-    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_wcc('latest')}, {_propagation('latest', 10)}
+    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_wcc('modular')}, {_propagation('modular', 10)}
     SELECT id, community FROM p10 JOIN wcc USING (id) WHERE component = (SELECT component FROM main) AND (SELECT max(size) FROM info) > 10""",
 )
 def _(spark, folder):
-    n, e = _latest(spark, folder)
+    n, e = _modular(spark, folder)
     return communities.main_cluster_communities(n, e, clusters.connected_components(n, e))
 
 
@@ -574,6 +594,12 @@ def closeness(spark, folder):
     return centrality.closeness(*_latest(spark, folder)).withColumn("score", F.round("score", 9))
 
 
+@query("g23_closeness_sketched")
+def closeness_sketched(spark, folder):
+    """Every node of the whole listing; an estimate, held against the exact form in tests."""
+    return centrality.closeness_sketched(*_peak(spark, folder))
+
+
 def _power(g: str, rounds: int) -> str:
     parts = ["v0 AS (SELECT id, 1.0 / sqrt(CAST((SELECT count(*) FROM node) AS DOUBLE)) AS s FROM node)"]
     for k in range(rounds):
@@ -608,7 +634,7 @@ _ANCHOR_SQL = f"""
       FROM component),
     word AS (SELECT *, CASE WHEN contains(domain, '-') THEN split_part(domain, '-', 1) ELSE left(domain, 4) END AS word FROM named),
     coh AS (SELECT dst AS id, count(*) FILTER (t.word <> '' AND contains(s.plain, t.word)) AS hits, count(*) AS deps
-            FROM latest JOIN word t ON t.id = dst JOIN word s ON s.id = src GROUP BY 1),
+            FROM modular JOIN word t ON t.id = dst JOIN word s ON s.id = src GROUP BY 1),
     judged AS (
       SELECT id, domain, fan_in AS n, fan_out AS o,
         CASE WHEN fan_in > 0 THEN fan_in / (fan_out + 1)::DOUBLE ELSE 0.0 END AS ratio,
@@ -624,27 +650,27 @@ _ANCHOR_SQL = f"""
 
 @query(
     "g26_g27_domain_anchors",
-    f"""WITH {NODE}, {LATEST_SQL}, {_deg("latest")}, {COMPONENT_SQL}, {_ANCHOR_SQL}
+    f"""WITH {NODE}, {MODULAR_SQL}, {_deg("modular")}, {COMPONENT_SQL}, {_ANCHOR_SQL}
     SELECT id, kind, domain, n AS in_degree, o AS out_degree, round_even(ratio, 2) AS anchor_ratio, round_even(coherent, 2) AS name_coherence, name_match
     FROM anchor WHERE kind IS NOT NULL""",
 )
 def domain_anchors(spark, folder):
-    n, e = _latest(spark, folder)
+    n, e = _modular(spark, folder)
     return reports.domain_anchors(components(spark, folder), e, adj.node_degrees(n, e))
 
 
 @query(
     "g28_cluster_by_anchors",
-    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_deg("latest")}, {COMPONENT_SQL}, {_ANCHOR_SQL},
+    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_deg("modular")}, {COMPONENT_SQL}, {_ANCHOR_SQL},
     own AS (SELECT id, n FROM anchor WHERE kind = 'domain_anchor'),
     walk AS (SELECT id AS start, id, 0 AS d FROM node WHERE id NOT IN (SELECT id FROM own)
-             UNION SELECT start, dst, d + 1 FROM walk JOIN latest ON src = walk.id WHERE d < 4 AND walk.id NOT IN (SELECT id FROM own)),
+             UNION SELECT start, dst, d + 1 FROM walk JOIN modular ON src = walk.id WHERE d < 4 AND walk.id NOT IN (SELECT id FROM own)),
     hit AS (SELECT start AS id, own.id AS anchor_id, row_number() OVER (PARTITION BY start ORDER BY n DESC, own.id) AS r FROM walk JOIN own ON own.id = walk.id)
     SELECT node.id, CASE WHEN own.id IS NOT NULL THEN own.id ELSE hit.anchor_id END AS anchor_id, own.id IS NOT NULL AS is_anchor
     FROM node LEFT JOIN own ON own.id = node.id LEFT JOIN hit ON hit.id = node.id AND hit.r = 1""",
 )
 def _(spark, folder):
-    n, e = _latest(spark, folder)
+    n, e = _modular(spark, folder)
     nodes = components(spark, folder)
     found = reports.domain_anchors(nodes, e, adj.node_degrees(n, e)).where("kind = 'domain_anchor'")
     return reports.cluster_by_anchors(n, e, saved(spark, found))
@@ -706,3 +732,15 @@ def _(spark, folder):
     n, e = _latest(spark, folder)
     c = saved(spark, cycles.scc(n, e))
     return snapshots.graph_document(components(spark, folder), e, cycles.cycle_edges(e, c), ordering.transitive_edges(n, e, c))[1]
+
+
+@query(
+    "g32_graph_nodes",
+    f"""WITH {COMPONENT_SQL} SELECT id, CASE WHEN group_key IS NULL THEN to_json({{'id': id, 'label': name}})
+    ELSE to_json({{'id': id, 'label': name, 'parent': group_key}}) END::VARCHAR AS json FROM component""",
+)
+def _(spark, folder):
+    n, e = _modular(spark, folder)
+    c = saved(spark, cycles.scc(n, e))
+    none = e.select("src", "dst").distinct().withColumn("transitive", F.lit(False))
+    return snapshots.graph_document(components(spark, folder), e, cycles.cycle_edges(e, c), none)[0]

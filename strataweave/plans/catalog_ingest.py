@@ -55,6 +55,35 @@ def _(spark, folder):
     return docs.parse_sboms(_sboms(spark, folder))[1]
 
 
+@query(
+    "s02_s11_sbom_files",
+    """SELECT 'package' AS kind, 'brand' || l_suppkey AS owner, 'pkg:maven/org.shop.brand' || l_suppkey || '/part-' || l_partkey AS item FROM lineitem
+    WHERE l_suppkey % 5 <> 0 GROUP BY ALL
+    UNION ALL SELECT 'reject', 'brand' || l_suppkey, 'unreadable document' FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY ALL""",
+)
+def sbom_files(spark, folder):
+    """One SBOM file for each supplier, written and read as whole files; of every fifth the list is no list.
+
+    The rejects go to the sink and are read back from it.
+    """
+    place = Scratch(spark, "sbom-files").base
+    line = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    ref = F.concat(F.lit("pkg:maven/org.shop.brand"), F.col("l_suppkey").cast("string"), F.lit("/part-"), F.col("l_partkey").cast("string"))
+    item = F.struct(F.concat(ref, F.lit("@1")).alias("bom-ref"), F.lit("x").alias("name"), F.lit("1").alias("version"))
+    fine = F.col("l_suppkey") % 5 != 0
+    # a document lists what one supplier delivers
+    listed = line.where(fine).groupBy(F.col("l_suppkey").alias("supplier")).agg(F.collect_list(item).alias("components"))
+    listed.write.partitionBy("supplier").json(f"{place}/in")
+    wrong = line.where(~fine).select(F.col("l_suppkey").alias("supplier"), F.lit("no list").alias("components")).distinct()
+    wrong.write.mode("append").partitionBy("supplier").json(f"{place}/in")
+    good, bad = docs.read_sboms(spark, f"{place}/in")
+    tables.save_rejects(bad, f"{place}/rejects")
+    rejects = spark.read.schema("doc string, error string").json(f"{place}/rejects")
+    owner = F.concat(F.lit("brand"), F.regexp_extract("doc", r"/supplier=(\d+)/", 1)).alias("owner")
+    found = docs.sbom_packages(good, PREFIX).select(F.lit("package").alias("kind"), owner, F.col("purl_key").alias("item"))
+    return found.unionByName(rejects.select(F.lit("reject").alias("kind"), owner, F.col("error").alias("item")))
+
+
 @query(
     "s03_sbom_packages",
     f"""WITH {_LINE} SELECT doc, 0 AS pos, part || '@' || v AS bom_ref, part AS purl_key, v AS version, true AS internal, brand AS group_key FROM good
@@ -289,6 +318,26 @@ def _(spark, folder):
     return docs.with_listing_defaults(rows).drop("namespace")
 
 
+@query(
+    "s12_listing_files",
+    """SELECT c_custkey AS id, c_name AS name, '' AS path, CASE WHEN c_acctbal < 0 THEN '' ELSE lower(c_name) END AS path_with_namespace,
+    coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, '') AS description, 'main' AS default_branch, '' AS web_url FROM customer""",
+)
+def _(spark, folder):
+    """The listing as it is served: pages of at most 100 projects, one JSON array in each file, read from the files."""
+    place = Scratch(spark, "listing").base
+    row = F.struct(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.when(F.col("c_acctbal") >= 0, F.lower("c_name")).alias("path_with_namespace"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("description"),
+        F.create_map(F.lit("kind"), F.lit("group")).alias("namespace"),
+    )
+    page = F.floor(F.col("c_custkey") / 100).alias("page")
+    pages = table(spark, folder, "customer").groupBy(page).agg(F.to_json(F.collect_list(row)).alias("value"))
+    pages.write.partitionBy("page").text(f"{place}/in")
+    return docs.read_listing(spark, f"{place}/in/*").drop("namespace")
+
+
 @query(
     "s13_unique_projects",
     "SELECT l_partkey AS id, min(CAST(l_suppkey AS VARCHAR)) AS path FROM lineitem GROUP BY 1",
@@ -562,6 +611,14 @@ def _(spark, folder):
     return tables.as_json(components(spark, folder).groupBy("type").agg(F.count("*").alias("components")))
 
 
+@query("s20_json_files", f"{C} SELECT type, brand, count(*) AS components FROM component GROUP BY ALL")
+def _(spark, folder):
+    """The report written as JSON files, by the sink, and read back."""
+    place = Scratch(spark, "json").base
+    tables.write_json(components(spark, folder).groupBy("type", "brand").agg(F.count("*").alias("components")), place)
+    return spark.read.schema("type string, brand string, components long").json(place)
+
+
 @query(
     "s22_saved_metrics",
     f"WITH {NODE}, {PEAK_SQL}, {_deg('peak')} SELECT id, fan_in, fan_out FROM metric",

@@ -427,6 +427,21 @@ def assign_layers(spark, folder):
     return _assigned(components(spark, folder))
 
 
+@query(
+    "l01_j09_rules_of_a_table",
+    f"""{C}, rule AS (SELECT DISTINCT brand, 'module-' || brand AS layer, CAST(replace(brand, 'brand-', '') AS INT) % 7 AS level FROM component)
+    SELECT id, layer, level, true AS auto_assigned FROM component JOIN rule USING (brand)""",
+)
+def _(spark, folder):
+    """A layer for each brand, its rule in a table that is derived from the parts."""
+    nodes = components(spark, folder)
+    rules = nodes.select("brand").distinct().select(
+        (F.replace("brand", F.lit("brand-"), F.lit("")).cast("int") % 7).alias("level"),
+        F.concat(F.lit("module-"), "brand").alias("name"), F.concat("brand", F.lit(":")).alias("pattern"),
+    )
+    return layers.assign_layers(nodes, layers.layer_rules(rules))
+
+
 @query(
     "l02_manual_layers",
     f"""{C}, {_ASSIGN}, change AS (SELECT id, CASE WHEN type = 'promo' THEN 'service' END AS layer FROM component WHERE size <= 3)

@@ -9,7 +9,7 @@ from strataweave.operators import communities, cycles, proposals, sentences, sna
 from strataweave.plans.catalog_graph import _SCC, NODE, _deg, _propagation, _reach
 from strataweave.plans.catalog_ingest import _LINE, PREFIX, _sboms
 from strataweave.plans.catalog_scope import C
-from strataweave.plans.graphs import LATEST_SQL, PEAK_SQL, latest_edges, part_nodes, peak_edges, table
+from strataweave.plans.graphs import MODULAR_SQL, PEAK_SQL, modular_edges, part_nodes, peak_edges, table
 from strataweave.plans.inputs import COMPONENT_SQL, MEMBERSHIP_SQL, components, layout, saved
 from strataweave.plans.registry import query
 from strataweave.scratch import Scratch
@@ -239,13 +239,13 @@ def span_structure(spark, folder):
 
 
 def _graph(spark, folder):
-    n, e = saved(spark, part_nodes(spark, folder)), saved(spark, latest_edges(spark, folder))
+    n, e = saved(spark, part_nodes(spark, folder)), saved(spark, modular_edges(spark, folder))
     return n, e, components(spark, folder)
 
 
 @query(
     "b01_b07_cycle_breaks",
-    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_deg("latest")}, {_reach("latest")}, {_SCC}, {COMPONENT_SQL},
+    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_deg("modular")}, {_reach("inside")}, {_SCC}, {COMPONENT_SQL},
     m AS (SELECT scc_id, count(*) AS size, avg(coupling_score) AS mc, string_agg(key, ' -> ' ORDER BY key) AS members, list_sort(list(key)) AS ks
           FROM scc JOIN metric USING (id) JOIN component USING (id) WHERE scc_size > 1 GROUP BY 1)
     SELECT CAST(scc_id AS VARCHAR) AS subject, size, round(mc, 6)::DOUBLE AS mean_coupling, 'Break cyclic dependency involving ' || size || ' services' AS summary,
@@ -274,7 +274,7 @@ _HIGH = """
 
 @query(
     "b03_api_stabilisations",
-    f"""WITH {NODE}, {LATEST_SQL}, {_deg("latest")}, {COMPONENT_SQL}, {_HIGH}
+    f"""WITH {NODE}, {MODULAR_SQL}, {_deg("modular")}, {COMPONENT_SQL}, {_HIGH}
     SELECT key AS subject, fan_in + 1 AS size, round(coupling_score, 6)::DOUBLE AS mean_coupling, 'Stabilize API for ' || key || ' (' || fan_in || ' consumers)' AS summary, fan_in AS fan_in_before, fan_out AS fan_out_before FROM high""",
 )
 def _(spark, folder):
@@ -307,7 +307,7 @@ _BACKLOG = f"""
       CASE WHEN size >= 5 OR mc >= 10 THEN 'high' WHEN size >= 3 OR mc >= 5 THEN 'medium' ELSE 'low' END AS impact,
       CASE k WHEN 0 THEN CASE WHEN size <= 3 THEN 'medium' ELSE 'high' END WHEN 1 THEN CASE WHEN size <= 5 THEN 'low' ELSE 'medium' END ELSE 'medium' END AS risk FROM numbered)"""
 
-_BACKLOG_FROM = f"WITH RECURSIVE {NODE}, {LATEST_SQL}, {_deg('latest')}, {_reach('latest')}, {_SCC}, {COMPONENT_SQL}, {_HIGH}, {_propagation('latest', 10)}, {_BACKLOG}"
+_BACKLOG_FROM = f"WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_deg('modular')}, {_reach('inside')}, {_SCC}, {COMPONENT_SQL}, {_HIGH}, {_propagation('modular', 10)}, {_BACKLOG}"
 
 
 @query(
@@ -335,7 +335,7 @@ def _(spark, folder):
 @query(
     "b08_proposal_scope",
     f"""{_BACKLOG_FROM},
-    users AS (SELECT proposal_id, s.key, row_number() OVER (PARTITION BY proposal_id ORDER BY s.key) AS r FROM backlog JOIN component t ON t.key = subject JOIN latest ON dst = t.id JOIN component s ON s.id = src WHERE proposal_type = 'api_stabilization'),
+    users AS (SELECT proposal_id, s.key, row_number() OVER (PARTITION BY proposal_id ORDER BY s.key) AS r FROM backlog JOIN component t ON t.key = subject JOIN modular ON dst = t.id JOIN component s ON s.id = src WHERE proposal_type = 'api_stabilization'),
     mates AS (SELECT proposal_id, key, row_number() OVER (PARTITION BY proposal_id ORDER BY key) AS r FROM backlog JOIN p10 ON CAST(community AS VARCHAR) = subject JOIN component USING (id) WHERE proposal_type = 'boundary_redefinition')
     SELECT proposal_id, key FROM backlog JOIN scc ON CAST(scc_id AS VARCHAR) = subject AND scc_size > 1 JOIN component USING (id) WHERE proposal_type = 'cycle_break'
     UNION ALL SELECT proposal_id, subject FROM backlog WHERE proposal_type = 'api_stabilization' UNION ALL SELECT proposal_id, key FROM users WHERE r <= 5 UNION ALL SELECT proposal_id, key FROM mates WHERE r <= 10""",
@@ -346,6 +346,61 @@ def _(spark, folder):
     return proposals.proposal_scope(listed, nodes, e, components_, labels)
 
 
+def _steps_sql(kind: str, subject: str, source: str, texts: list[str], gain: str, first: str | None = None) -> str:
+    said = [f"({i}, '{t}')" for i, t in enumerate(texts, 1 if first is None else 2)]
+    rows = f"SELECT '{kind}' AS proposal_type, {subject} AS subject, v.step, v.text, '{gain}' AS expected_improvement FROM {source}, (VALUES {', '.join(said)}) AS v(step, text)"
+    return rows if first is None else f"{rows} UNION ALL SELECT '{kind}', {subject}, 1, {first}, '{gain}' FROM {source}"
+
+
+@query(
+    "b07_steps",
+    f"""{_BACKLOG_FROM} {_steps_sql("cycle_break", "CAST(scc_id AS VARCHAR)", "m", proposals.CYCLE_STEPS, proposals.CYCLE_GAIN)}
+    UNION ALL {_steps_sql("api_stabilization", "key", "high", proposals.API_STEPS, proposals.API_GAIN, "'Identify stable vs volatile API contracts for ' || key")}""",
+)
+def _(spark, folder):
+    n, e, nodes = _graph(spark, folder)
+    d = saved(spark, adj.node_degrees(n, e))
+    found = proposals.cycle_breaks(nodes, e, cycles.scc(n, e), d).unionByName(proposals.api_stabilisations(nodes, d))
+    return proposals.steps(found)
+
+
+@query(
+    "b08_run_rows",
+    f"""{_BACKLOG_FROM}, run AS (SELECT (SELECT count(*) FROM node) AS total_projects, (SELECT count(*) FROM m) AS total_sccs, (SELECT count(*) FROM q) AS total_clusters,
+      (SELECT count(*) FROM backlog) AS proposals_generated, 'completed' AS status)
+    SELECT *, false AS dry_run, proposals_generated AS saved FROM run UNION ALL SELECT *, true, 0 FROM run""",
+)
+def _(spark, folder):
+    """A run and a dry run, each with the number of proposals it saves."""
+    n, e, nodes = _graph(spark, folder)
+    parts = saved(spark, cycles.scc(n, e)), saved(spark, communities.label_propagation(n, e)), saved(spark, adj.node_degrees(n, e))
+    out = None
+    for dry in (False, True):
+        run, kept = proposals.run_backlog(nodes, e, *parts, dry_run=dry)
+        row = run.join(kept.agg(F.count("*").alias("saved")))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "b10_cycles_before_after",
+    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, kept AS MATERIALIZED (
+      SELECT DISTINCT m.src, m.dst FROM modular_scoped m JOIN inside i ON i.src = m.src AND i.dst = m.dst WHERE scope = 'compile'),
+    ra AS (SELECT src, dst FROM inside UNION SELECT r.src, e.dst FROM ra r JOIN inside e ON r.dst = e.src),
+    rb AS (SELECT src, dst FROM kept UNION SELECT r.src, e.dst FROM rb r JOIN kept e ON r.dst = e.src),
+    ca AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS c FROM ra a JOIN ra b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY 1),
+    cb AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS c FROM rb a JOIN rb b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY 1),
+    x AS (SELECT 'cyclic_sccs' AS metric, (SELECT count(DISTINCT c) FROM ca) AS before, (SELECT count(DISTINCT c) FROM cb) AS after
+      UNION ALL SELECT 'cyclic_nodes', (SELECT count(*) FROM ca), (SELECT count(*) FROM cb)
+      UNION ALL SELECT 'largest_scc', (SELECT max(n) FROM (SELECT count(*) AS n FROM ca GROUP BY c)), (SELECT max(n) FROM (SELECT count(*) AS n FROM cb GROUP BY c)))
+    SELECT metric, before, after, after - before AS delta FROM x""",
+)
+def _(spark, folder):
+    """The cycles that are left when run-time dependencies are cut."""
+    n, e, _ = _graph(spark, folder)
+    return proposals.cycles_before_after(cycles.scc(n, e), cycles.scc(n, e.where("scope = 'compile'")))
+
+
 @query("a07_type_counts", f"{_BACKLOG_FROM} SELECT t.proposal_type, count(proposal_id) AS proposals FROM (SELECT unnest(['cycle_break', 'service_extraction', 'api_stabilization', 'boundary_redefinition']) AS proposal_type) t LEFT JOIN backlog USING (proposal_type) GROUP BY 1")
 def _(spark, folder):
     return proposals.type_counts(backlog(spark, folder))
@@ -474,6 +529,38 @@ def _(spark, folder):
     return snapshots.duplicate_vision(layers, groups, members, "v-by-brand", "copy")[2]
 
 
+@query(
+    "v03_duplicate_tables",
+    f"""WITH {_LAYOUT} SELECT 'layer' AS kind, 'copy' AS parent, 'copy-' || layer_id AS child, layer_id AS key, name FROM lay WHERE vision_id = 'v-by-brand'
+    UNION ALL SELECT 'group', 'copy-' || layer_id, 'copy-' || group_id, key, name FROM grp WHERE layer_id = 'by-brand'
+    UNION ALL SELECT 'member', 'copy-' || group_id, CAST(id AS VARCHAR), NULL, NULL FROM mem WHERE starts_with(group_id, 'by-brand/')""",
+)
+def _(spark, folder):
+    layers, groups, members, _ = layout(components(spark, folder))
+    return _tables(*snapshots.duplicate_vision(layers, groups, members, "v-by-brand", "copy"))
+
+
+def _tables(layers, groups, members):
+    """The three tables of a layout as one list of rows."""
+    none = F.lit(None).cast("string")
+    rows = layers.select(F.lit("layer").alias("kind"), F.col("vision_id").alias("parent"), F.col("layer_id").alias("child"), "key", "name")
+    rows = rows.unionByName(groups.select(F.lit("group").alias("kind"), F.col("layer_id").alias("parent"), F.col("group_id").alias("child"), "key", "name"))
+    return rows.unionByName(members.select(
+        F.lit("member").alias("kind"), F.col("group_id").alias("parent"), F.col("id").cast("string").alias("child"), none.alias("key"), none.alias("name")))
+
+
+@query(
+    "v06_delete_tables",
+    f"""WITH {_LAYOUT} SELECT 'layer' AS kind, vision_id AS parent, layer_id AS child, layer_id AS key, name FROM lay WHERE vision_id <> 'v-by-both'
+    UNION ALL SELECT 'group', layer_id, group_id, key, name FROM grp WHERE layer_id <> 'by-both'
+    UNION ALL SELECT 'member', group_id, CAST(id AS VARCHAR), NULL, NULL FROM mem WHERE NOT starts_with(group_id, 'by-both/')""",
+)
+def _(spark, folder):
+    layers, groups, members, _ = layout(components(spark, folder))
+    gone = layers.where("vision_id = 'v-by-both'").select("vision_id")
+    return _tables(*snapshots.delete_vision(layers, groups, members, gone))
+
+
 @query(
     "v04_save_layout",
     f"""WITH {_LAYOUT} SELECT layer_id, id, x, y FROM pos WHERE id NOT IN (SELECT id FROM component WHERE type = 'promo')
@@ -537,6 +624,12 @@ def _(spark, folder):
     return snapshots.vision_graph(layers, groups.where("layer_id <> 'by-both'"), members, peak_edges(spark, folder))[1]
 
 
+@query("g33_vision_nodes", f"WITH {_LAYOUT}, {_SHOWN} SELECT id, layer_key, group_key FROM shown")
+def _(spark, folder):
+    layers, groups, members, _ = layout(components(spark, folder))
+    return snapshots.vision_graph(layers, groups.where("layer_id <> 'by-both'"), members, peak_edges(spark, folder))[0]
+
+
 _VISIONS = """
     vision AS (SELECT c_custkey AS vision_id, c_name AS name, CASE WHEN c_acctbal < 2000 THEN 'draft' ELSE 'shared' END AS status FROM customer),
     vl AS (SELECT o_custkey AS vision_id, count(*) AS n FROM orders GROUP BY 1),

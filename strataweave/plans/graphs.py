@@ -2,9 +2,11 @@
 
 A part plays the component. Wherever a part is listed in an order it depends on the next two parts listed
 there: the first at compile time, the second at run time. The peak graph has every such pair of every
-order. The latest graph keeps, per part, the pairs of its latest order only (its current release): it is for
-operators whose result is sources x reach (all-pairs distances, betweenness), and for orders and layers,
-which say little on a graph that is one large cycle.
+order; it is mostly one large cycle. The modular graph has the same pairs, but a pair of different brands points from
+the smaller brand to the larger one, so brands are modules with cycles inside and an order between them. The directed
+graph has the same pairs, each pointing to the larger part: acyclic. The latest graph keeps, per part, the pairs of its
+latest order only (its current release): it is for operators whose result is sources x reach (all-pairs distances,
+betweenness, redundant edges).
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.scratch import Scratch
 from strataweave.skew import following
 
 
@@ -23,7 +26,8 @@ def _listed(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").groupBy(
         F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p")
     ).agg(F.max("l_extendedprice").alias("x"))
-    return following(lines, "o", ["n", "p"], "p", 2)
+    # written first, so that orders with very many lines are measured and cut into slices
+    return following(Scratch(spark, "lines").save(lines), "o", ["n", "p"], "p", 2)
 
 
 def _release(listed: DataFrame, rank) -> DataFrame:
@@ -63,6 +67,22 @@ def ordered_edges(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
+def modular_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, dst, scope, weight): every distinct pair; pairs of different brands point to the larger brand."""
+    brand = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
+    e = peak_edges(spark, folder).select("src", "dst", "scope")
+    e = e.join(brand.toDF("src", "a"), "src").join(brand.toDF("dst", "b"), "dst")
+    kept, turned = (F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("src", "dst"), ("dst", "src")))
+    e = e.select(F.when(F.col("a") <= F.col("b"), kept).otherwise(turned).alias("e"), "scope")
+    return e.select("e.src", "e.dst", "scope").distinct().withColumn("weight", F.lit(1))
+
+
+def directed_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The peak graph with every edge pointing to the larger id: acyclic."""
+    e = peak_edges(spark, folder)
+    return e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
 def part_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(F.col("p_partkey").alias("id"))
 
@@ -92,7 +112,17 @@ peak_scoped AS (
   UNION SELECT p, d2, 'runtime' FROM listed WHERE d2 IS NOT NULL AND d2 <> p),
 peak AS (SELECT DISTINCT src, dst FROM peak_scoped)"""
 _LATEST = _release_sql("latest", "o DESC, n")
+_MODULAR = """
+modular_scoped AS (
+  SELECT DISTINCT CASE WHEN a.p_brand <= b.p_brand THEN src ELSE dst END AS src,
+         CASE WHEN a.p_brand <= b.p_brand THEN dst ELSE src END AS dst, scope
+  FROM peak_scoped JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst),
+modular AS MATERIALIZED (SELECT DISTINCT src, dst FROM modular_scoped),
+inside AS MATERIALIZED (
+  SELECT src, dst FROM modular JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand = b.p_brand)"""
 PEAK_SQL = f"{_LISTED},{_PEAK}"
+MODULAR_SQL = f"{PEAK_SQL},{_MODULAR}"
+DIRECTED_SQL = PEAK_SQL + ",\ndirected AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM peak)"
 LATEST_SQL = f"{_LISTED},{_LATEST}"
 BOTH_SQL = f"{_LISTED},{_PEAK},{_LATEST}"
 ORDERED_SQL = LATEST_SQL + ",\nordered AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM latest)"

@@ -191,3 +191,72 @@ def test_eigenvector_is_normalised(spark):
     n, e, _ = random_graph(spark, 15, 40, 3)
     s = centrality.eigenvector(n, e, 8)
     assert math.isclose(s.agg(F.sum(F.col("score") ** 2)).first()[0], 1.0, rel_tol=1e-9)
+
+
+def ladder(spark, n, ring):
+    """A path (or ring) of ``n`` nodes."""
+    last = f" UNION ALL SELECT {n - 1}L, 0L" if ring else ""
+    spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst").createOrReplaceTempView("path")
+    return spark.range(n).select("id"), spark.sql(f"SELECT src, dst FROM path{last}")
+
+
+def test_long_chain_and_ring_end_in_few_rounds(spark, monkeypatch):
+    from strataweave.scratch import Scratch
+
+    saves = []
+    real = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, *a, **k: saves.append(1) or real(self, *a, **k))
+    n, e = ladder(spark, 100_000, True)
+    assert cycles.scc(n, e).groupBy("scc_id", "scc_size").count().collect() == [(0, 100_000, 100_000)]
+    assert len(saves) < 60
+    saves.clear()
+    n, e = ladder(spark, 100_000, False)
+    c = cycles.scc(n, e)
+    assert c.where("scc_size > 1 OR scc_id <> id").isEmpty()
+    layers = ordering.topological_layers(n, e, c)
+    assert layers.where("layer <> id").isEmpty() and layers.count() == 100_000
+    assert len(saves) < 120
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_chains_against_closures(spark, monkeypatch, seed):
+    """Paths, rings and loops in sparse graphs: components, waves and what lies after a cycle."""
+    monkeypatch.setattr("strataweave.operators.chains.FEW", 1)
+    r = random.Random(seed)
+    size = 24
+    pairs = {(r.randrange(size), r.randrange(size)) for _ in range(14 + 3 * seed)} | {(i, i + 1) for i in range(5, 12)}
+    pairs |= {(20, 21), (21, 22), (22, 20), (23, 23)}
+    n, e = spark.range(size).select("id"), spark.createDataFrame(sorted(pairs), "src long, dst long")
+    reach = closure(size, pairs)
+    want = {i: min([i, *(j for j in range(size) if j in reach[i] and i in reach[j])]) for i in range(size)}
+    assert dict(rows(cycles.scc(n, e), "id", "scc_id")) == want
+    after = {i for i in range(size) if i in reach[i] or any(i in reach[c] for c in range(size) if c in reach[c])}
+    wave = {}
+    while len(wave) + len(after) < size:
+        for i in set(range(size)) - after - set(wave):
+            before = [a for a, b in pairs if b == i]
+            if all(a in wave for a in before):
+                wave[i] = max([wave[a] + 1 for a in before], default=0)
+    got = {x.id: x.wave for x in ordering.topological_order(n, e).collect()}
+    assert got == {i: wave.get(i) for i in range(size)}
+
+
+def test_cycle_report_goes_on_while_it_is_too_short(spark):
+    ring = [(i, (i + 1) % 6) for i in range(6)] + [(10, 11), (11, 10)]
+    n, e = spark.range(12).select("id"), spark.createDataFrame(ring, "src long, dst long")
+    got = cycles.enumerate_cycles(e, cycles.scc(n, e), 8, max_cycles=25).collect()
+    assert [(r.length, list(r.cycle)) for r in got] == [(2, [10, 11]), (6, [0, 1, 2, 3, 4, 5])]
+    one = cycles.enumerate_cycles(e, cycles.scc(n, e), 8, max_cycles=1).collect()
+    assert [r.length for r in one] == [2]
+
+
+def test_sketched_closeness_is_near_the_exact_one(spark):
+    n, e, _ = random_graph(spark, 400, 1000, 5)
+    exact = dict(rows(centrality.closeness(n, e), "id", "score"))
+    got = dict(rows(centrality.closeness_sketched(n, e), "id", "score"))
+    assert got.keys() == exact.keys()
+    assert all(abs(got[i] - exact[i]) <= 0.08 * exact[i] + 1e-9 for i in exact)
+    mean = sum(abs(got[i] - exact[i]) / exact[i] for i in exact if exact[i]) / sum(1 for i in exact if exact[i])
+    assert mean < 0.02
+    lonely = centrality.closeness_sketched(spark.range(3).select("id"), e.limit(0))
+    assert rows(lonely, "id", "score", "reached") == [(i, 0.0, 1) for i in range(3)]
