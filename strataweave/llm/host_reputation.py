@@ -9,8 +9,7 @@ Hosts without labelled pages take the posterior of the nearest level that is kno
 Everything is DataFrame functions; counts are aggregated before any shuffle, so a host with a third of
 all pages is one row per task.
 
-Suffix: the last label. Registered domain: the last two labels. (No public suffix list is at hand; both
-are parameters of :func:`parents`.) Null urls, and urls without ``://``, have empty host and path.
+Suffix: the last label. Registered domain: the last two labels, as no public suffix list is at hand. Null urls, and urls without ``://``, have empty host and path.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ if 100 * intersection >= percent * union.
    is skipped once both texts are in one component, the odd sketches sieve the rest, and the full sets decide.
    Only links that join two components leave a block, so a bucket of n texts emits less than n links, not n * n.
 5. In a bucket of several blocks, members outside the component that most members belong to by now are compared
-   with the members of all blocks. After that every pair of a bucket has been compared or is in one component.
+   with the members of all blocks, in parts of the size of a block. After that every pair of a bucket has been compared or is in one component.
 6. Components of the links give the classes of near-duplicates.
 
 A pair at similarity 0.8 shares no band with probability 5e-8; the sieve keeps pairs whose estimate is five
@@ -212,7 +212,7 @@ def links(described: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
     sets = scratch.save(sets.dropDuplicates(["id"]).join(known.select("id", "sketch"), "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["bucket", "own"]):
+        for group in groups(batches, ["bucket", "own", "part"]):
             ids = group.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             shingles = group.column("shingles").combine_chunks()
@@ -228,12 +228,12 @@ def links(described: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
                 yield pa.RecordBatch.from_pydict({"a": ids[order][list(a)], "b": ids[order][list(b)]})
 
     def compare(rows: DataFrame) -> DataFrame:
-        dealt = rows.join(sets, "id").select("bucket", "own", "side", "root", "id", "sketch", "shingles")
-        dealt = dealt.repartition("bucket", "own").sortWithinPartitions("bucket", "own")
+        dealt = rows.join(sets, "id").select("bucket", "own", "part", "side", "root", "id", "sketch", "shingles")
+        dealt = dealt.repartition("bucket", "own", "part").sortWithinPartitions("bucket", "own", "part")
         return scratch.save(map_batches(dealt, run, "a long, b long").distinct())
 
-    none = F.lit(0).alias("side")
-    found = compare(placed.select("bucket", "own", none, F.col("id").alias("root"), "id"))
+    none, whole = F.lit(0).alias("side"), F.lit(0).alias("part")
+    found = compare(placed.select("bucket", "own", whole, none, F.col("id").alias("root"), "id"))
     several = placed.where("blocks > 1")
     if several.isEmpty():
         return found
@@ -244,9 +244,15 @@ def links(described: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
     most = F.max(F.struct("count", "root"))["root"]
     main = scratch.save(several.groupBy("bucket", "root").count().groupBy("bucket").agg(most.alias("main")))
     outside = scratch.save(several.join(main, "bucket").where("root <> main").drop("main"))
+    # outsiders are cut into parts, so that a task holds one block of members and one part, however many there are
+    parts = outside.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    parts = scratch.save(parts)
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    rows = several.join(parts, "bucket").select("bucket", "own", every, none, "root", "id")
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own")
-    rows = several.join(outside.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "own", none, "root", "id")
-    rows = rows.unionByName(outside.select("bucket", everywhere, F.lit(1).alias("side"), "root", "id"))
+    mine = F.pmod(F.xxhash64("bucket", "id"), F.col("parts")).cast("int").alias("part")
+    dealt = outside.join(parts, "bucket").select("bucket", everywhere, mine, F.lit(1).alias("side"), "root", "id")
+    rows = rows.unionByName(dealt)
     return scratch.save(found.unionByName(compare(rows)))
 
 

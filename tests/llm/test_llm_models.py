@@ -214,3 +214,65 @@ def test_samples_are_bounded_by_rows(spark):
     finally:
         ordinal_toxicity._sparse_fit = real
     assert all(n <= 10 for n in seen)
+
+
+def test_severity_against_brute_force(spark):
+    """Features, shared weights and thresholds in plain Python, text by text."""
+    docs = [(1, "You Idiot! idiotic, calm; calmly"), (2, None), (3, ""), (4, "calm days"), (5, "IDIOTS-and-idiots 123 über"), (5, "x")]
+    words = ["idiot", "calm", "über", "and"]
+
+    def key(word, n):
+        found, _ = ordinal_toxicity._word_features([word.encode()])
+        return int(found[0 if n is None else 1 + (n == 5)])
+
+    weights = {key("idiot", None): 1.5, key("idiotic", 5): 0.75, key("calmly", 4): 0.5, key("über", None): 2.0, key("and", None): 0.25}
+    order = sorted(weights)
+    model = ordinal_toxicity.Model(np.array(order, np.uint64), np.array([weights[k] for k in order]), np.array([1.0, 2.5]))
+
+    def plain(text):
+        low = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        keys = set()
+        for w in low:
+            size = len(w.encode())
+            keys |= {key(w, None)} | {key(w, n) for n in (4, 5) if size > n}
+        score = sum(weights.get(k, 0.0) for k in keys)
+        p = [1 / (1 + math.exp(t - score)) for t in (1.0, 2.5)]
+        return sum(p), p[0]
+
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
+    got = ordinal_toxicity.score(frame, model).select("doc_id", "text", "severity", "p_toxic").collect()
+    assert len(got) == len(docs) and len(words) == 4
+    for r in got:
+        severity, toxic = plain(r.text)
+        assert r.severity == pytest.approx(severity, rel=1e-12) and r.p_toxic == pytest.approx(toxic, rel=1e-12)
+
+
+def test_ordinal_fit_is_near_the_best_likelihood():
+    """No step along a weight or a threshold lowers the penalised loss by much."""
+    random = np.random.default_rng(3)
+    rows = np.repeat(np.arange(300), 3)
+    columns = random.integers(0, 8, 900)
+    pairs = np.unique(np.stack([rows, columns], axis=1), axis=0)
+    rows, columns = pairs[:, 0], pairs[:, 1]
+    truth = np.array([2.0, 1.0, 0, 0, 0.5, 0, 0, 1.5])
+    score = np.bincount(rows, weights=truth[columns], minlength=300) + random.logistic(size=300)
+    grades = (score > 1.5).astype(int) + (score > 3)
+
+    def loss(w, t):
+        z = np.bincount(rows, weights=w[columns], minlength=300)
+        up = np.concatenate([np.ones((300, 1)), 1 / (1 + np.exp(t[None, :] - z[:, None])), np.zeros((300, 1))], axis=1)
+        p = up[np.arange(300), grades] - up[np.arange(300), grades + 1]
+        return -np.log(p).sum() + 0.05 * w.sum()
+
+    w, t = ordinal_toxicity._sparse_fit(rows, columns, grades, 8, 2, 0.05, 4000)
+    best = loss(w, t)
+    for i in range(8):
+        for d in (-0.05, 0.05):
+            other = w.copy()
+            other[i] = max(0.0, other[i] + d)
+            assert loss(other, t) > best - 0.3
+    for j in range(2):
+        for d in (-0.05, 0.05):
+            moved = t.copy()
+            moved[j] += d
+            assert loss(w, moved) > best - 0.3
