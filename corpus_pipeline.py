@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataweave.llm import block_naming, mixing, odd_sketch, ordinal_toxicity, template_leaks
 from strataweave.llm.queries import TOXIC_FROM, table
-from strataweave.scratch import collected, shared_root
+from strataweave.scratch import collected, delete, shared_root
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; the tables of the stages before it are deleted once they have been read."""
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_root(spark)}/llm-pipeline-{uuid.uuid4().hex[:12]}"
     for name, stage in STAGES:
         with collected(spark):  # a stage's own tables go once its result is written
             stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        if before is not None:
+            delete(spark, before)
+        before = f"{base}/{name}"
+        docs = spark.read.parquet(before)
     return docs
