@@ -46,10 +46,6 @@ def _scc(g: str) -> str:
     return _reach(g) + "," + _SCC
 
 
-# between brands the modular graph has no way back, so its components lie inside the brands
-_MODULES = _reach("inside") + "," + _SCC
-
-
 def _big_scc(g: str) -> str:
     """The component of the busiest node by two plain searches, closures on the rest only."""
     return f"""
@@ -230,11 +226,11 @@ def strongly_connected(spark, folder):
 
 @query(
     "g04_condense",
-    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_MODULES}
-    SELECT DISTINCT a.scc_id AS src_scc, b.scc_id AS dst_scc FROM modular JOIN scc a ON a.id = src JOIN scc b ON b.id = dst WHERE a.scc_id <> b.scc_id""",
+    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_scc('latest')}
+    SELECT DISTINCT a.scc_id AS src_scc, b.scc_id AS dst_scc FROM latest JOIN scc a ON a.id = src JOIN scc b ON b.id = dst WHERE a.scc_id <> b.scc_id""",
 )
 def _(spark, folder):
-    n, e = _modular(spark, folder)
+    n, e = _latest(spark, folder)
     return cycles.condense(e, cycles.scc(n, e))
 
 
@@ -250,21 +246,21 @@ def _(spark, folder):
 
 @query(
     "a15_scc_summary",
-    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_MODULES}, s AS (SELECT scc_id, count(*) AS size FROM scc GROUP BY 1)
+    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_big_scc('peak')}, s AS (SELECT scc_id, count(*) AS size FROM scc GROUP BY 1)
     SELECT count(*) AS total_sccs, count(*) FILTER (size > 1) AS cyclic_sccs, max(size) AS largest_scc FROM s""",
 )
 def _(spark, folder):
-    return cycles.scc_summary(cycles.scc(*_modular(spark, folder)))
+    return cycles.scc_summary(cycles.scc(*_peak(spark, folder)))
 
 
 @query(
     "a15_largest_sccs",
-    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_MODULES},
+    f"""WITH RECURSIVE {NODE}, {PEAK_SQL}, {_big_scc('peak')},
     s AS (SELECT scc_id, count(*) AS size FROM scc GROUP BY 1 HAVING count(*) > 1 ORDER BY size DESC, scc_id LIMIT 5)
     SELECT scc_id, size, id FROM s JOIN scc USING (scc_id)""",
 )
 def _(spark, folder):
-    return cycles.largest_sccs(cycles.scc(*_modular(spark, folder)))
+    return cycles.largest_sccs(cycles.scc(*_peak(spark, folder)))
 
 
 @query(
@@ -296,9 +292,9 @@ def bounded_cycles(spark, folder):
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
 
 
-@query("g16_cycles_up_to_length_10", f"WITH RECURSIVE {MODULAR_SQL}, {_cycles_sql('inside', 10)}")
+@query("g16_cycles_up_to_length_10", f"WITH RECURSIVE {LATEST_SQL}, {_cycles_sql('latest', 10)}")
 def _(spark, folder):
-    n, e = _modular(spark, folder)
+    n, e = _latest(spark, folder)
     found = cycles.enumerate_cycles(e, cycles.scc(n, e), 10, self_loops=True)
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
 
@@ -433,11 +429,11 @@ _LAYERS = """
 
 @query(
     "g11_topological_layers",
-    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_MODULES}, {_LAYERS.replace('FROM latest', 'FROM modular')}
+    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_scc('latest')}, {_LAYERS}
     SELECT scc.id, layer FROM scc JOIN layer ON layer.id = scc_id""",
 )
 def topological_layers(spark, folder):
-    n, e = _modular(spark, folder)
+    n, e = _latest(spark, folder)
     return ordering.topological_layers(n, e, cycles.scc(n, e))
 
 
@@ -740,7 +736,7 @@ def _(spark, folder):
     ELSE to_json({{'id': id, 'label': name, 'parent': group_key}}) END::VARCHAR AS json FROM component""",
 )
 def _(spark, folder):
-    n, e = _modular(spark, folder)
+    n, e = _latest(spark, folder)
     c = saved(spark, cycles.scc(n, e))
     none = e.select("src", "dst").distinct().withColumn("transitive", F.lit(False))
     return snapshots.graph_document(components(spark, folder), e, cycles.cycle_edges(e, c), none)[0]

@@ -9,7 +9,7 @@ from strataweave.operators import communities, cycles, proposals, sentences, sna
 from strataweave.plans.catalog_graph import _SCC, NODE, _deg, _propagation, _reach
 from strataweave.plans.catalog_ingest import _LINE, PREFIX, _sboms
 from strataweave.plans.catalog_scope import C
-from strataweave.plans.graphs import MODULAR_SQL, PEAK_SQL, modular_edges, part_nodes, peak_edges, table
+from strataweave.plans.graphs import LATEST_SQL, MODULAR_SQL, PEAK_SQL, latest_edges, modular_edges, part_nodes, peak_edges, table
 from strataweave.plans.inputs import COMPONENT_SQL, MEMBERSHIP_SQL, components, layout, saved
 from strataweave.plans.registry import query
 from strataweave.scratch import Scratch
@@ -239,13 +239,13 @@ def span_structure(spark, folder):
 
 
 def _graph(spark, folder):
-    n, e = saved(spark, part_nodes(spark, folder)), saved(spark, modular_edges(spark, folder))
+    n, e = saved(spark, part_nodes(spark, folder)), saved(spark, latest_edges(spark, folder))
     return n, e, components(spark, folder)
 
 
 @query(
     "b01_b07_cycle_breaks",
-    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_deg("modular")}, {_reach("inside")}, {_SCC}, {COMPONENT_SQL},
+    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, {_deg("latest")}, {_reach("latest")}, {_SCC}, {COMPONENT_SQL},
     m AS (SELECT scc_id, count(*) AS size, avg(coupling_score) AS mc, string_agg(key, ' -> ' ORDER BY key) AS members, list_sort(list(key)) AS ks
           FROM scc JOIN metric USING (id) JOIN component USING (id) WHERE scc_size > 1 GROUP BY 1)
     SELECT CAST(scc_id AS VARCHAR) AS subject, size, round(mc, 6)::DOUBLE AS mean_coupling, 'Break cyclic dependency involving ' || size || ' services' AS summary,
@@ -278,7 +278,7 @@ _HIGH = """
     SELECT key AS subject, fan_in + 1 AS size, round(coupling_score, 6)::DOUBLE AS mean_coupling, 'Stabilize API for ' || key || ' (' || fan_in || ' consumers)' AS summary, fan_in AS fan_in_before, fan_out AS fan_out_before FROM high""",
 )
 def _(spark, folder):
-    n, e, nodes = _graph(spark, folder)
+    n, e, nodes = part_nodes(spark, folder), saved(spark, modular_edges(spark, folder)), components(spark, folder)
     out = proposals.api_stabilisations(nodes, adj.node_degrees(n, e))
     return out.select("subject", "size", F.round("mean_coupling", 6).alias("mean_coupling"), "summary", "fan_in_before", "fan_out_before")
 
@@ -307,7 +307,7 @@ _BACKLOG = f"""
       CASE WHEN size >= 5 OR mc >= 10 THEN 'high' WHEN size >= 3 OR mc >= 5 THEN 'medium' ELSE 'low' END AS impact,
       CASE k WHEN 0 THEN CASE WHEN size <= 3 THEN 'medium' ELSE 'high' END WHEN 1 THEN CASE WHEN size <= 5 THEN 'low' ELSE 'medium' END ELSE 'medium' END AS risk FROM numbered)"""
 
-_BACKLOG_FROM = f"WITH RECURSIVE {NODE}, {MODULAR_SQL}, {_deg('modular')}, {_reach('inside')}, {_SCC}, {COMPONENT_SQL}, {_HIGH}, {_propagation('modular', 10)}, {_BACKLOG}"
+_BACKLOG_FROM = f"WITH RECURSIVE {NODE}, {LATEST_SQL}, {_deg('latest')}, {_reach('latest')}, {_SCC}, {COMPONENT_SQL}, {_HIGH}, {_propagation('latest', 10)}, {_BACKLOG}"
 
 
 @query(
@@ -335,7 +335,7 @@ def _(spark, folder):
 @query(
     "b08_proposal_scope",
     f"""{_BACKLOG_FROM},
-    users AS (SELECT proposal_id, s.key, row_number() OVER (PARTITION BY proposal_id ORDER BY s.key) AS r FROM backlog JOIN component t ON t.key = subject JOIN modular ON dst = t.id JOIN component s ON s.id = src WHERE proposal_type = 'api_stabilization'),
+    users AS (SELECT proposal_id, s.key, row_number() OVER (PARTITION BY proposal_id ORDER BY s.key) AS r FROM backlog JOIN component t ON t.key = subject JOIN latest ON dst = t.id JOIN component s ON s.id = src WHERE proposal_type = 'api_stabilization'),
     mates AS (SELECT proposal_id, key, row_number() OVER (PARTITION BY proposal_id ORDER BY key) AS r FROM backlog JOIN p10 ON CAST(community AS VARCHAR) = subject JOIN component USING (id) WHERE proposal_type = 'boundary_redefinition')
     SELECT proposal_id, key FROM backlog JOIN scc ON CAST(scc_id AS VARCHAR) = subject AND scc_size > 1 JOIN component USING (id) WHERE proposal_type = 'cycle_break'
     UNION ALL SELECT proposal_id, subject FROM backlog WHERE proposal_type = 'api_stabilization' UNION ALL SELECT proposal_id, key FROM users WHERE r <= 5 UNION ALL SELECT proposal_id, key FROM mates WHERE r <= 10""",
@@ -384,15 +384,14 @@ def _(spark, folder):
 
 @query(
     "b10_cycles_before_after",
-    f"""WITH RECURSIVE {NODE}, {MODULAR_SQL}, kept AS MATERIALIZED (
-      SELECT DISTINCT m.src, m.dst FROM modular_scoped m JOIN inside i ON i.src = m.src AND i.dst = m.dst WHERE scope = 'compile'),
-    ra AS (SELECT src, dst FROM inside UNION SELECT r.src, e.dst FROM ra r JOIN inside e ON r.dst = e.src),
+    f"""WITH RECURSIVE {NODE}, {LATEST_SQL}, kept AS MATERIALIZED (SELECT DISTINCT src, dst FROM latest_scoped WHERE scope = 'compile'),
+    ra AS (SELECT src, dst FROM latest UNION SELECT r.src, e.dst FROM ra r JOIN latest e ON r.dst = e.src),
     rb AS (SELECT src, dst FROM kept UNION SELECT r.src, e.dst FROM rb r JOIN kept e ON r.dst = e.src),
     ca AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS c FROM ra a JOIN ra b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY 1),
     cb AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS c FROM rb a JOIN rb b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY 1),
     x AS (SELECT 'cyclic_sccs' AS metric, (SELECT count(DISTINCT c) FROM ca) AS before, (SELECT count(DISTINCT c) FROM cb) AS after
       UNION ALL SELECT 'cyclic_nodes', (SELECT count(*) FROM ca), (SELECT count(*) FROM cb)
-      UNION ALL SELECT 'largest_scc', (SELECT max(n) FROM (SELECT count(*) AS n FROM ca GROUP BY c)), (SELECT max(n) FROM (SELECT count(*) AS n FROM cb GROUP BY c)))
+      UNION ALL SELECT 'largest_scc', (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM ca GROUP BY c)), (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM cb GROUP BY c)))
     SELECT metric, before, after, after - before AS delta FROM x""",
 )
 def _(spark, folder):

@@ -6,7 +6,8 @@ order; it is mostly one large cycle. The modular graph has the same pairs, but a
 the smaller brand to the larger one, so brands are modules with cycles inside and an order between them. The directed
 graph has the same pairs, each pointing to the larger part: acyclic. The latest graph keeps, per part, the pairs of its
 latest order only (its current release): it is for operators whose result is sources x reach (all-pairs distances,
-betweenness, redundant edges).
+betweenness, redundant edges), and for condensation, layers and the backlog, whose components take many rounds on the
+modular graph.
 """
 
 from __future__ import annotations
@@ -117,9 +118,7 @@ modular_scoped AS (
   SELECT DISTINCT CASE WHEN a.p_brand <= b.p_brand THEN src ELSE dst END AS src,
          CASE WHEN a.p_brand <= b.p_brand THEN dst ELSE src END AS dst, scope
   FROM peak_scoped JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst),
-modular AS MATERIALIZED (SELECT DISTINCT src, dst FROM modular_scoped),
-inside AS MATERIALIZED (
-  SELECT src, dst FROM modular JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand = b.p_brand)"""
+modular AS MATERIALIZED (SELECT DISTINCT src, dst FROM modular_scoped)"""
 PEAK_SQL = f"{_LISTED},{_PEAK}"
 MODULAR_SQL = f"{PEAK_SQL},{_MODULAR}"
 DIRECTED_SQL = PEAK_SQL + ",\ndirected AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM peak)"

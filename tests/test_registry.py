@@ -14,7 +14,7 @@ FAST = [
     "g18_g19_g20_node_degrees", "l03_j03_layer_violations", "p01_p02_classify_statements", "p08_j12_span_structure",
     "s08_pom_dependencies", "t08_t09_sbom_components", "t17_link_projects", "v07_j14_snapshot_delta", "x02_activity_stream",
     "g05_cycle_edges", "g36_scc_ranking", "l03_cycle_warnings", "x01_ingest_stream",
-    "g04_condense", "g11_topological_layers", "g15_enumerate_cycles", "b08_run_rows", "b10_cycles_before_after",
+    "g04_condense", "g15_enumerate_cycles", "b08_run_rows", "b10_cycles_before_after",
     "s02_s11_sbom_files", "s12_listing_files", "v03_duplicate_tables", "g32_graph_nodes", "l01_j09_rules_of_a_table",
 ]
 
