@@ -3,7 +3,7 @@
 Loops over a graph take as many rounds as its paths are long. A long path of nodes with one predecessor and one
 successor carries no choice, so it is contracted by pointer jumping: every chain node points at its successor, and each
 round doubles how far the pointers reach, so a chain of n nodes ends after log2(n) rounds. What the contraction leaves
-may have chains again (two parallel chains become one edge), so it is repeated until none are left.
+may have chains again (two parallel chains become one edge), so it is repeated until few are left.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, skew_join
 
-FEW = 64  # so many chain nodes are at most this many hops, which cost less than a contraction
+# so many chain nodes, or chains of so many steps, are hops that cost less than a contraction
+FEW, SHORT = 64, 16
 
 
 @dataclass
@@ -67,7 +68,7 @@ def _jump(inner: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _contract_once(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Level] | None:
-    """``edges(src, dst, steps)`` without the chains there are now, or None if there are few chain nodes."""
+    """``edges(src, dst, steps)`` without the chains there are now, or None if there are few or only short ones."""
     inner = scratch.save(_degrees(edges).where("o = 1 AND i = 1 AND NOT loop").select("id"))
     if inner.count() < FEW:
         scratch.drop(inner)
@@ -76,6 +77,8 @@ def _contract_once(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Level
     into = edges.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")
     links = out.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")
     state = _jump(inner, links.select(F.col("src").alias("id"), F.col("dst").alias("next"), "steps"), scratch)
+    if (state.agg(F.max("steps")).first()[0] or 0) < SHORT:
+        return None
     leaving = out.join(inner.withColumnRenamed("id", "dst"), "dst", "left_anti")
     entering = into.join(inner.withColumnRenamed("id", "src"), "src", "left_anti")
     # a chain is named by its last node; its first one is entered from the head

@@ -222,6 +222,7 @@ def test_long_chain_and_ring_end_in_few_rounds(spark, monkeypatch):
 def test_chains_against_closures(spark, monkeypatch, seed):
     """Paths, rings and loops in sparse graphs: components, waves and what lies after a cycle."""
     monkeypatch.setattr("strataweave.operators.chains.FEW", 1)
+    monkeypatch.setattr("strataweave.operators.chains.SHORT", 0)
     r = random.Random(seed)
     size = 24
     pairs = {(r.randrange(size), r.randrange(size)) for _ in range(14 + 3 * seed)} | {(i, i + 1) for i in range(5, 12)}
