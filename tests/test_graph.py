@@ -261,3 +261,25 @@ def test_sketched_closeness_is_near_the_exact_one(spark):
     assert mean < 0.02
     lonely = centrality.closeness_sketched(spark.range(3).select("id"), e.limit(0))
     assert rows(lonely, "id", "score", "reached") == [(i, 0.0, 1) for i in range(3)]
+
+
+def test_dense_graphs_are_searched_by_few_of_their_edges(spark, monkeypatch):
+    r = random.Random(11)
+    inside = lambda lo, hi, m: {(r.randrange(lo, hi), r.randrange(lo, hi)) for _ in range(m)}
+    # two dense components, one way between them, a dense part without cycles, and a ring that few edges do not show
+    pairs = inside(0, 60, 2500) | inside(60, 100, 1200) | {(a, b) for a, b in inside(0, 100, 1500) if a < b}
+    pairs |= {(min(p) + 100, max(p) + 100) for p in inside(0, 40, 900) if p[0] != p[1]}
+    pairs |= {(200, 201), (201, 202), (202, 200), (99, 200), (202, 300)}
+    e = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in sorted(pairs)], "src string, dst string")
+    n = spark.createDataFrame([("lonely",)], "id string")
+    spread_over = []
+    plain = cycles.spread
+    monkeypatch.setattr(cycles, "spread", lambda seeds, edges, *a, **k: spread_over.append(edges.count()) or plain(seeds, edges, *a, **k))
+    found = {x["id"]: (x["scc_id"], x["scc_size"]) for x in cycles.scc(n, e, dense=500).collect()}
+    assert spread_over and max(spread_over) < len(pairs)  # both ways of all edges would be twice as many
+    reach = closure(301, pairs)
+    ids = sorted({x for p in pairs for x in p})
+    for i in ids:
+        mates = [j for j in ids if j == i or (j in reach[i] and i in reach[j])]
+        assert found[f"n{i:03}"] == (f"n{mates[0]:03}", len(mates))
+    assert found["lonely"] == ("lonely", 1) and len(found) == len(ids) + 1
