@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +244,16 @@ def test_domain_names(spark):
     names = ["payment-domain", "common-auth", "order-service-x", "plain"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(reports.domain_name(F.col("n")).alias("d"))
     assert [r.d for r in df.collect()] == ["payment", "auth", "order", "plain"]
+
+
+def test_witnesses_broadcast_no_component_tables(case):
+    nodes, member, definitions, edges = case
+    found = intent.resolve_sets(definitions, nodes, member)
+    st = nodes.sparkSession.createDataFrame(
+        [("containment", "Listed", "payment-domain"), ("coverage", "*", "teams"), ("exclusion", "Listed", "Domains")],
+        "type string, first string, second string",
+    )
+    bad = intent.statement_witnesses(st, found, member, nodes, edges)
+    plan = bad._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[[^\]]*\b(id|src|dst)#", plan) is None and "SortMergeJoin" in plan
+    assert bad.count() > 0
