@@ -283,3 +283,16 @@ def test_dense_graphs_are_searched_by_few_of_their_edges(spark, monkeypatch):
         mates = [j for j in ids if j == i or (j in reach[i] and i in reach[j])]
         assert found[f"n{i:03}"] == (f"n{mates[0]:03}", len(mates))
     assert found["lonely"] == ("lonely", 1) and len(found) == len(ids) + 1
+
+
+def test_a_round_of_labels_is_shuffled_once(spark):
+    _, e, _ = random_graph(spark, 300, 3000, 5)
+    scratch = communities.Scratch(spark, "test")
+    outward, hot = communities._outward(adj.undirected(e).where("src <> dst"), scratch)
+    state = scratch.save(e.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    votes = communities._sent(state.hint("merge"), outward, hot).groupBy("id", "community").agg(F.count("*").alias("n"))
+    choice = votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("pick"))
+    choice.write.format("noop").mode("overwrite").save()
+    plan = choice._jdf.queryExecution().executedPlan().toString()
+    assert hot is None and plan.count("Exchange hashpartitioning") <= 2  # the state's, by id, and the messages'
+    scratch.clear()
