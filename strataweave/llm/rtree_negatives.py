@@ -152,10 +152,15 @@ class Search:
         self.own = list(zip(anchors.column("own_tile").to_pylist(), anchors.column("place").to_pylist()))
         self.values = _matrix(anchors.column("v")).astype(np.float64)
         self.windows = [[(w["low"], w["high"]) for w in ws] for ws in anchors.column("windows").to_pylist()]
-        self.best = [[[] for _ in ws] for ws in self.windows]  # heaps of (score, -id, -tile, -place)
+        self.heaps = [[[] for _ in ws] for ws in self.windows]  # heaps of (score, -id, -tile, -place)
         self.same, self.k, self.leaf = same, k, leaf
         self.opened = 0
 
+    @property
+    def best(self) -> list[list[tuple]]:
+        """The best rows so far of every anchor, over all its windows."""
+        return [[entry for heap in heaps for entry in heap] for heaps in self.heaps]
+
     def take(self, number: int, group: pa.Table) -> None:
         tree = Tree(
             group.column("place").to_numpy(), group.column("vec_id").to_numpy(), group.column("label").to_numpy(),
@@ -164,7 +169,7 @@ class Search:
         least, most = tree.intervals(self.values)
         for i, windows in enumerate(self.windows):
             known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for (low, high), best in zip(windows, self.best[i]):
+            for (low, high), best in zip(windows, self.heaps[i]):
                 self._walk(tree, number, i, low, high, best, least[i], most[i], known)
 
     def _walk(self, tree, number, i, low, high, best, least, most, known) -> None:
@@ -200,7 +205,7 @@ class Search:
     def result(self) -> Iterator[pa.RecordBatch]:
         found = [
             (number, w, -entry[1], entry[0], -entry[2], -entry[3])
-            for number, heaps in zip(self.number.tolist(), self.best)
+            for number, heaps in zip(self.number.tolist(), self.heaps)
             for w, best in enumerate(heaps)
             for entry in best
         ]
