@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.functions.text import blank_to_null, parent_path, purl_base, purl_group, purl_parts, purl_version
+from strataweave.functions.text import blank_to_null, parent_path, purl_base, purl_group, purl_parts, purl_pieces, purl_version
 from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, skew_join
 
@@ -50,15 +50,24 @@ def _once(docs: DataFrame, parsed: Column, name: str) -> DataFrame:
 # ---- SBOM ---------------------------------------------------------------------------------
 
 
-def parse_sboms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) of ``(doc, text)``; a document that is not JSON is a reject."""
+def parsed_sboms(docs: DataFrame) -> DataFrame:
+    """(doc, b) of ``(doc, text)``: what the JSON says, for :func:`split_sboms`."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = _once(docs, F.from_json("text", SBOM_SCHEMA, options), "b")
+    return _once(docs, F.from_json("text", SBOM_SCHEMA, options), "b")
+
+
+def split_sboms(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of :func:`parsed_sboms`."""
     good = parsed.where("b IS NOT NULL AND b._corrupt IS NULL").select("doc", "b.components", "b.dependencies")
     bad = parsed.where("b IS NULL OR b._corrupt IS NOT NULL").select("doc", F.lit("unreadable document").alias("error"))
     return good, bad
 
 
+def parse_sboms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of ``(doc, text)``; a document that is not JSON is a reject."""
+    return split_sboms(parsed_sboms(docs))
+
+
 def read_sboms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_sboms(documents(spark, path, "*.json"))
 
@@ -77,13 +86,16 @@ def sbom_packages(docs: DataFrame, internal_prefix: str | None = None) -> DataFr
         F.coalesce(F.nullif(purl_version(ref), F.lit("")), F.col("c.version"), F.lit("")).alias("version"),
         F.col("c.scope").alias("scope"),
     )
-    parts, group = purl_parts(F.col("purl_key")), purl_group(F.col("purl_key"), internal_prefix)
+    # a column of its own, so that a package URL is cut once and not for every part that is taken from it
+    base = base.withColumn("_pieces", purl_pieces(F.col("purl_key")))
+    pieces = F.col("_pieces")
+    parts, group = purl_parts(F.col("purl_key"), pieces), purl_group(F.col("purl_key"), internal_prefix, pieces)
     internal = F.lit(False)
     if internal_prefix:
         head = internal_prefix.rsplit("@", 1)[0]
         internal = F.startswith(F.col("purl_key"), F.lit(head))
     return base.select(
-        "*",
+        *[c for c in base.columns if c != "_pieces"],
         parts["namespace"].alias("maven_group_id"),
         parts["artifact"].alias("artifact_id"),
         group["full_name"].alias("name"),
@@ -107,8 +119,12 @@ def sbom_components(packages: DataFrame) -> DataFrame:
 def package_key(purl: Column) -> Column:
     """Component key of a version-less package URL: ``group:artifact``, else its name."""
     parts = purl_parts(purl)
-    both = F.concat_ws(":", parts["namespace"], parts["artifact"])
-    return F.when(parts["namespace"].isNotNull(), both).otherwise(F.coalesce(parts["artifact"], purl))
+    return coordinate_key(parts["namespace"], parts["artifact"], purl)
+
+
+def coordinate_key(namespace: Column, artifact: Column, purl: Column) -> Column:
+    """:func:`package_key` of a package URL whose parts are known."""
+    return F.when(namespace.isNotNull(), F.concat_ws(":", namespace, artifact)).otherwise(F.coalesce(artifact, purl))
 
 
 def package_pairs(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strataweave.operators.reports import activity_bucket
-from strataweave.sources.documents import package_key, package_pairs, parse_sboms, sbom_packages
+from strataweave.scratch import Scratch
+from strataweave.sources.documents import coordinate_key, package_key, package_pairs, parsed_sboms, sbom_packages, split_sboms
 from strataweave.sources.tables import append
 
 FIELDS = ["name", "version", "internal", "group_key"]
@@ -35,14 +36,15 @@ def ingest_sboms(stream: DataFrame, target: str, checkpoint: str, internal_prefi
     """
 
     def batch(docs: DataFrame, number: int) -> None:
-        docs.persist()
-        good, bad = parse_sboms(docs)
+        # parsed once and written, as a batch may hold far more text than the executors' memory
+        scratch = Scratch(docs.sparkSession, "batch")
+        good, bad = split_sboms(scratch.save(parsed_sboms(docs)))
         append(first_packages(good, internal_prefix).withColumn("batch", F.lit(number)), f"{target}/component")
         pairs = package_pairs(good).select(package_key(F.col("src")).alias("src"), package_key(F.col("dst")).alias("dst"))
         rows = pairs.select("src", "dst", F.lit("compile").alias("scope"), F.lit(1).alias("weight"))
         append(rows.withColumn("batch", F.lit(number)), f"{target}/dependency")
         append(bad.withColumn("batch", F.lit(number)), f"{target}/reject")
-        docs.unpersist()
+        scratch.clear()
 
     return (
         stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -51,7 +53,8 @@ def ingest_sboms(stream: DataFrame, target: str, checkpoint: str, internal_prefi
 
 def first_packages(docs: DataFrame, internal_prefix: str | None = None) -> DataFrame:
     """(key, seen, name, version, internal, group_key): each package's first row, with where it was seen."""
-    rows = sbom_packages(docs, internal_prefix).withColumn("key", package_key(F.col("purl_key")))
+    rows = sbom_packages(docs, internal_prefix)
+    rows = rows.withColumn("key", coordinate_key(F.col("maven_group_id"), F.col("artifact_id"), F.col("purl_key")))
     first = F.min(F.struct(F.struct("doc", "pos").alias("seen"), *FIELDS))
     return rows.groupBy("key").agg(first.alias("f")).select("key", "f.*")
 

@@ -136,6 +136,16 @@ def test_sbom_files(spark, tmp_path):
     assert bad.count() == 1
 
 
+def test_package_urls_are_cut_once(spark):
+    rows = [("1", '{"components": [{"bom-ref": "pkg:maven/org.x.y/a@1@2"}, {"bom-ref": "pkg:npm/b@"}, {"bom-ref": "c@3"}]}')]
+    good, _ = docs.parse_sboms(spark.createDataFrame(rows, "doc string, text string"))
+    found = jobs.first_packages(good, "pkg:maven/org.x")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted((r.key, r.name, r.version, r.group_key) for r in found.collect()) == [
+        ("b", "b", "", None), ("c", "c", "3", None), ("org.x.y:a", "org.x.y.a", "2", "y"),
+    ]
+
+
 def test_pom_files(spark, tmp_path):
     for name, body in {
         "one": "<parent><groupId>org.p</groupId></parent><artifactId>one</artifactId><modules><module>m</module></modules>"
