@@ -296,3 +296,17 @@ def test_a_round_of_labels_is_shuffled_once(spark):
     plan = choice._jdf.queryExecution().executedPlan().toString()
     assert hot is None and plan.count("Exchange hashpartitioning") <= 2  # the state's, by id, and the messages'
     scratch.clear()
+
+
+def test_dense_graphs_are_contracted_by_some_of_their_links(spark):
+    r = random.Random(5)
+    # two dense parts, a thin tail on the smaller one and a node alone
+    pairs = {(r.randrange(0, 30), r.randrange(0, 30)) for _ in range(600)} | {(r.randrange(40, 70), r.randrange(40, 70)) for _ in range(600)}
+    pairs |= {(i, i + 1) for i in range(69, 80)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    got = clusters.connected_components(spark.range(90).select("id"), e, dense=1)
+    owner = {i: i for i in range(90)}
+    for _ in range(90):
+        for a, b in pairs:
+            owner[a] = owner[b] = min(owner[a], owner[b])
+    assert rows(got, "id", "component") == sorted(owner.items())
