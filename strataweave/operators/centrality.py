@@ -10,6 +10,9 @@ from strataweave.operators.ordering import topological_layers, topological_order
 from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, skew_join
 
+# links that one bucket holds at most, unless there are as few buckets as cores
+BUCKET_LINKS = 50_000_000
+
 
 def betweenness(
     nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, batches: int = 1
@@ -167,23 +170,34 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, iterations: int = 20) -> Dat
 
     Each sweep adds the node's own score (shifted iteration), which keeps bipartite parts from
     oscillating and leaves the dominant direction unchanged.
+
+    Links are a table bucketed by source that the sweeps join without a shuffle, in as few buckets as their size and the
+    cores allow: what a bucket sends to a node is summed before it is shuffled, so a sweep moves at most one row for
+    each bucket and node, however many links there are.
     """
-    scratch = Scratch(edges.sparkSession, "eigenvector")
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "eigenvector")
     ids = scratch.save(node_ids(nodes, edges))
     links = scratch.save(simple_edges(edges))
     hot = hot_keys(links, "src")
-    outward = links.withColumnRenamed("src", "id")
-    hot = None if hot is None else hot.withColumnRenamed("src", "id")
     n = ids.count()
-    score = scratch.save(ids.withColumn("score", F.lit(1.0 / n**0.5)))
+    if n == 0:
+        return ids.withColumn("score", F.lit(0.0))
+    buckets = max(spark.sparkContext.defaultParallelism, -(-links.count() // BUCKET_LINKS))
+    outward = links.select(F.col("src").alias("id"), "dst")
+    if hot is None:
+        outward = scratch.save_bucketed(outward.repartition(buckets, "id"), "id", buckets)
+        scratch.drop(links)
+    else:
+        hot = hot.withColumnRenamed("src", "id")
+    raw, norm = scratch.save(ids.withColumn("score", F.lit(1.0 / n**0.5))), 1.0
     for _ in range(iterations):
+        score = raw.select("id", (F.col("score") / norm).alias("score"))
         sent = skew_join(score, outward, "id", hot_right=hot).select(F.col("dst").alias("id"), "score")
-        raw = score.unionByName(sent).groupBy("id").agg(F.sum("score").alias("score"))
-        raw = scratch.save(raw)
+        step = score.unionByName(sent).groupBy("id").agg(F.sum("score").alias("score"))
+        raw = scratch.save(step, replaces=raw)
         norm = raw.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).scalar()
-        score = scratch.save(raw.select("id", (F.col("score") / norm).alias("score")), replaces=score)
-        scratch.drop(raw)
-    return score
+    return raw.select("id", (F.col("score") / norm).alias("score"))
 
 
 def all_metrics(

@@ -310,3 +310,17 @@ def test_dense_graphs_are_contracted_by_some_of_their_links(spark):
         for a, b in pairs:
             owner[a] = owner[b] = min(owner[a], owner[b])
     assert rows(got, "id", "component") == sorted(owner.items())
+
+
+def test_eigenvector_reads_links_from_buckets(spark, monkeypatch):
+    made = []
+    save = centrality.Scratch.save_bucketed
+    monkeypatch.setattr(centrality.Scratch, "save_bucketed", lambda self, df, key, n: made.append((key, n)) or save(self, df, key, n))
+    n, e, pairs = random_graph(spark, 12, 40, 4)
+    got = dict(rows(centrality.eigenvector(n, e, 3), "id", "score"))
+    assert made == [("id", spark.sparkContext.defaultParallelism)]
+    v = {i: 1.0 for i in range(12)}
+    for _ in range(3):
+        v = {i: v[i] + sum(v[a] for a, b in pairs if b == i) for i in v}
+    length = math.sqrt(sum(x * x for x in v.values()))
+    assert all(math.isclose(got[i], v[i] / length, rel_tol=1e-9) for i in v)
