@@ -144,12 +144,17 @@ def latest(rows: DataFrame, key: str, when: str) -> DataFrame:
 
 
 def longest_prefix(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """(file, project): the project whose path is the longest prefix of the file's path."""
-    steps = files.select("file", F.posexplode(prefixes(F.col("file"), "/")).alias("depth", "path"))
-    hit = skew_join(
-        steps, projects.select("path", "project"), "path", hot_left=hot_keys(steps, "path")
-    )
-    return hit.groupBy("file").agg(F.max_by("project", F.struct("depth", "project")).alias("project"))
+    """(file, project): the project whose path is the longest prefix of the file's path.
+
+    Files are dealt before their prefixes are listed, as one scan task may hold most of them, and only the depth of the
+    longest prefix is aggregated: numbers fit a hash aggregate, while names would be sorted.
+    """
+    named = projects.groupBy("path").agg(F.max("project").alias("project"))
+    steps = files.select("file").repartition("file").select("file", F.posexplode(prefixes(F.col("file"), "/")).alias("depth", "path"))
+    hit = skew_join(steps, named.select("path"), "path", "left_semi", hot_left=hot_keys(steps, "path"))
+    deepest = hit.groupBy("file").agg(F.max("depth").alias("depth"))
+    deepest = deepest.select("file", F.expr("substring_index(file, '/', depth + 1)").alias("path"))
+    return skew_join(deepest, named, "path", hot_left=hot_keys(deepest, "path")).select("file", "project")
 
 
 def link_projects(poms: DataFrame, projects: DataFrame) -> DataFrame:
@@ -158,7 +163,7 @@ def link_projects(poms: DataFrame, projects: DataFrame) -> DataFrame:
     ``poms(file, key, scm)``, ``projects(project, path, linked_key)``. The smallest key wins
     when several components point at one project.
     """
-    by_path = longest_prefix(poms.select("file").distinct(), projects).withColumnRenamed("project", "_p")
+    by_path = longest_prefix(poms, projects).withColumnRenamed("project", "_p")
     by_scm = projects.select(F.col("path").alias("_scm"), F.col("project").alias("_s"))
     placed = poms.withColumn("_scm", scm_path(F.col("scm"))).join(by_path, "file", "left")
     linked = placed.where("_scm IS NOT NULL").join(by_scm, "_scm", "left")

@@ -136,6 +136,25 @@ def test_sbom_files(spark, tmp_path):
     assert bad.count() == 1
 
 
+def test_sbom_files_are_opened_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"components":[{"bom-ref":"a@1"}]}')
+    (tmp_path / "b.json").write_text("{not json")
+    good, bad = docs.read_sboms(spark, str(tmp_path))
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).unlink()
+    assert [r.doc.rsplit("/", 1)[1] for r in good.unionByName(bad, allowMissingColumns=True).orderBy("doc").collect()] == ["a.json", "b.json"]
+
+
+def test_longest_prefix_deals_files_first(spark):
+    files = [("a/b/c/x",), ("a/b/c/x",), ("a/q",), ("a",), ("z/b",), ("", ), (None,), ("n/m/x",)]
+    paths = [("1", "a"), ("2", "a/b"), ("3", "a/b"), (None, "a/b"), ("4", "a/bc"), ("5", None), (None, "n/m"), ("6", "n")]
+    files, projects = spark.createDataFrame(files, "file string"), spark.createDataFrame(paths, "project string, path string")
+    found = linking.longest_prefix(files, projects)
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "1"), ("a/b/c/x", "3"), ("a/q", "1"), ("n/m/x", None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "RepartitionByExpression [file" in plan
+
+
 def test_package_urls_are_cut_once(spark):
     rows = [("1", '{"components": [{"bom-ref": "pkg:maven/org.x.y/a@1@2"}, {"bom-ref": "pkg:npm/b@"}, {"bom-ref": "c@3"}]}')]
     good, _ = docs.parse_sboms(spark.createDataFrame(rows, "doc string, text string"))
