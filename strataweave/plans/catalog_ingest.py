@@ -64,18 +64,20 @@ def _(spark, folder):
 def sbom_files(spark, folder):
     """One SBOM file for each supplier, written and read as whole files; of every fifth the list is no list.
 
-    The rejects go to the sink and are read back from it.
+    The rejects go to the sink and are read back from it. A file costs more than its rows, so the files are dealt to all
+    cores, however few bytes they hold.
     """
     place = Scratch(spark, "sbom-files").base
+    tasks = 4 * spark.sparkContext.defaultParallelism
     line = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct()
     ref = F.concat(F.lit("pkg:maven/org.shop.brand"), F.col("l_suppkey").cast("string"), F.lit("/part-"), F.col("l_partkey").cast("string"))
     item = F.struct(F.concat(ref, F.lit("@1")).alias("bom-ref"), F.lit("x").alias("name"), F.lit("1").alias("version"))
     fine = F.col("l_suppkey") % 5 != 0
     # a document lists what one supplier delivers
     listed = line.where(fine).groupBy(F.col("l_suppkey").alias("supplier")).agg(F.collect_list(item).alias("components"))
-    listed.write.partitionBy("supplier").json(f"{place}/in")
+    listed.repartition(tasks, "supplier").write.partitionBy("supplier").json(f"{place}/in")
     wrong = line.where(~fine).select(F.col("l_suppkey").alias("supplier"), F.lit("no list").alias("components")).distinct()
-    wrong.write.mode("append").partitionBy("supplier").json(f"{place}/in")
+    wrong.repartition(tasks, "supplier").write.mode("append").partitionBy("supplier").json(f"{place}/in")
     good, bad = docs.read_sboms(spark, f"{place}/in")
     tables.save_rejects(bad, f"{place}/rejects")
     rejects = spark.read.schema("doc string, error string").json(f"{place}/rejects")

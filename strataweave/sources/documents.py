@@ -69,7 +69,8 @@ def parse_sboms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_sboms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_sboms(documents(spark, path, "*.json"))
+    """(documents, rejects) of the JSON files below ``path``, which are opened and parsed once."""
+    return split_sboms(Scratch(spark, "sboms").save(parsed_sboms(documents(spark, path, "*.json"))))
 
 
 def sbom_packages(docs: DataFrame, internal_prefix: str | None = None) -> DataFrame:
