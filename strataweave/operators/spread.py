@@ -12,6 +12,8 @@ from strataweave.skew import hot_keys, skew_join
 
 _KEEP = {"min": F.min, "max": F.max}
 HOPS = 8  # hops per written table; the first tables hold fewer, for graphs that settle early
+# edge tables of so many rows are bucketed, and so many rows make a bucket unless there are fewer buckets than cores
+BUCKETED, BUCKET_ROWS = 200_000, 20_000_000
 
 
 def _with_self(edges: DataFrame, ids: DataFrame, scratch: Scratch, steps: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -89,56 +91,69 @@ def spread(
     return state.select(*ident, "value")
 
 
+def _rows_of(linked: DataFrame, hot: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, int | None]:
+    """Rows of :func:`_with_self` that rounds join; of many rows without hot ids a table bucketed by id, and its buckets."""
+    rows = linked.count()
+    if rows < BUCKETED or hot is not None:
+        return linked, None
+    buckets = max(linked.sparkSession.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
+    bucketed = scratch.save_bucketed(linked.repartition(buckets, "id"), "id", buckets)
+    scratch.drop(linked)
+    return bucketed, buckets
+
+
 def waves(ids: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """(id, wave): longest path from a node without in-edges; null on or after a cycle.
 
     A node is settled once all its predecessors are; its wave is the largest of theirs plus the steps of the
-    edge, one unless ``edges`` has a column ``steps`` (then no edge may occur twice). Whenever half of the open nodes are settled, edges into settled nodes leave the table.
+    edge, one unless ``edges`` has a column ``steps`` (then no edge may occur twice). A node sends once, in the hop after
+    it was settled, and nodes count what they got, so all hops together send every edge once. Large edge tables are
+    bucketed and joined without a shuffle. Whenever half of the open nodes are settled, edges that were used leave the table.
     """
     scratch = Scratch(edges.sparkSession, "waves")
     if "steps" not in edges.columns:
         edges = edges.select("src", "dst", F.lit(1).alias("steps"))
     outward, hot = _with_self(edges.select("src", "dst", "steps"), ids, scratch, steps=True)
-    everyone = outward.where("me").select("id")
-    state = everyone.select("id", F.lit(None).cast("long").alias("wave"))
+    needs = outward.groupBy(F.col("dst").alias("id")).agg(F.count_if(~F.col("me")).alias("need"))
+    none = F.lit(0).cast("long")
+    state = scratch.save(needs.select("id", "need", none.alias("got"), none.alias("after"), (F.col("need") == 0).alias("fresh")))
     settled: list[DataFrame] = []
-    open_nodes = carried = None
+    carried = open_nodes = state.count()
+    outward, buckets = _rows_of(outward, hot, scratch)
     todo = 1
     while True:
         step = state
         todo = min(2 * todo, hops)
         for _ in range(todo):
-            sent = skew_join(step, outward, "id", hot_right=hot)
-            after = F.when(F.col("me"), F.lit(0).cast("long")).otherwise(F.col("wave") + F.col("steps"))
-            step = sent.groupBy(F.col("dst").alias("id")).agg(
-                F.max(after).alias("after"),
-                F.max(F.when(F.col("me"), F.col("wave"))).alias("own"),
-                F.max(~F.col("me") & F.col("wave").isNull()).alias("waits"),
+            front = step if buckets is None else step.hint("shuffle_hash")
+            sent = skew_join(front, outward, "id", hot_right=hot).where("me OR fresh").select(
+                F.col("dst").alias("id"), "me", F.when(F.col("me"), F.col("need")).alias("need"),
+                F.when(F.col("me"), F.col("got")).otherwise(1).alias("got"), (F.col("after") + F.col("steps")).alias("after"),
             )
-            step = step.select(
-                "id",
-                F.coalesce("own", F.when(~F.col("waits"), F.col("after"))).alias("wave"),
+            if buckets is not None:
+                sent = sent.repartition(buckets, "id")
+            step = sent.groupBy("id").agg(
+                F.max("need").alias("need"), F.sum("got").alias("got"), F.max("after").alias("after"),
+                F.max(F.when(F.col("me"), F.col("got"))).alias("before"),
             )
+            fresh = (F.col("got") == F.col("need")) & (F.col("before") < F.col("need"))
+            step = step.select("id", "need", "got", "after", fresh.alias("fresh"))
         state = scratch.save(step, replaces=state)
-        left = state.where("wave IS NULL").count()
+        left = state.where("got < need").count()
         if left == 0 or left == open_nodes:
             break
         open_nodes = left
-        if carried is None:
-            carried = everyone.count()
         if left <= carried / 2:
-            carried = left
-            # settled nodes without an open successor are final and need not be carried on
-            unsettled = state.where("wave IS NULL").select(F.col("id").alias("dst"))
-            kept = outward.where("NOT me").join(unsettled, "dst", "left_semi")
+            # settled nodes that have sent are final and need not be carried on
+            going = scratch.save(state.where("got < need OR fresh"))
+            settled.append(scratch.save(state.where("got = need AND NOT fresh").select("id", "after")))
+            kept = outward.where("NOT me").join(going.select("id"), "id", "left_semi")
             links = scratch.save(kept.select(F.col("id").alias("src"), "dst", "steps"))
-            useful = links.select(F.col("src").alias("id")).unionByName(
-                unsettled.select(F.col("dst").alias("id"))
-            ).distinct()
-            settled.append(scratch.save(state.join(useful, "id", "left_anti").select("id", "wave")))
-            state = scratch.save(state.join(useful, "id", "left_semi").select("id", "wave"), replaces=state)
-            outward, hot = _with_self(links, state, scratch, steps=True)
-    out = state
+            scratch.drop(state)
+            state, carried = going, left
+            outward, hot = _with_self(links, going.select("id"), scratch, steps=True)
+            outward, buckets = _rows_of(outward, hot, scratch)
+    out = state.select("id", F.when(F.col("got") == F.col("need"), F.col("after")).alias("wave"))
     for more in settled:
-        out = out.unionByName(more)
+        out = out.unionByName(more.select("id", F.col("after").alias("wave")))
     return out

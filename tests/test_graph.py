@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataweave.operators import adjacency as adj
 from strataweave.operators import centrality, clusters, communities, cycles, ordering
+from strataweave.operators import spread as spread_
 
 
 def rows(df, *cols):
@@ -324,3 +325,14 @@ def test_eigenvector_reads_links_from_buckets(spark, monkeypatch):
         v = {i: v[i] + sum(v[a] for a, b in pairs if b == i) for i in v}
     length = math.sqrt(sum(x * x for x in v.values()))
     assert all(math.isclose(got[i], v[i] / length, rel_tol=1e-9) for i in v)
+
+
+@pytest.mark.parametrize("least", [1, 1_000_000])
+def test_waves_send_every_edge_once(spark, monkeypatch, least):
+    """Paths of several written tables, a cycle, what hangs on it, and a node without edges; bucketed and not."""
+    monkeypatch.setattr(spread_, "BUCKETED", least)
+    pairs = [(i, i + k) for i in range(20) for k in (1, 3)] + [(30, 31), (31, 30), (31, 32), (0, 33), (5, 33), (33, 32)]
+    e = spark.createDataFrame([(a, b, 2 if b == 33 else 1) for a, b in pairs], "src long, dst long, steps long")
+    got = {r.id: r.wave for r in spread_.waves(spark.createDataFrame([(40,), (0,)], "id long"), e).collect()}
+    wanted = {i: i for i in range(21)} | {21: 19, 22: 20, 30: None, 31: None, 32: None, 33: 7, 40: 0}
+    assert got == wanted
