@@ -12,6 +12,8 @@ from strataweave.skew import hot_keys, skew_join
 
 # links that one bucket holds at most, unless there are as few buckets as cores
 BUCKET_LINKS = 50_000_000
+# a wave with less than one of so many rows that were reached is a small one
+FEW_FRONTS = 4
 
 
 def betweenness(
@@ -56,23 +58,27 @@ def _dependencies(origin, links, hot_src, hot_dst, scratch) -> DataFrame:
     waves = [
         scratch.save(origin.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
     ]
-    seen = waves[0].select("s", "id")
+    rows = [waves[0].count()]
     while True:
         front = waves[-1]
         sent = skew_join(
             front, outward, "id", hot_left=hot_keys(front, "id"), hot_right=hot_out
         )
+        # what earlier waves have, in one scan; of few fronts only the rows of sources that still send
+        seen = scratch.read(waves).select("s", "id")
+        if FEW_FRONTS * rows[-1] < sum(rows):
+            seen = seen.join(front.select("s"), "s", "left_semi")
         fresh = (
             sent.groupBy("s", F.col("to").alias("id"))
             .agg(F.sum("paths").alias("paths"))
             .join(seen, ["s", "id"], "left_anti")
         )
         wave = scratch.save(fresh)
-        if wave.isEmpty():
+        rows.append(wave.count())
+        if rows[-1] == 0:
             scratch.drop(wave)
             break
         waves.append(wave)
-        seen = seen.unionByName(wave.select("s", "id"))
     inward = links.select(F.col("dst").alias("id"), F.col("src").alias("from"))
     hot_in = None if hot_dst is None else hot_dst.withColumnRenamed("dst", "id")
     last = waves[-1].withColumn("delta", F.lit(0.0))

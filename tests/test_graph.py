@@ -336,3 +336,36 @@ def test_waves_send_every_edge_once(spark, monkeypatch, least):
     got = {r.id: r.wave for r in spread_.waves(spark.createDataFrame([(40,), (0,)], "id long"), e).collect()}
     wanted = {i: i for i in range(21)} | {21: 19, 22: 20, 30: None, 31: None, 32: None, 33: 7, 40: 0}
     assert got == wanted
+
+
+@pytest.mark.parametrize("fronts", [0, 1_000_000])
+def test_betweenness_reads_what_sending_sources_saw(spark, monkeypatch, fronts):
+    """Against brute force, on ways of different lengths, a cycle and a tail; all waves filtered by source or none."""
+    monkeypatch.setattr(centrality, "FEW_FRONTS", fronts)
+    n, e, pairs = random_graph(spark, 14, 24, 5)
+    tail = {(i, i + 1) for i in range(13, 19)} | {(3, 13)}
+    pairs = {p for p in pairs | tail if p[0] != p[1]}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    score = dict.fromkeys(range(20), 0.0)
+    for s in range(20):
+        depth, paths, layer = {s: 0}, {s: 1}, [s]
+        order = [s]
+        while layer:
+            fresh = {}
+            for a in layer:
+                for x, y in pairs:
+                    if x == a and y not in depth:
+                        fresh[y] = fresh.get(y, 0) + paths[a]
+            depth.update(dict.fromkeys(fresh, depth[layer[0]] + 1))
+            paths.update(fresh)
+            layer = list(fresh)
+            order += layer
+        delta = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            for x, z in pairs:
+                if z == y and x in depth and depth[x] + 1 == depth[y]:
+                    delta[x] += paths[x] / paths[y] * (1 + delta[y])
+            if y != s:
+                score[y] += delta[y]
+    got = dict(rows(centrality.betweenness(spark.range(20).select("id"), e), "id", "betweenness"))
+    assert all(math.isclose(got[i], score[i] / (19 * 18), abs_tol=1e-12) for i in range(20))
