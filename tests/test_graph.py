@@ -338,6 +338,22 @@ def test_waves_send_every_edge_once(spark, monkeypatch, least):
     assert got == wanted
 
 
+def test_components_trim_every_edge_once(spark, monkeypatch):
+    """Edges are only searched backwards where a cycle was found before them."""
+    searched = []
+    plain = cycles.waves
+    monkeypatch.setattr(cycles, "waves", lambda ids, edges: (searched.append(edges.count()), plain(ids, edges))[1])
+    acyclic = [(i, i + k) for i in range(12) for k in (1, 2)]
+    cyclic = [(20, 21), (21, 20), (21, 22), (22, 23), (19, 20), (18, 19), (23, 24), (24, 23), (24, 25)]
+    for pairs, more, wanted in ((acyclic, [24], {}), (acyclic + cyclic, [33], {20: 20, 21: 20, 23: 23, 24: 23})):
+        searched.clear()
+        e = spark.createDataFrame(pairs, "src long, dst long")
+        got = {r.id: r.scc_id for r in cycles.scc(spark.range(2).select("id"), e).collect()}
+        assert got == {i: wanted.get(i, i) for pair in pairs for i in pair}
+        assert searched[0] == len(pairs) and len(searched) <= 1 + 2 * len(wanted)
+    assert sum(searched[:2]) < 2 * len(acyclic + cyclic)
+
+
 @pytest.mark.parametrize("fronts", [0, 1_000_000])
 def test_betweenness_reads_what_sending_sources_saw(spark, monkeypatch, fronts):
     """Against brute force, on ways of different lengths, a cycle and a tail; all waves filtered by source or none."""
