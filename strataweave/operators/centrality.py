@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataweave.operators.adjacency import degrees, node_degrees, node_ids, simple_edges
 from strataweave.operators.ordering import topological_layers, topological_order, traverse
+from strataweave.operators.sketches import distances
 from strataweave.scratch import Scratch
 from strataweave.skew import hot_keys, skew_join
 
@@ -14,6 +15,8 @@ from strataweave.skew import hot_keys, skew_join
 BUCKET_LINKS = 50_000_000
 # a wave with less than one of so many rows that were reached is a small one
 FEW_FRONTS = 4
+# (start, node) pairs of nodes with a small reach that are searched at a time
+SMALL_PAIRS = 50_000_000
 
 
 def betweenness(
@@ -126,43 +129,32 @@ def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def closeness_sketched(nodes: DataFrame, edges: DataFrame, precision: int = 12, max_hops: int | None = None) -> DataFrame:
     """(id, score, reached): ``closeness`` of every node from distance sketches, whatever the size of its reach.
 
-    Every node holds a HyperLogLog sketch of the nodes it reaches within h hops, 2 ** ``precision`` registers at most.
-    A hop merges the sketches of a node's successors into its own, so the state grows with the nodes and not with
-    nodes x reach, and the sum of distances follows from how much the estimates grow by the hop. Nodes whose
-    successors' sketches did not change send nothing. An estimate has a standard error of about
-    1.04 / sqrt(2 ** ``precision``), 1.6 % by default, and small sets are exact. The hops end when no estimate
-    grows, which is after the longest shortest path, or after ``max_hops``.
+    Every node has a HyperLogLog sketch of the nodes it reaches within h hops, of 2 ** ``precision`` registers.
+    A hop merges the sketches of a node's successors into its own, and the sum of distances follows from how much the
+    estimates grow by the hop; see :mod:`strataweave.operators.sketches` for how no sketch is sent. An estimate has a
+    standard error of about 1.04 / sqrt(2 ** ``precision``), 1.6 % by default; nodes that reach few others are searched
+    again, exactly. The hops end when no register grows, which is after the longest shortest path, or after ``max_hops``.
     """
     scratch = Scratch(edges.sparkSession, "sketches")
     ids = scratch.save(node_ids(nodes, edges))
     n = ids.count()
-    back = scratch.save(simple_edges(edges).where("src <> dst"))
-    hot = hot_keys(back, "dst")
-    state = scratch.save(
-        ids.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(precision)).alias("sketch")).select(
-            "id", "sketch", F.lit(1).cast("long").alias("reached"), F.lit(0).cast("long").alias("far"), F.lit(True).alias("grown")
-        )
-    )
-    hops = 0
-    while max_hops is None or hops < max_hops:
-        hops += 1
-        moved = state.where("grown").select(F.col("id").alias("dst"), "sketch")
-        sent = skew_join(back, moved, "dst", hot_left=hot).select(F.col("src").alias("id"), "sketch")
-        own = state.select("id", "sketch", "reached", "far")
-        none = F.lit(None).cast("long")
-        merged = own.unionByName(sent.withColumns({"reached": none, "far": none})).groupBy("id").agg(
-            F.hll_union_agg("sketch").alias("sketch"), F.max("reached").alias("before"), F.max("far").alias("far")
-        )
-        now = F.greatest(F.hll_sketch_estimate("sketch"), F.col("before"))
-        state = scratch.save(
-            merged.select(
-                "id", "sketch", now.alias("reached"), (F.col("far") + hops * (now - F.col("before"))).alias("far"),
-                (now > F.col("before")).alias("grown"),
-            ),
-            replaces=state,
-        )
-        if state.where("grown").isEmpty():
-            break
+    links = scratch.save(simple_edges(edges).where("src <> dst"))
+    state = distances(ids, links, precision, max_hops, scratch)
+    # a tenth more than what a sketch of this precision holds as a list, as these are estimates
+    small = scratch.save(state.where((F.col("far") > 0) & (F.col("reached") <= (33 << precision) // 320)))
+    pairs = small.agg(F.sum("reached")).first()[0]
+    if pairs:
+        near, batches = links, -(-pairs // SMALL_PAIRS)
+        if max_hops is None:  # what they reach is small as well
+            near = scratch.save(skew_join(links, small.select(F.col("id").alias("src")), "src", "left_semi", hot_left=hot_keys(links, "src")))
+        for b in range(batches):
+            part = small.select("id").where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
+            reach = traverse(near, part, "down", max_depth=max_hops).groupBy(F.col("start").alias("id"))
+            exact = scratch.save(reach.agg(F.count("*").alias("r"), F.sum("depth").alias("f")))
+            state = scratch.save(
+                state.join(exact, "id", "left").select("id", F.coalesce("r", "reached").alias("reached"), F.coalesce("f", "far").alias("far")),
+                replaces=state,
+            )
     others = F.col("reached") - 1
     return state.select(
         "id",

@@ -385,3 +385,30 @@ def test_betweenness_reads_what_sending_sources_saw(spark, monkeypatch, fronts):
                 score[y] += delta[y]
     got = dict(rows(centrality.betweenness(spark.range(20).select("id"), e), "id", "betweenness"))
     assert all(math.isclose(got[i], score[i] / (19 * 18), abs_tol=1e-12) for i in range(20))
+
+
+def test_sketches_are_not_sent_along_edges(spark, monkeypatch):
+    """A hub of more edges than a piece, reaches beyond a list and small ones; no table holds a sketch."""
+    from strataweave.operators import sketches
+    from strataweave.scratch import Scratch
+
+    monkeypatch.setattr(sketches, "SLICE_BYTES", 100_000)  # several slices a task
+    monkeypatch.setattr(sketches, "BLOCK", 1000)
+    written = []
+    real = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, *a, **k: written.append(df.columns) or real(self, df, *a, **k))
+    r = random.Random(9)
+    pairs = {(r.randrange(900), r.randrange(900)) for _ in range(2700)} | {(0, i) for i in range(1, 700)}
+    pairs |= {(2000 + a, 2000 + b) for a, b in ((0, 1), (1, 2), (0, 3), (3, 3))} | {(3000, 0)}
+    e = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in sorted(pairs)], "src string, dst string")
+    n = spark.createDataFrame([("n2000",), ("lonely",)], "id string")
+    got = {x.id: (x.score, x.reached) for x in centrality.closeness_sketched(n, e.unionByName(e)).collect()}
+    assert not any("sketch" in columns for columns in written)
+    exact = dict(rows(centrality.closeness(n, e), "id", "score"))
+    assert got.keys() == exact.keys()
+    assert all(abs(got[i][0] - exact[i]) <= 0.08 * exact[i] + 1e-9 for i in exact)
+    assert got["n0"][1] > 700 and got["lonely"] == (0.0, 1)
+    assert [got[f"n{i}"] for i in (2000, 2001, 2002)] == [(exact["n2000"], 4), (exact["n2001"], 2), (0.0, 1)]
+    # two hops from the hub are as far as they are exactly
+    near = {x.id: x.reached for x in centrality.closeness_sketched(n, e, max_hops=1).collect()}
+    assert near["n2000"] == 3 and near["n3000"] == 2 and abs(near["n0"] - 700) < 60
