@@ -412,3 +412,18 @@ def test_sketches_are_not_sent_along_edges(spark, monkeypatch):
     # two hops from the hub are as far as they are exactly
     near = {x.id: x.reached for x in centrality.closeness_sketched(n, e, max_hops=1).collect()}
     assert near["n2000"] == 3 and near["n3000"] == 2 and abs(near["n0"] - 700) < 60
+
+
+def test_louvain_asks_without_a_shuffle_of_links(spark, monkeypatch):
+    """Communities that are broadcast and ones that are sent give the same partition; the former shuffle no links."""
+    n, e, _ = random_graph(spark, 60, 150, 13)
+    e = e.unionByName(spark.createDataFrame([(100, 101), (101, 100), (102, 102)], "src long, dst long"))
+    n = n.unionByName(spark.createDataFrame([(200,)], "id long"))
+    sent = []
+    plain = communities._sent
+    monkeypatch.setattr(communities, "_sent", lambda *a, **k: sent.append(1) or plain(*a, **k))
+    asked = dict(rows(communities.louvain(n, e), "id", "community"))
+    assert not sent
+    monkeypatch.setattr(communities, "FEW_NODES", 0)
+    assert dict(rows(communities.louvain(n, e), "id", "community")) == asked
+    assert sent and asked[200] == 200 and asked[102] == 102 and asked[100] == asked[101]
