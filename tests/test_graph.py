@@ -427,3 +427,28 @@ def test_louvain_asks_without_a_shuffle_of_links(spark, monkeypatch):
     monkeypatch.setattr(communities, "FEW_NODES", 0)
     assert dict(rows(communities.louvain(n, e), "id", "community")) == asked
     assert sent and asked[200] == 200 and asked[102] == 102 and asked[100] == asked[101]
+
+
+def test_cycle_report_looks_no_further_than_it_has_to(spark, monkeypatch):
+    """Cycles of two nodes are listed without longer paths, longer ones by start; the report is that of all cycles."""
+    monkeypatch.setattr(cycles, "FIRST_STARTS", 1)
+    monkeypatch.setattr(cycles, "MORE_STARTS", 2)
+    asked = []
+    plain = cycles._cycles_up_to
+    monkeypatch.setattr(cycles, "_cycles_up_to", lambda inner, loops, length, *a: asked.append(length) or plain(inner, loops, length, *a))
+    pairs = {(0, 1), (1, 0), (2, 3), (3, 2), (4, 4)} | {(a, (a + b) % 9 + 10) for a in range(10, 19) for b in (1, 2)}
+    n, e = spark.range(20).select("id"), spark.createDataFrame(sorted(pairs), "src long, dst long")
+    c = saved_here(cycles.scc(n, e))
+    report = lambda k, length=5: [tuple(x.cycle) for x in cycles.enumerate_cycles(e, c, length, max_cycles=k, self_loops=True).collect()]
+    assert report(2) == [(4,), (0, 1)] and asked == [2]
+    every = sorted((tuple(x.cycle) for x in cycles.enumerate_cycles(e, c, 4, self_loops=True).collect()), key=lambda x: (len(x), x))
+    assert len(every) > 5 and max(map(len, every)) == 4
+    asked.clear()
+    assert report(4) == every[:4] and len(asked) > 1
+    assert report(10_000, 4) == every
+
+
+def saved_here(df):
+    from strataweave.scratch import Scratch
+
+    return Scratch(df.sparkSession, "test").save(df)
