@@ -452,3 +452,26 @@ def saved_here(df):
     from strataweave.scratch import Scratch
 
     return Scratch(df.sparkSession, "test").save(df)
+
+
+def test_labels_are_not_sent_before_they_meet_or_where_nothing_moves(spark, monkeypatch):
+    sent = []
+    plain = communities._sent
+    monkeypatch.setattr(communities, "_sent", lambda *a, **k: sent.append(1) or plain(*a, **k))
+    n, e, pairs = random_graph(spark, 40, 70, 21)
+    near = {i: {b for a, b in pairs if a == i and b != i} | {a for a, b in pairs if b == i and a != i} for i in range(40)}
+
+    def plainly(rounds):
+        label = {i: i for i in range(40)}
+        for _ in range(rounds):
+            votes = {i: [label[j] for j in near[i]] for i in near}
+            label = {i: min(votes[i], key=lambda x: (-votes[i].count(x), x)) if votes[i] else label[i] for i in near}
+        return label
+
+    label = lambda rounds: dict(rows(communities.label_propagation(n, e, rounds), "id", "community"))
+    assert label(1) == plainly(1) and not sent
+    monkeypatch.setattr(communities, "FEW_MOVES", 0.5)  # half of the nodes are few
+    assert label(8) == plainly(8)
+    monkeypatch.setattr(communities, "FEW_MOVES", 0)
+    sent.clear()
+    assert label(5) == plainly(5) and not sent
