@@ -28,7 +28,8 @@ def numbered_nodes(ids: DataFrame, precision: int, scratch: Scratch) -> DataFram
     """(id, at, coupon): nodes by number, with the 32 bits that stand for them in a sketch; 0 for ids it leaves out."""
     sketch = F.hll_sketch_agg("id", F.lit(precision))
     # a sketch of one value is a list with one little-endian integer behind eight bytes
-    bits = F.conv(F.hex(F.substring(sketch, 9, 4)), 16, 10).cast("long")
+    byte = lambda k: F.hex(F.substring(sketch, k, 1))
+    bits = F.conv(F.concat(byte(12), byte(11), byte(10), byte(9)), 16, 10).cast("long")
     coupon = F.when(bits >= 1 << 31, bits - (1 << 32)).otherwise(bits).cast("int")
     return scratch.save(number_rows(ids.groupBy("id").agg(coupon.alias("coupon")), ["id"], "at"))
 

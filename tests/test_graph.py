@@ -475,3 +475,12 @@ def test_labels_are_not_sent_before_they_meet_or_where_nothing_moves(spark, monk
     monkeypatch.setattr(communities, "FEW_MOVES", 0)
     sent.clear()
     assert label(5) == plainly(5) and not sent
+
+
+def test_slices_of_registers_are_those_of_the_sketch(spark):
+    e = spark.createDataFrame([(i, (i * k + 1) % 1000) for i in range(1000) for k in (1, 7, 13)], "src long, dst long")
+    got = {x.reached for x in centrality.closeness_sketched(spark.range(1000).select("id"), e).collect()}
+    halves = spark.range(1000).groupBy(F.col("id") % 2).agg(F.hll_sketch_agg("id", F.lit(12)).alias("s"))
+    # merged twice, as sketches of a node's successors are
+    merged = halves.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("n")).first().n
+    assert got == {merged}
