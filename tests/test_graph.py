@@ -484,3 +484,19 @@ def test_slices_of_registers_are_those_of_the_sketch(spark):
     # merged twice, as sketches of a node's successors are
     merged = halves.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("n")).first().n
     assert got == {merged}
+
+
+def test_ranking_counts_both_ends_of_an_edge(graph, monkeypatch):
+    """In one pass over the edges."""
+    from strataweave.scratch import Scratch
+
+    n, e = graph("AB BA BC CD DC DE EE FA")
+    c = cycles.scc(n, e)
+    plans = []
+    real = Scratch.save
+    monkeypatch.setattr(
+        Scratch, "save", lambda self, df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(self, df, *a, **k)
+    )
+    got = rows(cycles.scc_ranking(e, c, min_size=1), "scc_id", "size", "internal_edges", "external_edges")
+    assert sorted(got) == [("A", 2, 2, 2), ("C", 2, 2, 2), ("E", 1, 1, 1), ("F", 1, 0, 1)]
+    assert plans and not any("Union" in plan for plan in plans)
